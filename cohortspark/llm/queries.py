@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import html_text, token_counts, transport_stream
+from cohortspark.llm import html_text, mixing, simhash, token_counts, transport_stream
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -45,9 +45,22 @@ def op3_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 5, 2, 1 of their sources."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within two bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
     "op3_transport_streams": op3_transport_streams,
+    "op4_mix_sources": op4_mix_sources,
+    "op5_simhash_dedup": op5_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
