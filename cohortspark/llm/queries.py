@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import html_text, mixing, simhash, token_counts, transport_stream
+from cohortspark.llm import decontamination, html_text, mixing, secrets, simhash, token_counts, transport_stream
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -56,11 +56,33 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: counts by kind and digests of the base spans and of all spans."""
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "entropy")), 256)
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), base.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of benchmark items."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
     "op3_transport_streams": op3_transport_streams,
     "op4_mix_sources": op4_mix_sources,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL}
