@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, html_text, mixing, secrets, simhash, token_counts, transport_stream
+from cohortspark.llm import decontamination, html_text, mixing, secrets, simhash, substring_dedup, token_counts, transport_stream
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -76,6 +76,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that no smaller document's 50-word window repeats."""
+    found = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    kept = substring_dedup.without_spans(found)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -84,5 +91,9 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontamination.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL}
