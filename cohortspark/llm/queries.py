@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, html_text, mixing, secrets, simhash, substring_dedup, token_counts, transport_stream
+from cohortspark.llm import decontamination, html_text, mixing, quality, secrets, simhash, substring_dedup, token_counts, toxicity, transport_stream
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -83,6 +83,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a factorisation machine."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, deobfuscated."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_html_text": op2_html_text,
@@ -92,6 +102,8 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_decontamination": decontamination.ORACLE_SQL,
