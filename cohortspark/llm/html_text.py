@@ -3,7 +3,8 @@
 Pass one cuts the page into blocks at block-level tags and decides each by its containers, link
 density, stop-word density and length. Blocks too short to tell are left open; pass two gives
 each of those the label of its nearest decided neighbours in page order (a tie between the two
-sides goes to the block before; with no decided block at all it is dropped).
+sides goes to the block before, a heading with the block after; with no decided block at all it is
+kept in an article, dropped elsewhere).
 
 Defined results: a null page is empty; a page without blocks has the empty text; repeated rows
 give repeated rows; an empty table gives no rows; other columns are not read.
@@ -193,7 +194,7 @@ def main_text(page: str | None, max_link_density: float = 0.33, short: int = 70,
             after = (n, labels[i])
         elif labels[i] is None:
             left, right = before.get(i), (after[0] - n, after[1]) if after else None
-            near = left if right is None or (left and left[0] <= right[0]) else right
+            near = left if right is None or (left and left[0] <= right[0] and not blocks[i][4]) else right  # a heading goes with what follows
             labels[i] = near[1] if near else inside
             before[i] = before.get(i, (0, labels[i]))
     return "\n".join(b[0] for b, label in zip(blocks, labels, strict=True) if label)
