@@ -1 +1,240 @@
-"""placeholder"""
+"""Queries over genomes and phenomes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortspark.functions import genome as g
+from cohortspark.functions.draws import u, u_sql
+from cohortspark.operators import genetics as ge
+from cohortspark.plans import model as m
+from cohortspark.plans.q_joins import distance_sql, distances
+from cohortspark.registry import cte, query
+
+BITS, BLOCKS = ge.BLOCK_BITS, 3
+LOCI = BITS * BLOCKS
+
+
+def block_sql(tag: str, *parts: str, at: int = 1) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{tag}', {', '.join(parts)})), {at}, 8))::BIGINT"
+
+
+def mask_sql(tag: str, id_: str = "id") -> str:
+    return "[" + ", ".join(block_sql(tag, id_, at=1 + 8 * b) for b in range(BLOCKS)) + "]"
+
+
+cte("neighbours60", "SELECT a.id, a.strand1 AS a1, a.strand2 AS a2, b.strand1 AS b1, b.strand2 AS b2 FROM {genomes} a JOIN {genomes} b ON b.id = a.id + 1")
+
+
+def neighbours(spark, sf):
+    x = m.genomes(spark, sf)
+    return x.select("id", F.col("strand1").alias("a1"), F.col("strand2").alias("a2")).join(x.select((F.col("id") - 1).alias("id"), F.col("strand1").alias("b1"), F.col("strand2").alias("b2")), "id")
+
+
+@query("E1_hamming_diploid", f"SELECT a.id, CAST({distance_sql('a', 'b')} AS BIGINT) AS dist FROM {{genomes}} a JOIN {{genomes}} b ON b.id = a.id + 1")
+def _(spark, sf):
+    return neighbours(spark, sf).select("id", g.diploid_distance(*map(F.col, ("a1", "a2", "b1", "b2"))).alias("dist"))
+
+
+_E = g.EVEN_BITS
+_H2 = f"list_sum(list_transform(list_zip(a1, b1), lambda p: bit_count((xor(p[1], p[2]) | (xor(p[1], p[2]) >> 1)) & {_E})))"
+
+
+@query("E2_hamming_2bit", f"SELECT id, CAST({_H2} AS BIGINT) AS dist FROM {{neighbours60}}")
+def _(spark, sf):
+    return neighbours(spark, sf).select("id", g.popcount2_distance(F.col("a1"), F.col("b1")).alias("dist"))
+
+
+def blocks_sql(per_block: str) -> str:
+    """An expression of block i (0-based) as a text key of all blocks."""
+    return "concat_ws('-', " + ", ".join(per_block.replace("{i}", str(i)).replace("{j}", str(i + 1)) for i in range(BLOCKS)) + ")"
+
+
+def key_of(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
+
+
+PLACES = "[" + ", ".join(block_sql("mut", "id", f"'{k}'") + f" % {LOCI}" for k in (1, 2, 3)) + "]"
+
+
+@query("E3_mutation", f"SELECT id, {blocks_sql('list_reduce(list_prepend(strand1[{j}], list_transform(list_filter(p, lambda x: x // 32 = {i}), lambda x: 1::BIGINT << (x % 32))), lambda a, b: a | b)')} AS mutated FROM (SELECT *, {PLACES} AS p FROM {{genomes}})")
+def _(spark, sf):
+    places = ge.random_places("mut", F.col("id"), 3, LOCI)
+    return m.genomes(spark, sf).select("id", key_of(g.mutate(F.col("strand1"), places, BITS)).alias("mutated"))
+
+
+BREAKS = "[" + ", ".join(block_sql("break", "id", f"'{k}'") + f" % {LOCI}" for k in (1, 2)) + "]"
+_XMASK = "list_reduce(list_transform(p, lambda x: CASE WHEN x - {i} * 32 >= 32 THEN 0::BIGINT ELSE 4294967295 - ((1::BIGINT << greatest(x - {i} * 32, 0)) - 1) END), lambda a, b: xor(a, b))"
+
+
+@query("E4_crossover", f"SELECT id, {blocks_sql(f'(strand1[{{j}}] & ~({_XMASK})) | (strand2[{{j}}] & {_XMASK})')} AS crossed FROM (SELECT *, {BREAKS} AS p FROM {{genomes}})")
+def _(spark, sf):
+    breaks = ge.random_places("break", F.col("id"), 2, LOCI)
+    return m.genomes(spark, sf).select("id", key_of(g.crossover(F.col("strand1"), F.col("strand2"), breaks, BITS)).alias("crossed"))
+
+
+@query("E5_free_recombination", f"SELECT id, {blocks_sql('(strand1[{j}] & k[{j}]) | (strand2[{j}] & ~k[{j}])')} AS mixed FROM (SELECT *, {mask_sql('free')} AS k FROM {{genomes}})")
+def _(spark, sf):
+    return m.genomes(spark, sf).select("id", key_of(g.free_recombination(F.col("strand1"), F.col("strand2"), ge.random_mask("free", F.col("id"), BLOCKS))).alias("mixed"))
+
+
+def _gamete_sql(a: str, b: str, who: str) -> str:
+    first = blocks_sql(f"({a}[{{j}}] & k{who}[{{j}}]) | ({b}[{{j}}] & ~k{who}[{{j}}])")
+    second = blocks_sql(f"({b}[{{j}}] & k{who}[{{j}}]) | ({a}[{{j}}] & ~k{who}[{{j}}])")
+    return f"CASE WHEN {u_sql(3, 5, f'pick|{who}', 'id')} < 0.5 THEN {first} ELSE {second} END"
+
+
+@query("E6_offspring", f"SELECT id, {_gamete_sql('a1', 'a2', 'm')} AS strand1, {_gamete_sql('b1', 'b2', 'd')} AS strand2 FROM (SELECT *, {mask_sql('3|5|mask|m')} AS km, {mask_sql('3|5|mask|d')} AS kd FROM {{neighbours60}})")
+def _(spark, sf):
+    """Free recombination of two parents without mutations (rate 0; mutations are E3's)."""
+    p = neighbours(spark, sf).withColumnsRenamed({"a1": "m1", "a2": "m2", "b1": "d1", "b2": "d2"})
+    out = ge.offspring(p, BLOCKS, LOCI, 3, 5, breaks=-1, rate=0.0)
+    return out.select("id", key_of("strand1").alias("strand1"), key_of("strand2").alias("strand2"))
+
+
+@query("E6_offspring_mutating")
+def _(spark, sf):
+    p = neighbours(spark, sf).withColumnsRenamed({"a1": "m1", "a2": "m2", "b1": "d1", "b2": "d2"})
+    return ge.offspring(p, BLOCKS, LOCI, 3, 5, breaks=2, rate=0.02)
+
+
+@query("E7_initial_random", f"SELECT c_custkey AS id, {blocks_sql('k[{j}]')} AS strand FROM (SELECT c_custkey, {mask_sql('init', 'c_custkey')} AS k FROM customer)")
+def _(spark, sf):
+    ids = m.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return ids.select("id", key_of(ge.random_mask("init", F.col("id"), BLOCKS)).alias("strand"))
+
+
+SITES = [(0.3, 2), (0.9, 31), (0.5, 32), (0.1, 95)]
+
+
+def _hw_sql(s: int, i: int) -> str:
+    terms = [f"(CASE WHEN {u_sql(9, 0, f'hw{s}|{site}', 'c_custkey')} < {rate}e0 THEN {1 << site % 32} ELSE 0 END)::BIGINT" for rate, site in SITES if site // 32 == i]
+    return " | ".join(terms) or "0"
+
+
+@query("E7a_hardy_weinberg", "SELECT c_custkey AS id, " + ", ".join("concat_ws('-', " + ", ".join(_hw_sql(s, i) for i in range(BLOCKS)) + f") AS strand{s}" for s in (1, 2)) + " FROM customer")
+def _(spark, sf):
+    ids = m.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    out = ge.hardy_weinberg(ids, SITES, BLOCKS, 9)
+    return out.select("id", key_of("strand1").alias("strand1"), key_of("strand2").alias("strand2"))
+
+
+cte("alleles", f"""SELECT CAST(l AS INTEGER) AS locus, CAST((s[l // 32 + 1] >> (l % 32)) & 1 AS INTEGER) AS code, count(*) AS n
+  FROM (SELECT unnest([strand1, strand2]) AS s FROM {{genomes}}), range({LOCI}) t(l) GROUP BY 1, 2""")
+
+
+def alleles(spark, sf):
+    return ge.allele_counts(m.genomes(spark, sf), LOCI)
+
+
+@query("G4_allele_counts", "SELECT locus, code, n FROM {alleles}")
+def _(spark, sf):
+    return alleles(spark, sf)
+
+
+@query("G5_variability", "SELECT locus, count(DISTINCT code) AS n_codes, CAST(sum(CASE WHEN code <> 0 THEN n ELSE 0 END) AS BIGINT) AS non_zero FROM {alleles} GROUP BY locus")
+def _(spark, sf):
+    return ge.variability(alleles(spark, sf))
+
+
+@query("G6_ordered_frequencies", f"SELECT CAST(rank AS INTEGER) AS rank, round(sum(n) / {LOCI}e0, 6) AS mean FROM (SELECT n, row_number() OVER (PARTITION BY locus ORDER BY n DESC, code) AS rank FROM {{alleles}}) GROUP BY rank")
+def _(spark, sf):
+    return ge.ordered_frequencies(alleles(spark, sf), LOCI).withColumn("mean", F.round("mean", 6))
+
+
+@query("E7b_variation_score", "SELECT CAST(sum(c) AS BIGINT) AS score, max(c) AS top FROM (SELECT locus, count(DISTINCT code) AS c FROM {alleles} GROUP BY locus)")
+def _(spark, sf):
+    return ge.variability(alleles(spark, sf)).agg(F.sum("n_codes").alias("score"), F.max("n_codes").alias("top"))
+
+
+_TEXT = "(SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l))"
+cte("texts", f"SELECT id, cell, {_TEXT} AS seq FROM {{genomes}} WHERE id <= 200")
+
+
+def texts(spark, sf):
+    return m.genomes(spark, sf, 200).select("id", "cell", g.to_text(F.col("strand1"), BITS, 48).alias("seq"))
+
+
+@query("E8_nucleotide_text", "SELECT id, seq, true AS same FROM {texts}")
+def _(spark, sf):
+    """Blocks to letters, and back to the same blocks."""
+    x = m.genomes(spark, sf, 200).withColumn("seq", g.to_text(F.col("strand1"), BITS, 48))
+    return x.select("id", "seq", (g.from_text(F.col("seq"), BITS) == F.col("strand1")).alias("same"))
+
+
+@query("E9_plink_interleave", f"""SELECT id, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1) || ' ' || substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), ' ' ORDER BY l) FROM range(48) t(l)) AS pairs FROM {{genomes}} WHERE id <= 100""")
+def _(spark, sf):
+    a, b = (g.to_text(F.col(s), BITS, 48) for s in ("strand1", "strand2"))
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat_ws(" ", x, y))
+    return m.genomes(spark, sf, 100).select("id", F.array_join(pairs, " ").alias("pairs"))
+
+
+@query("E10_proteins")
+def _(spark, sf):
+    return texts(spark, sf).select("id", ge.protein_hashes("seq").alias("hashes"))
+
+
+@query("E11_proteome_matches", "SELECT x.id AS a, y.id AS b, count(*) AS n FROM (SELECT id, unnest([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)]) AS p FROM {texts} WHERE id <= 60) x JOIN (SELECT id, unnest([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)]) AS p FROM {texts} WHERE id > 60 AND id <= 120) y ON x.p = y.p GROUP BY 1, 2")
+def _(spark, sf):
+    """Matches multiply with duplicates; codons stand in for protein digests, which SQL cannot build."""
+    x = texts(spark, sf).withColumn("hashes", F.array(*(F.substring("seq", 1 + 3 * i, 3) for i in range(3))))
+    return ge.shared_proteins(x.where("id <= 60").withColumnRenamed("id", "a"), x.where("id > 60 and id <= 120").withColumnRenamed("id", "b"))
+
+
+@query("E12_segment_distances", f"""SELECT id, CAST(seg AS INTEGER) AS seg, CAST(count(*) FILTER (WHERE (a1[l // 32 + 1] >> (l % 32)) & 1 <> (b1[l // 32 + 1] >> (l % 32)) & 1) AS INTEGER) AS d
+  FROM (SELECT * FROM {{neighbours60}} WHERE id <= 100), range({LOCI}) t(l), (SELECT unnest(range(4)) AS seg) WHERE l // 24 = seg GROUP BY id, seg""")
+def _(spark, sf):
+    n = neighbours(spark, sf).where("id <= 100")
+    return n.select("id", F.posexplode(ge.segment_distances(F.col("a1"), F.col("b1"), 4, LOCI)).alias("seg", "d"))
+
+
+cte("phenes", "SELECT a.vec_id AS id, a.label, a.embedding AS p, b.embedding AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 300")
+
+
+def phenes(spark, sf):
+    e = m.table(spark, sf, "embeddings").where("vec_id <= 300")
+    return e.where("vec_id < 300").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("p")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("q")), "id")
+
+
+@query("E13_phenome_mix", f"SELECT id, round(list_sum(list_transform(list_zip(p, q), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2)), 5) AS mean_sum, round(list_sum(list_transform(CASE WHEN {u_sql(2, 2, 'sel', 'id')} < 0.5 THEN p ELSE q END, lambda x: x::DOUBLE)), 5) AS selected_sum FROM {{phenes}}")
+def _(spark, sf):
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double")), 5)
+    x = phenes(spark, sf)
+    return x.select("id", total(ge.mix_phenomes(F.col("p"), F.col("q"))).alias("mean_sum"), total(ge.mix_phenomes(F.col("p"), F.col("q"), u(2, 2, "sel", F.col("id")))).alias("selected_sum"))
+
+
+@query("E14_phenome_distance", "SELECT id, round(sqrt(list_sum(list_transform(list_zip(p, q), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE))), 5) AS dist FROM {phenes}")
+def _(spark, sf):
+    return phenes(spark, sf).select("id", F.round(ge.phenome_distance(F.col("p"), F.col("q")), 5).alias("dist"))
+
+
+@query("E15_sequence_extraction", "SELECT id, seq FROM {texts} WHERE id IN (SELECT s_suppkey * 3 FROM supplier)")
+def _(spark, sf):
+    wanted = m.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
+    return texts(spark, sf).join(wanted, "id", "left_semi").select("id", "seq")
+
+
+@query("E16_geo_ordered_distances", "SELECT CAST(row_number() OVER (ORDER BY x.cell, x.id, y.cell, y.id) AS INTEGER) AS r, a, b, dist FROM {dist60} JOIN {genomes60} x ON x.id = a JOIN {genomes60} y ON y.id = b")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    where = m.genomes(spark, sf, 60)
+    d = distances(spark, sf).join(where.select(F.col("id").alias("a"), F.col("cell").alias("ca")), "a").join(where.select(F.col("id").alias("b"), F.col("cell").alias("cb")), "b")
+    return d.select(F.row_number().over(Window.orderBy("ca", "a", "cb", "b")).alias("r"), "a", "b", "dist")
+
+
+@query("G8_distance_summary", "SELECT min(dist) AS low, max(dist) AS high, round(avg(dist), 6) AS mean, (min({'d': dist, 'a': a, 'b': b})).a AS low_a, (min({'d': dist, 'a': a, 'b': b})).b AS low_b FROM {dist60}")
+def _(spark, sf):
+    least = F.min(F.struct("dist", "a", "b"))
+    return distances(spark, sf).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.round(F.avg("dist"), 6).alias("mean"), least["a"].alias("low_a"), least["b"].alias("low_b"))
+
+
+@query("G9_lattice_means", "SELECT round(c.lon / 15) * 15 AS glon, round(c.lat / 15) * 15 AS glat, round(avg(dist), 6) AS mean, count(*) AS n FROM {dist60} JOIN {genomes60} x ON x.id = a JOIN {cells} c ON c.cell = x.cell GROUP BY 1, 2")
+def _(spark, sf):
+    at = m.genomes(spark, sf, 60).join(m.cells(spark, sf), "cell").select(F.col("id").alias("a"), (F.round(F.col("lon") / 15) * 15).alias("glon"), (F.round(F.col("lat") / 15) * 15).alias("glat"))
+    return distances(spark, sf).join(at, "a").groupBy("glon", "glat").agg(F.round(F.avg("dist"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query("E17_pco")
+def _(spark, sf):
+    return ge.principal_coordinates(distances(spark, sf))
