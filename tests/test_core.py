@@ -174,9 +174,9 @@ def test_trigger_grammar():
 
 def test_definitions():
     pop = config.parse_population(
-        "CLASS FKPop\nSPECIES 104 sapiens # name\nSENSING 2\nBEGIN_PARAMS\nVerhulst_b0 = 0.2\nAltPref = -1 0 0 1 2000 0.5\nPRIO Verhulst 2\nPRIO Move 1\nPRIO GetOld 2\nEND_PARAMS\n"
+        "CLASS WavePop\nSPECIES 104 sapiens # name\nSENSING 2\nBEGIN_PARAMS\nVerhulst_b0 = 0.2\nAltPref = -1 0 0 1 2000 0.5\nPRIO Verhulst 2\nPRIO Move 1\nPRIO GetOld 2\nEND_PARAMS\n"
     )
-    assert (pop.class_name, pop.species, pop.species_id, pop.sensing) == ("FKPop", "sapiens", 104, 2)
+    assert (pop.class_name, pop.species, pop.species_id, pop.sensing) == ("WavePop", "sapiens", 104, 2)
     assert pop.polyline("AltPref") == [(-1, 0), (0, 1), (2000, 0.5)] and pop.actions() == [(1, ["Move"]), (2, ["Verhulst", "GetOld"])]
     with pytest.raises(ValueError):
         config.parse_population("what is this")
