@@ -8,8 +8,9 @@ start (positional bound), which must leave room for the window (length bound); t
 words are compared with the document's one by one.
 
 One pass over the texts counts the benchmark's shingles, one finds the matches; nothing but
-matched rows and one row per document is shuffled. The index of windows is broadcast in blocks of
-at most ``BLOCK_WINDOWS`` windows (some 40 MB), however large the benchmark is.
+matched rows and one row per document is shuffled. The index of windows is counted first and
+broadcast in blocks of some ``BLOCK_WINDOWS`` windows and ``BLOCK_BYTES`` characters, however large
+the benchmark is.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; items
 without words have no window; repeated documents give repeated rows, repeated items count once;
@@ -27,6 +28,7 @@ from cohortspark.functions.lineage import cut
 WINDOW = 13
 SHINGLE = 3
 BLOCK_WINDOWS = 100_000
+BLOCK_BYTES = 32 << 20
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,7 +116,8 @@ def contamination(
 ) -> DataFrame:
     """``key, n_words, n_hit, n_items, items_sha256, contaminated`` of every document, and ``items``."""
     windows = cut(benchmark_windows(benchmark, item, item_text, window))
-    blocks = -(-windows.count() // BLOCK_WINDOWS) or 1
+    size = windows.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("win", " "))).alias("chars")).first()
+    blocks = max(1, -(-size.n // BLOCK_WINDOWS), -(-(size.chars or 0) // BLOCK_BYTES))
     sizes = sorted(r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("ws"))
     found = None
