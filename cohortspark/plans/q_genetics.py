@@ -238,3 +238,14 @@ def _(spark, sf):
 @query("E17_pco")
 def _(spark, sf):
     return ge.principal_coordinates(distances(spark, sf))
+
+
+@query("E18_pca")
+def _(spark, sf):
+    """Principal components of phenomes (signs are arbitrary, so lengths are returned)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = m.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    found = PCA(k=3, inputCol="v", outputCol="c").fit(rows).transform(rows)
+    return found.select("id", F.transform(vector_to_array("c"), lambda x: F.round(F.abs(x), 6)).alias("components"))

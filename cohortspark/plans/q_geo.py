@@ -122,3 +122,12 @@ def _(spark, sf):
     nodes = m.cells(spark, sf).select("cell", F.col("lon").alias("clon"), F.col("lat").alias("clat"))
     near = places(spark, sf).where("id % 7 = 0").crossJoin(F.broadcast(nodes)).groupBy("id").agg(F.min(F.struct(d.alias("d"), "cell")).alias("b"))
     return near.select("id", "b.cell")
+
+
+@query("Q8_geodesic_grid")
+def _(spark, sf):
+    """A geodesic grid with the number of neighbours of every node."""
+    from cohortspark.operators.geodesic import geodesic_tables
+
+    cells, edges = geodesic_tables(spark, 6)
+    return cells.join(edges.groupBy("cell").agg(F.count("*").alias("n_neighbours")), "cell").select("cell", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "n_neighbours")

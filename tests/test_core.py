@@ -225,3 +225,13 @@ def test_stream_matches_batch(spark, tmp_path):
 
 def test_registry():
     assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) > 150
+
+
+def test_geodesic_grid():
+    from cohortspark.operators.geodesic import geodesic
+
+    for parts in (1, 2, 5):
+        places, links = geodesic(parts)
+        degree = Counter(links.ravel().tolist())
+        assert len(places) == 10 * parts**2 + 2 and len(links) == 30 * parts**2
+        assert Counter(degree.values()) == ({5: 12, 6: len(places) - 12} if parts > 1 else {5: 12})
