@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a new temporary one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``: survives lost executors, unlike a local one.
+    """A reliable checkpoint of ``df``: survives lost executors, unlike a local one."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where no folder is set (tests on
-    one machine) a temporary one is made.
+def cut_to_table(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written as Parquet to the shared folder and reread, and a function that deletes the table.
+
+    Columns make it a fraction of a checkpoint's size. What is not deleted by its user goes when
+    the program ends.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(drop)
+    return spark.read.parquet(path), drop
