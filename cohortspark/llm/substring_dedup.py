@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.functions.lineage import cut
+from cohortspark.functions.lineage import cut_to_table
 
 WINDOW = 50
 K = 12
@@ -188,18 +188,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     A run covers the words ``first`` to ``first + windows + window - 2``; null where nothing repeats.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    found = cut(graph_pieces(rows.where(F.col("key").isNotNull()), window, k))
-    label = F.struct("l1", "l2")
-    nodes = found.groupBy("m").agg(
-        F.min("key").alias("least"), F.max("key").alias("most"), F.min(label).alias("one"), F.max(label).alias("other")
-    )
+    found, drop = cut_to_table(graph_pieces(rows.where(F.col("key").isNotNull()), window, k))
+    # The first halves tell labels of one minimizer apart.
+    nodes = found.groupBy("m").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min("l1").alias("one"), F.max("l1").alias("other"))
     nodes = nodes.where("least < most").select("m", "least", (F.col("one") != F.col("other")).alias("branching"))
-    shared = cut(found.join(nodes, "m"))
+    shared, _ = cut_to_table(found.join(nodes, "m").drop("m"))
+    drop()
     whole = shared.where("not branching and key > least").select("key", "h", "first", "windows")
     # Branching nodes: repeats of whole pieces first, then window by window for the first of each label.
     branches = shared.where("branching").select("key", "h", "l1", "l2", "first", "windows")
     labels = branches.groupBy("l1", "l2").agg(F.min("key").alias("least"))
-    branches = cut(branches.join(labels, ["l1", "l2"]).select("key", "h", "first", "windows", "least"))
+    branches, _ = cut_to_table(branches.join(labels, ["l1", "l2"]).select("key", "h", "first", "windows", "least"))
     later = branches.where("key > least").select("key", "h", "first", "windows")
     first = _listed(branches.where("key = least"), "pieces")
     # One exchange of the texts serves the look-up of windows and the final join.
