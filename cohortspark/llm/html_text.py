@@ -36,11 +36,11 @@ _BAD_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|"
     r"footer\w*|foot|topbar|toolbar|comment\w*|disqus\w*|respond|replies|reply|cookie\w*|consent\w*|"
     r"gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup\w*|login\w*|share\w*|sharing|"
-    r"social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|search\w*|form\w*|copyright\w*|legal)(?:$|[\s_-])",
+    r"social\w*|related\w*|recommend\w*|pagination|pager|search\w*|forms?|copyright\w*|legal)(?:$|[\s_-])",
     re.I,
 )
 #: Of a page, these head the site; inside an article they head the text.
-_OUTER_WORD = re.compile(r"(?:^|[\s_-])(?:header|masthead|meta|byline|tags?)(?:$|[\s_-])", re.I)
+_OUTER_WORD = re.compile(r"(?:^|[\s_-])(?:header|masthead|meta|byline|tags?|widget\w*)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
