@@ -235,3 +235,30 @@ def test_geodesic_grid():
         degree = Counter(links.ravel().tolist())
         assert len(places) == 10 * parts**2 + 2 and len(links) == 30 * parts**2
         assert Counter(degree.values()) == ({5: 12, 6: len(places) - 12} if parts > 1 else {5: 12})
+
+
+def test_lineage_cuts(spark):
+    from cohortspark.functions.lineage import cut, cut_to_table
+
+    df = spark.range(100).withColumn("r", F.rand())
+    fixed = cut(df)
+    assert fixed.exceptAll(fixed).isEmpty() and "Range" not in fixed._jdf.queryExecution().toString()
+    table, drop = cut_to_table(df)
+    assert table.count() == 100 and table.exceptAll(table).isEmpty()
+    drop()
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
+
+
+def test_asof_against_a_scan(spark):
+    from datetime import datetime, timedelta
+
+    from cohortspark.operators.asof import asof
+
+    rng, start = random.Random(2), datetime(2020, 1, 1)
+    left = [(i, start + timedelta(seconds=rng.randrange(5000))) for i in range(300)]
+    right = [(start + timedelta(seconds=rng.randrange(500, 4000)), rng.choice([None, 1.0, 2.0]), i) for i in range(40)]
+    got = {r.i: r.v for r in asof(spark.createDataFrame(left, "i int, t timestamp"), spark.createDataFrame(right, "t timestamp, v double, n int"), "t", "v", "n", ranges=7).collect()}
+    for i, t in left:
+        before = [(rt, n, v) for rt, v, n in right if rt <= t]
+        assert got[i] == (max(before, key=lambda x: x[:2])[2] if before else None)
