@@ -11,7 +11,13 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table. One of texts that has fewer files than the cluster has cores (a single row group is a single
+    task) is dealt out to all cores first; tables of many files are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
