@@ -5,8 +5,8 @@ All but the last return the columns of ``documents``. Each works on all rows its
 
 1. quality: documents that the factorisation machine rejects go;
 2. near_duplicates: of each SimHash component the document with the smallest id stays (of rows
-   that share that id, one);
-3. decontaminate: contaminated documents go;
+   that share that id, one), a null id only where no other is;
+3. decontaminate: contaminated documents go, row by row (ids may be null or repeated);
 4. secrets: spans of secrets are replaced by a mark, ``n_chars`` follows; no document goes;
 5. mix: copies of each document for the target mix of sources.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import decontamination, mixing, quality, secrets, simhash
@@ -33,18 +33,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.quality_scores(docs, machine, docs.columns).where("predicted = 1").select(docs.columns)
 
 
+def row_key() -> Column:
+    """The id and a digest of the text, ids in their order and nulls last: rows that share one are copies."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null key are kept: nothing names a representative for them."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Each text counts by itself: ids may be null or repeated; a null id stays where its component has no other."""
+    keyed = docs.withColumn("row_key", row_key())
+    first = simhash.near_duplicates(keyed, "row_key").where("row_key = component_id").select("row_key").distinct()
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(docs.columns)
+    """Each text counts by itself: a clean one stays whatever else has its id."""
+    keyed = docs.withColumn("row_key", row_key())
+    found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), "row_key")
+    bad = found.where("contaminated").select("row_key").distinct()
+    return keyed.join(bad, "row_key", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

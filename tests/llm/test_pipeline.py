@@ -1,5 +1,7 @@
 """The pipeline's stages against brute-force versions of what each has to keep."""
 
+import random
+
 import corpus_pipeline
 from cohortspark.llm import secrets
 from tests.llm.test_corpus import brute_components, brute_contamination, brute_fingerprint
@@ -50,3 +52,19 @@ def test_empty_and_null_documents(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{case}/benchmark.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{case}").count()
         assert got == 0 if case == "empty" else got > 20
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    from tests.llm.fixtures import words
+
+    rng = random.Random(5)
+    a, b, c, d, e, item = (words(rng, 60) for _ in range(6))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    kept = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    clean = [(None, a), (None, b), (None, b), (7, c), (8, d)]
+    found = corpus_pipeline.drop_contaminated(spark, frame([*clean, (None, item), (7, item), (9, item)]), str(tmp_path))
+    assert found.columns == corpus_pipeline.COLUMNS and kept(found) == sorted(clean, key=repr)
+    found = corpus_pipeline.drop_near_duplicates(spark, frame([(7, a), (7, b), (7, b), (12, b), (None, c), (None, c), (None, d), (8, d), (None, e), (3, a)]), str(tmp_path))
+    assert found.columns == corpus_pipeline.COLUMNS and kept(found) == sorted([(3, a), (7, b), (None, c), (8, d), (None, e)], key=repr)
