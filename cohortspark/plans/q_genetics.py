@@ -9,7 +9,7 @@ from cohortspark.functions.draws import u, u_sql
 from cohortspark.operators import genetics as ge
 from cohortspark.plans import model as m
 from cohortspark.plans.q_joins import distance_sql, distances
-from cohortspark.registry import cte, query
+from cohortspark.registry import CTES, cte, query
 
 BITS, BLOCKS = ge.BLOCK_BITS, 3
 LOCI = BITS * BLOCKS
@@ -155,6 +155,19 @@ def texts(spark, sf):
     return m.genomes(spark, sf, 200).select("id", "cell", g.to_text(F.col("strand1"), BITS, 48).alias("seq"))
 
 
+cte("all_texts", f"SELECT id, cell, {_TEXT} AS seq FROM {{genomes}}")
+
+
+def all_texts(spark, sf):
+    return m.genomes(spark, sf).select("id", "cell", g.to_text(F.col("strand1"), BITS, 48).alias("seq"))
+
+
+@query("E8_nucleotide_text_all", "SELECT id, seq, true AS same FROM {all_texts}")
+def _(spark, sf):
+    x = m.genomes(spark, sf).withColumn("seq", g.to_text(F.col("strand1"), BITS, 48))
+    return x.select("id", "seq", (g.from_text(F.col("seq"), BITS) == F.col("strand1")).alias("same"))
+
+
 @query("E8_nucleotide_text", "SELECT id, seq, true AS same FROM {texts}")
 def _(spark, sf):
     """Blocks to letters, and back to the same blocks."""
@@ -169,9 +182,16 @@ def _(spark, sf):
     return m.genomes(spark, sf, 100).select("id", F.array_join(pairs, " ").alias("pairs"))
 
 
+@query("E9_plink_interleave_all", f"""SELECT id, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1) || ' ' || substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), ' ' ORDER BY l) FROM range(48) t(l)) AS pairs FROM {{genomes}}""")
+def _(spark, sf):
+    a, b = (g.to_text(F.col(s), BITS, 48) for s in ("strand1", "strand2"))
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat_ws(" ", x, y))
+    return m.genomes(spark, sf).select("id", F.array_join(pairs, " ").alias("pairs"))
+
+
 @query("E10_proteins")
 def _(spark, sf):
-    return texts(spark, sf).select("id", ge.protein_hashes("seq").alias("hashes"))
+    return all_texts(spark, sf).select("id", ge.protein_hashes("seq").alias("hashes"))
 
 
 @query("E11_proteome_matches", "SELECT x.id AS a, y.id AS b, count(*) AS n FROM (SELECT id, unnest([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)]) AS p FROM {texts} WHERE id <= 60) x JOIN (SELECT id, unnest([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)]) AS p FROM {texts} WHERE id > 60 AND id <= 120) y ON x.p = y.p GROUP BY 1, 2")
@@ -181,6 +201,13 @@ def _(spark, sf):
     return ge.shared_proteins(x.where("id <= 60").withColumnRenamed("id", "a"), x.where("id > 60 and id <= 120").withColumnRenamed("id", "b"))
 
 
+@query("E11_proteome_matches_all")
+def _(spark, sf):
+    """Digests of whole proteins, all even ids against all odd ones; no SQL: it cannot build the digests."""
+    x = all_texts(spark, sf).withColumn("hashes", ge.protein_hashes("seq"))
+    return ge.shared_proteins(x.where("id % 2 = 0").withColumnRenamed("id", "a"), x.where("id % 2 <> 0").withColumnRenamed("id", "b"))
+
+
 @query("E12_segment_distances", f"""SELECT id, CAST(seg AS INTEGER) AS seg, CAST(count(*) FILTER (WHERE (a1[l // 32 + 1] >> (l % 32)) & 1 <> (b1[l // 32 + 1] >> (l % 32)) & 1) AS INTEGER) AS d
   FROM (SELECT * FROM {{neighbours60}} WHERE id <= 100), range({LOCI}) t(l), (SELECT unnest(range(4)) AS seg) WHERE l // 24 = seg GROUP BY id, seg""")
 def _(spark, sf):
@@ -188,6 +215,13 @@ def _(spark, sf):
     return n.select("id", F.posexplode(ge.segment_distances(F.col("a1"), F.col("b1"), 4, LOCI)).alias("seg", "d"))
 
 
+@query("E12_segment_distances_all", f"""SELECT id, CAST(seg AS INTEGER) AS seg, CAST(count(*) FILTER (WHERE (a1[l // 32 + 1] >> (l % 32)) & 1 <> (b1[l // 32 + 1] >> (l % 32)) & 1) AS INTEGER) AS d
+  FROM {{neighbours60}}, range({LOCI}) t(l), (SELECT unnest(range(4)) AS seg) WHERE l // 24 = seg GROUP BY id, seg""")
+def _(spark, sf):
+    n = neighbours(spark, sf)
+    return n.select("id", F.posexplode(ge.segment_distances(F.col("a1"), F.col("b1"), 4, LOCI)).alias("seg", "d"))
+
+
 cte("phenes", "SELECT a.vec_id AS id, a.label, a.embedding AS p, b.embedding AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 300")
 
 
@@ -196,6 +230,14 @@ def phenes(spark, sf):
     return e.where("vec_id < 300").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("p")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("q")), "id")
 
 
+cte("all_phenes", CTES["phenes"].removesuffix(" WHERE a.vec_id < 300"))
+
+
+def all_phenes(spark, sf):
+    e = m.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("p")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("q")), "id")
+
+
 @query("E13_phenome_mix", f"SELECT id, round(list_sum(list_transform(list_zip(p, q), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2)), 5) AS mean_sum, round(list_sum(list_transform(CASE WHEN {u_sql(2, 2, 'sel', 'id')} < 0.5 THEN p ELSE q END, lambda x: x::DOUBLE)), 5) AS selected_sum FROM {{phenes}}")
 def _(spark, sf):
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double")), 5)
@@ -203,17 +245,35 @@ def _(spark, sf):
     return x.select("id", total(ge.mix_phenomes(F.col("p"), F.col("q"))).alias("mean_sum"), total(ge.mix_phenomes(F.col("p"), F.col("q"), u(2, 2, "sel", F.col("id")))).alias("selected_sum"))
 
 
+@query("E13_phenome_mix_all", f"SELECT id, round(list_sum(list_transform(list_zip(p, q), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2)), 5) AS mean_sum, round(list_sum(list_transform(CASE WHEN {u_sql(2, 2, 'sel', 'id')} < 0.5 THEN p ELSE q END, lambda x: x::DOUBLE)), 5) AS selected_sum FROM {{all_phenes}}")
+def _(spark, sf):
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double")), 5)
+    x = all_phenes(spark, sf)
+    return x.select("id", total(ge.mix_phenomes(F.col("p"), F.col("q"))).alias("mean_sum"), total(ge.mix_phenomes(F.col("p"), F.col("q"), u(2, 2, "sel", F.col("id")))).alias("selected_sum"))
+
+
 @query("E14_phenome_distance", "SELECT id, round(sqrt(list_sum(list_transform(list_zip(p, q), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE))), 5) AS dist FROM {phenes}")
 def _(spark, sf):
     return phenes(spark, sf).select("id", F.round(ge.phenome_distance(F.col("p"), F.col("q")), 5).alias("dist"))
 
 
+@query("E14_phenome_distance_all", "SELECT id, round(sqrt(list_sum(list_transform(list_zip(p, q), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE))), 5) AS dist FROM {all_phenes}")
+def _(spark, sf):
+    return all_phenes(spark, sf).select("id", F.round(ge.phenome_distance(F.col("p"), F.col("q")), 5).alias("dist"))
+
+
 @query("E15_sequence_extraction", "SELECT id, seq FROM {texts} WHERE id IN (SELECT s_suppkey * 3 FROM supplier)")
 def _(spark, sf):
     wanted = m.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
     return texts(spark, sf).join(wanted, "id", "left_semi").select("id", "seq")
 
 
+@query("E15_sequence_extraction_all", "SELECT id, seq FROM {all_texts} WHERE id IN (SELECT s_suppkey * 3 FROM supplier)")
+def _(spark, sf):
+    wanted = m.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
+    return all_texts(spark, sf).join(wanted, "id", "left_semi").select("id", "seq")
+
+
 @query("E16_geo_ordered_distances", "SELECT CAST(row_number() OVER (ORDER BY x.cell, x.id, y.cell, y.id) AS INTEGER) AS r, a, b, dist FROM {dist60} JOIN {genomes60} x ON x.id = a JOIN {genomes60} y ON y.id = b")
 def _(spark, sf):
     from pyspark.sql import Window

@@ -71,6 +71,17 @@ def _(spark, sf):
     return tx.parse_ped(tx.ped_lines(g))
 
 
+@query("S20_plink_ped_all", """SELECT id, CAST(id % 2 AS INTEGER) AS gender, id // 2 AS mom, id // 3 AS dad, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l)) AS strand1,
+  (SELECT string_agg(substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l)) AS strand2 FROM {genomes}""")
+def _(spark, sf):
+    """Written as ped lines and parsed back."""
+    a, b = (to_text(F.col(s), 32, 48) for s in ("strand1", "strand2"))
+    pairs = F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat_ws(" ", x, y)), " ")
+    i = F.col("id")
+    g = m.genomes(spark, sf).select("id", (i % 2).cast("int").alias("gender"), F.floor(i / 2).alias("mom"), F.floor(i / 3).alias("dad"), pairs.alias("pairs"))
+    return tx.parse_ped(tx.ped_lines(g))
+
+
 @query("S23_value_colours", "SELECT cell, CASE WHEN altitude < -100 THEN '#00008b' WHEN altitude < 0 THEN '#4682b4' WHEN altitude < 100 THEN '#228b22' ELSE '#a0522d' END AS rgb FROM {env}")
 def _(spark, sf):
     h = F.col("altitude")

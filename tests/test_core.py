@@ -1,5 +1,6 @@
 """Operators against their definitions: one-to-one pairs, greedy rules, graphs, parsers, schedules, streams."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -262,3 +263,16 @@ def test_asof_against_a_scan(spark):
     for i, t in left:
         before = [(rt, n, v) for rt, v, n in right if rt <= t]
         assert got[i] == (max(before, key=lambda x: x[:2])[2] if before else None)
+
+
+def test_genetics_of_all_rows(spark):
+    sf = SF.replace("0.001", "0.01")  # more rows than any prefix
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    seqs = {r.id: r.seq for r in QUERIES["E8_nucleotide_text_all"](spark, sf).collect()}
+    hashes = {r.id: r.hashes for r in QUERIES["E10_proteins"](spark, sf).collect()}
+    assert len(seqs) == n and hashes == {i: [hashlib.md5(p.encode()).hexdigest() for p in genetics.proteins(t)] for i, t in seqs.items()}
+    want = Counter()
+    for a in (i for i in hashes if i % 2 == 0):
+        for b in (i for i in hashes if i % 2):
+            want[a, b] += sum(x == y for x in hashes[a] for y in hashes[b])
+    assert {(r.a, r.b): r.n for r in QUERIES["E11_proteome_matches_all"](spark, sf).collect()} == +want and +want
