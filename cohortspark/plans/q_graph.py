@@ -36,20 +36,28 @@ def _(spark, sf):
     return packed.select("id", time.alias("time"), cell.alias("cell"))
 
 
+@query("N3_decode_all", "SELECT id, CAST(time AS BIGINT) AS time, CAST(cell AS BIGINT) AS cell FROM {ancestors}")
+def _(spark, sf):
+    packed = m.ancestors(spark, sf).select("id", (F.col("time").cast("bigint") * F.lit(1 << 32) + F.col("cell")).alias("p"))
+    time, cell = an.decode(F.col("p"))
+    return packed.select("id", time.alias("time"), cell.alias("cell"))
+
+
 @query("N4_back_reach", recursive_sql(BACK + "SELECT origin, id, min(depth) AS depth FROM back GROUP BY origin, id"))
 def _(spark, sf):
     return an.back_reach(m.ancestors(spark, sf), samples(spark, sf).select(F.col("id").alias("origin"), "id"))
 
 
-def small(spark, sf, top=300):
+def small(spark, sf, top):
     return m.ancestors(spark, sf).where(F.col("id") <= top)
 
 
 @query("N6_evolve_graph")
 def _(spark, sf):
-    a = small(spark, sf)
+    """The whole graph: as many rounds as it has generations, never more than nodes."""
+    a = m.ancestors(spark, sf)
     founders = a.where("mom = 0").join(m.genomes(spark, sf), "id").select("id", "strand1", "strand2")
-    return an.evolve(a, founders, 3, 11)
+    return an.evolve(a, founders, 3, 11, a.count() + 1)
 
 
 ROUND = "SELECT * FROM {%s} a WHERE id %% 9 = 0 OR id IN (SELECT mom FROM {%s} WHERE mom > 0 UNION SELECT dad FROM {%s} WHERE dad > 0)"
@@ -64,6 +72,16 @@ def _(spark, sf):
     return an.prune_childless(a, a.where("id % 9 = 0").select("id"), 2).select("id", "mom", "dad")
 
 
+cte("all_pruned1", ROUND % (("ancestors",) * 3))
+cte("all_pruned2", ROUND % (("all_pruned1",) * 3))
+
+
+@query("N7_prune_childless_all", "SELECT id, mom, dad FROM {all_pruned2}")
+def _(spark, sf):
+    a = m.ancestors(spark, sf)
+    return an.prune_childless(a, a.where("id % 9 = 0").select("id"), 2).select("id", "mom", "dad")
+
+
 @query("N7a_lines_of_survivors", recursive_sql(BACK + "SELECT id, mom = 0 AS progenitor FROM {ancestors} WHERE id IN (SELECT id FROM back)"))
 def _(spark, sf):
     return an.lines_of(m.ancestors(spark, sf), samples(spark, sf)).select("id", "progenitor")
@@ -76,6 +94,13 @@ def _(spark, sf):
     return merged.select("id", F.size("children").cast("bigint").alias("n_children"), F.array_min("children").alias("first_child"))
 
 
+@query("N7b_merge_graphs_all", "SELECT parent AS id, count(DISTINCT child) AS n_children, min(child) AS first_child FROM {parents} GROUP BY parent")
+def _(spark, sf):
+    a = m.ancestors(spark, sf)
+    merged = an.merge_graphs(a.where("id % 3 = 0"), a.where("id % 3 <> 0"))
+    return merged.select("id", F.size("children").cast("bigint").alias("n_children"), F.array_min("children").alias("first_child"))
+
+
 @query("N8_analyse", "SELECT CAST(floor((id - 1) / 64) AS BIGINT) AS block, min(CASE WHEN mom > 0 THEN least(mom, dad) END) AS least_parent, max(id) AS \"limit\" FROM {ancestors} GROUP BY 1")
 def _(spark, sf):
     return an.analyse(m.ancestors(spark, sf), 64)

@@ -130,6 +130,12 @@ def _(spark, sf):
     return a.where("id % 40 = 1").unionByName(a.where("id % 40 = 2")).select("id", "mom").orderBy("id")
 
 
+@query("O2_merge_sorted_all", "SELECT id, mom FROM {ancestors}")
+def _(spark, sf):
+    a = m.ancestors(spark, sf)
+    return a.where("id % 2 = 0").unionByName(a.where("id % 2 <> 0")).select("id", "mom").orderBy("id")
+
+
 @query("O4_partial_shuffle", f"SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {draw('shuffle')}, id) AS n FROM {{agents}}) WHERE n <= 50")
 def _(spark, sf):
     return m.agents(spark, sf).orderBy(u(7, 3, "shuffle", F.col("id")), "id").limit(50).select("id")

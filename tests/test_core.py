@@ -276,3 +276,13 @@ def test_genetics_of_all_rows(spark):
         for b in (i for i in hashes if i % 2):
             want[a, b] += sum(x == y for x in hashes[a] for y in hashes[b])
     assert {(r.a, r.b): r.n for r in QUERIES["E11_proteome_matches_all"](spark, sf).collect()} == +want and +want
+
+
+def test_evolving_the_whole_graph(spark):
+    a = {r.id: r for r in m.ancestors(spark, SF).collect()}
+    known = {r.id for r in m.genomes(spark, SF).collect()}
+    want = set()
+    for i in sorted(a):
+        if i in known if a[i].mom == 0 else {a[i].mom, a[i].dad} <= want:
+            want.add(i)
+    assert max(want) > 300 and {r.id for r in QUERIES["N6_evolve_graph"](spark, SF).collect()} == want
