@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.curves import npp_miami
+from cohortspark.functions.lineage import cut
 
 NAN = float("nan")
 #: Types in the order of promotion.
@@ -225,18 +226,36 @@ def biome_bins(biomes: DataFrame, t_bin: float, r_bin: float) -> DataFrame:
     return out.withColumn("multiple", F.size("biomes") > 1)
 
 
-def uniquify(bins: DataFrame, max_ring: int = 3) -> DataFrame:
-    """``tb, rb, biome``: bins of several biomes take the one most frequent in the nearest ring of bins that tells
-    (ties: the smaller number); without any ring their smallest."""
-    single = bins.where("size(biomes) = 1").select("tb", "rb", F.get("biomes", F.lit(0)).alias("biome"))
-    multiple = bins.where("size(biomes) > 1")
-    ring = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.lit(max(abs(i), abs(j))).alias("ring")) for j in range(-max_ring, max_ring + 1) for i in range(-max_ring, max_ring + 1) if i or j))
-    around = multiple.select("tb", "rb", "biomes", F.explode(ring).alias("o")).select("tb", "rb", "biomes", (F.col("tb") + F.col("o.j")).alias("ntb"), (F.col("rb") + F.col("o.i")).alias("nrb"), "o.ring")
-    seen = around.join(single.select(F.col("tb").alias("ntb"), F.col("rb").alias("nrb"), "biome"), ["ntb", "nrb"]).where(F.array_contains("biomes", F.col("biome")))
+def _nearest_votes(multiple: DataFrame, single: DataFrame, radius: int) -> DataFrame:
+    """``tb, rb, biome`` of the bins of ``multiple`` that a ring within the radius tells; tiles of that size meet their neighbours."""
+    tile = lambda c: F.floor(F.col(c) / radius)
+    near = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)))
+    asks = multiple.select("tb", "rb", "biomes", F.explode(near).alias("o")).select("tb", "rb", "biomes", (tile("tb") + F.col("o.j")).alias("tt"), (tile("rb") + F.col("o.i")).alias("rt"))
+    tells = single.select(tile("tb").alias("tt"), tile("rb").alias("rt"), F.col("tb").alias("ntb"), F.col("rb").alias("nrb"), "biome")
+    ring = F.greatest(F.abs(F.col("tb") - F.col("ntb")), F.abs(F.col("rb") - F.col("nrb")))
+    seen = asks.join(tells, ["tt", "rt"]).withColumn("ring", ring).where((F.col("ring") <= radius) & F.array_contains("biomes", F.col("biome")))
     votes = seen.groupBy("tb", "rb", "ring", "biome").agg(F.count("*").alias("n"))
     best = votes.groupBy("tb", "rb").agg(F.min(F.struct("ring", (-F.col("n")).alias("n"), "biome")).alias("b"))
-    told = multiple.join(best, ["tb", "rb"], "left").select("tb", "rb", F.coalesce("b.biome", F.array_min("biomes")).alias("biome"))
-    return single.unionByName(told)
+    return best.select("tb", "rb", F.col("b.biome").alias("biome"))
+
+
+def uniquify(bins: DataFrame, max_ring: int | None = None, first_radius: int = 3) -> DataFrame:
+    """``tb, rb, biome``: bins of several biomes take the one most frequent in the nearest ring of bins that tells
+    (ties: the smaller number), however far it is (or up to ``max_ring``); where no ring tells, their smallest.
+
+    The radius doubles for the bins left until it has passed the extent of the grid."""
+    bins = cut(bins)
+    single = bins.where("size(biomes) = 1").select("tb", "rb", F.get("biomes", F.lit(0)).alias("biome"))
+    left, told = bins.where("size(biomes) > 1").select("tb", "rb", "biomes"), single
+    extent = bins.agg(F.greatest(F.max("tb") - F.min("tb"), F.max("rb") - F.min("rb"))).first()[0] or 0
+    extent = extent if max_ring is None else max_ring
+    radius = first_radius if max_ring is None else min(first_radius, max_ring)
+    while True:
+        found = cut(_nearest_votes(left, single, radius))
+        told, left = told.unionByName(found), cut(left.join(found, ["tb", "rb"], "left_anti"))
+        if radius >= extent or left.isEmpty():
+            return told.unionByName(left.select("tb", "rb", F.array_min("biomes").alias("biome")))
+        radius = min(radius * 2, extent)
 
 
 def capacity_by_bin(rows: DataFrame, t_bin: float, r_bin: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.curves import polyline_sql
 from cohortspark.operators import raster as r
 from cohortspark.plans import model as m
-from cohortspark.registry import cte, query
+from cohortspark.registry import CTES, cte, query
 
 H, W = m.RASTER_H, m.RASTER_W
 NULLED = "CASE WHEN isnan(v) THEN NULL ELSE round(v, 6) END AS v"
@@ -209,6 +209,13 @@ def bins(spark, sf):
     return r.biome_bins(climate(spark, sf).where("id % 10 < 3"), 4.0, 150.0)
 
 
+cte("all_bins", CTES["bins"].replace(" WHERE id % 10 < 3", ""))
+
+
+def all_bins(spark, sf):
+    return r.biome_bins(climate(spark, sf), 4.0, 150.0)
+
+
 @query("G10_biome_bins", "SELECT tb, rb, array_to_string(biomes, ',') AS biomes, len(biomes) > 1 AS multiple FROM {bins}")
 def _(spark, sf):
     return bins(spark, sf).withColumn("biomes", F.array_join(F.transform("biomes", lambda b: b.cast("string")), ","))
@@ -218,7 +225,14 @@ def _(spark, sf):
   SELECT tb, rb, (min({'ring': ring, 'n': -n, 'biome': biome})).biome AS biome FROM (SELECT m.tb, m.rb, greatest(abs(m.tb - s.tb), abs(m.rb - s.rb)) AS ring, s.biomes[1] AS biome, count(*) AS n
   FROM {bins} m JOIN {bins} s ON len(m.biomes) > 1 AND len(s.biomes) = 1 AND abs(m.tb - s.tb) <= 3 AND abs(m.rb - s.rb) <= 3 AND list_contains(m.biomes, s.biomes[1]) GROUP BY ALL) GROUP BY tb, rb) v ON v.tb = b.tb AND v.rb = b.rb""")
 def _(spark, sf):
-    return r.uniquify(bins(spark, sf))
+    return r.uniquify(bins(spark, sf), 3)  # as its SQL
+
+
+@query("G11_biome_uniquify_all", """SELECT b.tb, b.rb, CASE WHEN len(b.biomes) = 1 THEN b.biomes[1] ELSE coalesce(v.biome, list_min(b.biomes)) END AS biome FROM {all_bins} b LEFT JOIN (
+  SELECT tb, rb, (min({'ring': ring, 'n': -n, 'biome': biome})).biome AS biome FROM (SELECT m.tb, m.rb, greatest(abs(m.tb - s.tb), abs(m.rb - s.rb)) AS ring, s.biomes[1] AS biome, count(*) AS n
+  FROM {all_bins} m JOIN {all_bins} s ON len(m.biomes) > 1 AND len(s.biomes) = 1 AND list_contains(m.biomes, s.biomes[1]) GROUP BY ALL) GROUP BY tb, rb) v ON v.tb = b.tb AND v.rb = b.rb""")
+def _(spark, sf):
+    return r.uniquify(all_bins(spark, sf))
 
 
 @query("R20_apply_biomes", "SELECT c.id, coalesce(list_min(b.biomes), -1) AS biome FROM {climate} c LEFT JOIN {bins} b ON b.tb = CAST(floor(c.temp / 4) AS BIGINT) AND b.rb = CAST(floor(c.rain / 150) AS BIGINT)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import genome as g
 from cohortspark.functions import projections
-from cohortspark.operators import ancestry, evaluators, genetics, grid, moving, pairing, rates, regions
+from cohortspark.operators import ancestry, evaluators, genetics, grid, moving, pairing, raster, rates, regions
 from cohortspark.operators.components import connected_components
 from cohortspark.plans import model as m
 from cohortspark.plans import simulate as s
@@ -286,3 +286,13 @@ def test_evolving_the_whole_graph(spark):
         if i in known if a[i].mom == 0 else {a[i].mom, a[i].dad} <= want:
             want.add(i)
     assert max(want) > 300 and {r.id for r in QUERIES["N6_evolve_graph"](spark, SF).collect()} == want
+
+
+def test_biomes_far_from_single_bins(spark):
+    rng = random.Random(2)
+    rows = [(-30, 0, [2]), (45, 8, [5]), (46, 8, [5]), *((i, j, [2, 3, 5] if rng.random() < 0.5 else [3, 5]) for i in range(-20, 20) for j in range(9)), (0, 20, [8, 9])]
+    got = {(r.tb, r.rb): r.biome for r in raster.uniquify(spark.createDataFrame(rows, "tb long, rb long, biomes array<int>")).collect()}
+    for t, r, own in rows:
+        rings = Counter((max(abs(t - x), abs(r - y)), b[0]) for x, y, b in rows if len(b) == 1 and b[0] in own)
+        assert got[t, r] == (own[0] if len(own) == 1 or not rings else min((d, -n, b) for (d, b), n in rings.items())[2])
+    assert len(got) == len(rows)
