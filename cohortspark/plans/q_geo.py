@@ -124,6 +124,15 @@ def _(spark, sf):
     return near.select("id", "b.cell")
 
 
+@query("Q8_node_lookup_all", f"SELECT p.id, (min({{'d': round({great_circle_sql('p.lon', 'p.lat', 'c.lon', 'c.lat')}, 6), 'cell': c.cell}})).cell AS cell FROM {{places}} p, {{cells}} c GROUP BY p.id")
+def _(spark, sf):
+    """The nearest grid node: against the fixed grid (25 rows), kept on every executor."""
+    d = F.round(great_circle(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat")), 6)
+    nodes = m.cells(spark, sf).select("cell", F.col("lon").alias("clon"), F.col("lat").alias("clat"))
+    near = places(spark, sf).crossJoin(F.broadcast(nodes)).groupBy("id").agg(F.min(F.struct(d.alias("d"), "cell")).alias("b"))
+    return near.select("id", "b.cell")
+
+
 @query("Q8_geodesic_grid")
 def _(spark, sf):
     """A geodesic grid with the number of neighbours of every node."""

@@ -266,6 +266,12 @@ def _(spark, sf):
     return m.agents(spark, sf).where("id % 10 = 0").join(stats, "cell").select("id", "cell", "n")
 
 
+@query("J20_node_stats_all", "SELECT a.id, a.cell, n FROM {agents} a JOIN {counts} c ON c.cell = a.cell")
+def _(spark, sf):
+    stats = m.agents(spark, sf).where("life_state > 0").groupBy("cell").agg(F.count("*").alias("n"))
+    return m.agents(spark, sf).join(stats, "cell").select("id", "cell", "n")
+
+
 @query("J21_column_merge", "SELECT a.r, c_name, s_name FROM (SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS r, c_name FROM customer) a JOIN (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS r, s_name FROM supplier) b USING (r)")
 def _(spark, sf):
     from cohortspark.sources.text import paste

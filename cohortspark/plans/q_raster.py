@@ -145,11 +145,24 @@ def probes(spark, sf):
     return m.table(spark, sf, "customer").where(i < 200).select(i.alias("id"), (i * 37 % 1050 / 100.0).alias("py"), (i * 53 % 850 / 100.0).alias("px"))
 
 
+cte("all_probes", CTES["probes"].removesuffix(" WHERE c_custkey < 200"))
+
+
+def all_probes(spark, sf):
+    i = F.col("c_custkey")
+    return m.table(spark, sf, "customer").select(i.alias("id"), (i * 37 % 1050 / 100.0).alias("py"), (i * 53 % 850 / 100.0).alias("px"))
+
+
 @query("R14_nearest", "SELECT id, CASE WHEN v IS NULL OR isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM {probes} p LEFT JOIN {raster_a} a ON a.y = CAST(round(py) AS INTEGER) AND a.x = CAST(round(px) AS INTEGER)")
 def _(spark, sf):
     return shown(r.sample(probes(spark, sf), m.raster(spark, sf)).select("id", "v"))
 
 
+@query("R14_nearest_all", "SELECT id, CASE WHEN v IS NULL OR isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM {all_probes} p LEFT JOIN {raster_a} a ON a.y = CAST(round(py) AS INTEGER) AND a.x = CAST(round(px) AS INTEGER)")
+def _(spark, sf):
+    return shown(r.sample(all_probes(spark, sf), m.raster(spark, sf)).select("id", "v"))
+
+
 @query("R14_bilinear", """SELECT id, CASE WHEN isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM (SELECT id, sum(CASE WHEN w > 0 THEN coalesce(a.v, 'nan'::DOUBLE) * w ELSE 0e0 END) AS v FROM (
   SELECT id, CAST(floor(py) AS INTEGER) + j AS y, CAST(floor(px) AS INTEGER) + i AS x, (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w
   FROM {probes}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) p LEFT JOIN {raster_a} a ON a.y = p.y AND a.x = p.x GROUP BY id)""")
@@ -157,6 +170,13 @@ def _(spark, sf):
     return shown(r.sample(probes(spark, sf), m.raster(spark, sf), "bilinear").select("id", "v"))
 
 
+@query("R14_bilinear_all", """SELECT id, CASE WHEN isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM (SELECT id, sum(CASE WHEN w > 0 THEN coalesce(a.v, 'nan'::DOUBLE) * w ELSE 0e0 END) AS v FROM (
+  SELECT id, CAST(floor(py) AS INTEGER) + j AS y, CAST(floor(px) AS INTEGER) + i AS x, (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w
+  FROM {all_probes}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) p LEFT JOIN {raster_a} a ON a.y = p.y AND a.x = p.x GROUP BY id)""")
+def _(spark, sf):
+    return shown(r.sample(all_probes(spark, sf), m.raster(spark, sf), "bilinear").select("id", "v"))
+
+
 @query("R15_gradient_path")
 def _(spark, sf):
     return r.gradient_path(m.raster(spark, sf, "b"), 5, 5)
@@ -221,6 +241,11 @@ def _(spark, sf):
     return bins(spark, sf).withColumn("biomes", F.array_join(F.transform("biomes", lambda b: b.cast("string")), ","))
 
 
+@query("G10_biome_bins_all", "SELECT tb, rb, array_to_string(biomes, ',') AS biomes, len(biomes) > 1 AS multiple FROM {all_bins}")
+def _(spark, sf):
+    return all_bins(spark, sf).withColumn("biomes", F.array_join(F.transform("biomes", lambda b: b.cast("string")), ","))
+
+
 @query("G11_biome_uniquify", """SELECT b.tb, b.rb, CASE WHEN len(b.biomes) = 1 THEN b.biomes[1] ELSE coalesce(v.biome, list_min(b.biomes)) END AS biome FROM {bins} b LEFT JOIN (
   SELECT tb, rb, (min({'ring': ring, 'n': -n, 'biome': biome})).biome AS biome FROM (SELECT m.tb, m.rb, greatest(abs(m.tb - s.tb), abs(m.rb - s.rb)) AS ring, s.biomes[1] AS biome, count(*) AS n
   FROM {bins} m JOIN {bins} s ON len(m.biomes) > 1 AND len(s.biomes) = 1 AND abs(m.tb - s.tb) <= 3 AND abs(m.rb - s.rb) <= 3 AND list_contains(m.biomes, s.biomes[1]) GROUP BY ALL) GROUP BY tb, rb) v ON v.tb = b.tb AND v.rb = b.rb""")
@@ -242,9 +267,19 @@ def _(spark, sf):
     return c.join(table, ["tb", "rb"], "left").select("id", F.coalesce("b", F.lit(-1)).alias("biome"))
 
 
+@query("R20_apply_biomes_all", "SELECT c.id, coalesce(list_min(b.biomes), -1) AS biome FROM {climate} c LEFT JOIN {all_bins} b ON b.tb = CAST(floor(c.temp / 4) AS BIGINT) AND b.rb = CAST(floor(c.rain / 150) AS BIGINT)")
+def _(spark, sf):
+    table = all_bins(spark, sf).select("tb", "rb", F.array_min("biomes").alias("b"))
+    c = climate(spark, sf).withColumns({"tb": F.floor(F.col("temp") / 4.0), "rb": F.floor(F.col("rain") / 150.0)})
+    return c.join(table, ["tb", "rb"], "left").select("id", F.coalesce("b", F.lit(-1)).alias("biome"))
+
+
 cte("cap_bins", "SELECT CAST(floor(temp / 4) AS BIGINT) AS tb, CAST(floor(rain / 150) AS BIGINT) AS rb, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM {climate} WHERE id % 10 < 3 GROUP BY 1, 2")
 
 
+cte("all_cap_bins", CTES["cap_bins"].replace(" WHERE id % 10 < 3", ""))
+
+
 @query("G12_capacity_bins", """SELECT w.tb, w.rb, round(coalesce(c.mean, n.near), 6) AS mean, round(c.std, 6) AS std FROM (SELECT CAST(i // 20 AS BIGINT) AS tb, CAST(i % 20 AS BIGINT) AS rb FROM range(200) t(i)) w LEFT JOIN {cap_bins} c ON c.tb = w.tb AND c.rb = w.rb
   LEFT JOIN (SELECT w.tb, w.rb, avg(c.mean) AS near FROM (SELECT i // 20 AS tb, i % 20 AS rb FROM range(200) t(i)) w JOIN {cap_bins} c ON abs(c.tb - w.tb) <= 2 AND abs(c.rb - w.rb) <= 2 GROUP BY 1, 2) n ON n.tb = w.tb AND n.rb = w.rb""")
 def _(spark, sf):
@@ -254,6 +289,15 @@ def _(spark, sf):
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@query("G12_capacity_bins_all", """SELECT w.tb, w.rb, round(coalesce(c.mean, n.near), 6) AS mean, round(c.std, 6) AS std FROM (SELECT CAST(i // 20 AS BIGINT) AS tb, CAST(i % 20 AS BIGINT) AS rb FROM range(200) t(i)) w LEFT JOIN {all_cap_bins} c ON c.tb = w.tb AND c.rb = w.rb
+  LEFT JOIN (SELECT w.tb, w.rb, avg(c.mean) AS near FROM (SELECT i // 20 AS tb, i % 20 AS rb FROM range(200) t(i)) w JOIN {all_cap_bins} c ON abs(c.tb - w.tb) <= 2 AND abs(c.rb - w.rb) <= 2 GROUP BY 1, 2) n ON n.tb = w.tb AND n.rb = w.rb""")
+def _(spark, sf):
+    b = r.capacity_by_bin(climate(spark, sf), 4.0, 150.0)
+    wanted = r.generate(spark, 10, 20, 0.0).select(F.col("y").cast("bigint").alias("tb"), F.col("x").cast("bigint").alias("rb"))
+    out = r.fill_bins(b, wanted, 2).join(b.select("tb", "rb", "std"), ["tb", "rb"], "left")
+    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
 _AREA = f"(sin(radians(-30e0 + (y + 1) * 5e0)) - sin(radians(-30e0 + y * 5e0))) * {math.radians(36.0) * 6371.3**2!r}::DOUBLE"
 SHARES = [(0, "grazer", 0.5), (1, "grazer", 0.2), (1, "browser", 0.4), (2, "browser", 0.7), (3, "grazer", 0.1)]
 

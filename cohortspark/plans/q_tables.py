@@ -223,6 +223,11 @@ def _(spark, sf):
     return m.agents(spark, sf).where("id % 3 = 0").select("id", binomial_count(u(4, 4, "bino", F.col("id")), 96, 0.02, 7).alias("n"))
 
 
+@query("F3_binomial_draws_all", "SELECT id, " + " + ".join(f"({u_sql(4, 4, 'bino', 'id')} >= {t!r}::DOUBLE)::INT" for t in _BIN[:8]) + " AS n FROM {agents}")
+def _(spark, sf):
+    return m.agents(spark, sf).select("id", binomial_count(u(4, 4, "bino", F.col("id")), 96, 0.02, 7).alias("n"))
+
+
 @query("F4_linlog", "SELECT cell, round(CASE WHEN altitude > 0 THEN 1 + ln(1 + altitude) ELSE 1 + altitude END, 6) AS v FROM {env}")
 def _(spark, sf):
     h = F.col("altitude")

@@ -296,3 +296,10 @@ def test_biomes_far_from_single_bins(spark):
         rings = Counter((max(abs(t - x), abs(r - y)), b[0]) for x, y, b in rows if len(b) == 1 and b[0] in own)
         assert got[t, r] == (own[0] if len(own) == 1 or not rings else min((d, -n, b) for (d, b), n in rings.items())[2])
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("name", ["R20_apply_biomes_all", "R14_nearest_all", "R14_bilinear_all", "J20_node_stats_all"])
+def test_a_row_for_every_customer(spark, name):
+    rows = QUERIES[name](spark, SF.replace("0.001", "0.01")).collect()
+    assert len({r.id for r in rows}) == len(rows) == 1500
+    assert name[:3] != "R20" or all(r.biome >= 0 for r in rows)  # every climate is in the table
