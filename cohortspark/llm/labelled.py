@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.lineage import cut
+
 #: Fold that is never learned from.
 FOLDS, HELD_OUT_FOLD = 5, 0
+#: Bytes of features that a fit takes at most, whatever the lengths of the labelled texts.
+TRAIN_BYTES = 96 << 20
 
 
 def held_out(key: str) -> Column:
@@ -27,3 +32,19 @@ def sample_keys(labels: DataFrame, label: str, key: str, most: int) -> DataFrame
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
     """``key, text, y`` of the sampled keys that ``docs`` has; the sample (at most ``most`` rows of 12 bytes) is broadcast."""
     return docs.select(key, text).join(F.broadcast(sample_keys(labels, label, key, most)), key)
+
+
+def bounded_rows(rows: DataFrame, key: str, blobs: list[str], most_bytes: int = TRAIN_BYTES) -> pd.DataFrame:
+    """At most ``most_bytes`` of ``rows`` (already bounded in number), of least hash of their key, at the driver.
+
+    Texts may be of any length, and so may their features: sizes are looked at first (a few bytes a
+    row), and rows beyond the bound stay on the executors.
+    """
+    rows = cut(rows)
+    size = sum((F.length(b) for b in blobs), F.lit(0)).cast("bigint")
+    sizes = rows.select(F.xxhash64(key).alias("h"), size.alias("n")).toPandas().sort_values(["h", "n"], kind="stable")
+    kept = sizes["h"][sizes["n"].cumsum() <= most_bytes]
+    if len(kept) < len(sizes):
+        first_left_out = int(sizes["h"].iloc[len(kept)])
+        rows = rows.where(F.xxhash64(key) < first_left_out)
+    return rows.toPandas()

@@ -6,9 +6,9 @@ and of the text's length as metadata. The score is the logistic of
 ``b + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``: all pairwise
 interactions through ``RANK`` factors in time linear in the features.
 
-The machine is fitted with Adagrad on at most ``TRAIN_ROWS`` labelled rows outside the held-out
-fold; language, source and document ids are never features. Their features (a few kB a row) are
-the only thing sent to the driver. The model has a fixed size (some 2.5 MB) and is broadcast.
+The machine is fitted with Adagrad on labelled rows outside the held-out fold, at most
+``TRAIN_ROWS`` rows and ``labelled.TRAIN_BYTES`` of features; language, source and document ids are
+never features. These features are the only thing sent to the driver. The model has a fixed size (some 2.5 MB) and is broadcast.
 
 Defined results: a null text is scored as the empty one; without labelled rows, or with one class
 only, every score is the (smoothed) share of label 1; repeated rows give repeated rows; an empty
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.llm.labelled import held_out, training_rows
+from cohortspark.llm.labelled import bounded_rows, held_out, training_rows
 
 WORD_SLOTS = 1 << 16
 RANK = 8
@@ -88,12 +88,11 @@ def features(text: str | None, slots: dict[str, int]) -> tuple[np.ndarray, np.nd
         if slot is None:
             slot = slots[w] = crc32(w.lower().encode()) % WORD_SLOTS
         index.append(slot)
-    value = 1.0 / math.sqrt(len(index)) if index else 0.0
-    values = [value] * len(index)
-    for name, x in statistics(text, words, len(distinct)).items():
-        index.append(_STARTS[name] + bisect_right(_BINS[name], x))
-        values.append(1.0)
-    return np.array(index, np.int32), np.array(values, np.float32)
+    # Words that share a slot are one feature: never more features than slots, however long the text is.
+    used, times = np.unique(np.array(index, np.int32), return_counts=True)
+    scaled = times / math.sqrt(max(1, len(index)))
+    bins = {_STARTS[name] + bisect_right(_BINS[name], x): 1.0 for name, x in statistics(text, words, len(distinct)).items()}
+    return np.concatenate([used, np.array(list(bins), np.int32)]), np.concatenate([scaled, list(bins.values())]).astype(np.float32)
 
 
 @dataclass
@@ -167,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     schema = T.StructType(
         [T.StructField("key", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("index", T.BinaryType()), T.StructField("values", T.BinaryType())]
     )
-    got = rows.mapInArrow(run, schema).toPandas()
+    got = bounded_rows(rows.mapInArrow(run, schema), "key", ["index", "values"])
     got = got.sort_values(["key", "index"], kind="stable")
     found = [(np.frombuffer(bytes(i), np.int32), np.frombuffer(bytes(x), np.float32)) for i, x in zip(got["index"], got["values"], strict=True)]
     return fit(found, got["y"].to_numpy(np.float64))

@@ -1,16 +1,20 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Writers hide words by look-alike signs (``1d10t``), spacing (``i d i o t``) and repetition
-(``idiooot``). Each suspicious token is a lattice: every sign may stand for itself, for a letter
-it looks like, for nothing (a sign between letters), or continue a repeated letter. A Viterbi
-search finds the path that a character trigram model of the corpus finds likeliest, less the
-channel's costs; other tokens have one path and pass unchanged. The restored text is then scored
-by a sparse logistic model over words and word beginnings.
+Writers hide words by look-alike signs (``1d10t``), spacing (``i d i o t``, ``i.d.i.o.t``) and
+repetition (``idiooot``, ``iddiioott``). Each suspicious token, and each run of three or more single
+signs with their gaps, is one lattice over its runs of equal signs: a run of letters is read as one
+or more of them; a look-alike stands for itself or for letters; any other sign and a gap stand for
+nothing, for a word edge or for themselves. An exact Viterbi search (all states are kept: the last
+two signs written) finds the reading that a character trigram model of the corpus finds likeliest,
+less the channel's costs; its time is linear in the token. Tokens with one reading pass unchanged.
+The restored words are scored by a sparse logistic model over words and word beginnings, each with
+levels of how often they occur in the text.
 
 The language model counts trigrams of all documents' words: each task folds its own texts into
 counts, which are summed in a shuffle; the table's size is bounded by the alphabet's cube. The
-logistic model is fitted (FTRL with an L1 term) on at most ``TRAIN_ROWS`` labelled rows outside
-the held-out fold; language, source and document ids are never features.
+logistic model is fitted (FTRL with an L1 term) on labelled rows outside the held-out fold, at most
+``TRAIN_ROWS`` rows and ``labelled.TRAIN_BYTES`` of features; language, source and document ids are
+never features.
 
 Defined results: a null text is scored as the empty one; without labelled rows, or with one class
 only, every score is the (smoothed) share of label 1; repeated rows give repeated rows; an empty
@@ -21,7 +25,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -30,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.llm.labelled import held_out, training_rows
+from cohortspark.llm.labelled import bounded_rows, held_out, training_rows
 
 TRAIN_ROWS = 8000
 EPOCHS = 5
 THRESHOLD = 0.5
-SLOTS = 1 << 20
+#: Slots of words and word beginnings, each with ``LEVELS`` levels of frequency.
+BASES, LEVELS = 1 << 19, 4
+SLOTS = BASES * LEVELS
 
 #: The model's alphabet: word edge, letters; everything else is one further sign.
 ALPHABET = " abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöøùúûüýÿœ"
@@ -48,16 +56,16 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c",
 }
-_SEPARATORS = frozenset("._-*~' ·,")
-_EDGE = re.compile(r"^[^\w@$!|+€£¡(<]+|[^\w]+$")
-_LEET = re.compile(r"[^\W\d_][\d@$!|+€£¡(<]|[\d@$!|+€£¡(<][^\W\d_]")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_SPLIT = re.compile(r"[^\W\d_](?:[._\-*~·][\w@$!|+€£¡]){2,}")
-#: Three or more single signs with single gaps: one spaced-out word.
-_SPACED = re.compile(r"(?<!\S)[\w@$!|+€£¡](?:[ ._\-*][\w@$!|+€£¡]){2,}(?!\S)")
+#: Signs that may begin or end a word in disguise; other signs at a token's ends are punctuation.
+_FRONT, _BACK = frozenset("@$!|+€£¡(<"), frozenset("@$|+€£")
+#: Three or more single signs with single gaps: one lattice.
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_RUNS = re.compile(r"(.)\1*", re.S)
+_REPEAT = re.compile(r"(.)\1", re.S)
 
-#: Channel costs in nats.
-COST_SWAP, COST_DROP, COST_FOLD, COST_KEEP_SIGN = 1.0, 0.7, 0.3, 9.0
+#: Channel costs in nats: a letter for a sign, a sign or gap for nothing or a word edge, a sign for
+#: itself, a letter of a double or of a longer run left out.
+COST_SWAP, COST_DROP, COST_EDGE, COST_KEEP, COST_DOUBLE, COST_FOLD = 1.0, 0.7, 1.0, 6.0, 2.0, 0.3
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -97,89 +105,142 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log(third).astype(np.float32)
 
 
+@lru_cache(1 << 16)
+def readings(sign: str, n: int, inner: bool) -> tuple[tuple[str, int, float], ...]:
+    """What ``n`` equal signs in a row may stand for: (letter or sign, copies, cost); 0 copies are nothing.
+
+    Each letter left out of a run costs the same, so of the numbers of copies only one, two and all
+    can be the cheapest, whatever the model: from the second copy on every further one costs the same.
+    """
+    fold = COST_DOUBLE if n == 2 else COST_FOLD
+    copies = sorted({1, min(2, n), n})
+    if sign.isalpha():
+        return tuple((sign, k, fold * (n - k)) for k in copies)
+    out = [(x, k, COST_SWAP * k + fold * (n - k)) for x in LOOK_ALIKES.get(sign, "") for k in copies]
+    if sign == " ":
+        return (("", 0, COST_DROP), (" ", 1, 0.0))
+    out.append((sign, n, COST_KEEP * n))
+    if not sign.isdigit():
+        out.append(("", 0, COST_DROP))
+        if inner:
+            out.append((" ", 1, COST_EDGE))
+    return tuple(out)
+
+
 class Decoder:
     """Viterbi search over character lattices; remembers what it has decoded."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist() if model.size <= 1 << 18 else model
+        #: Rows by the last two codes.
+        self.model = model.reshape(_N * _N, _N).tolist()
         self.known: dict[str, str] = {}
 
     def restore(self, token: str) -> str:
-        """The likeliest reading of a lower-case token (at most 64 signs are searched as one lattice)."""
+        """The likeliest reading of a lower-case token or run of single signs."""
         found = self.known.get(token)
         if found is None:
             if len(self.known) > 1 << 17:
                 self.known.clear()
-            found = self.known[token] = "".join(self._search(token[i : i + 64]) for i in range(0, len(token), 64))
+            found = self._search(token)
+            if len(token) <= 256:
+                self.known[token] = found
         return found
 
     def _search(self, token: str) -> str:
-        model = self.model
-        # States: (last two codes, last sign written) -> (cost, text)
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        previous = ""
-        runs = [0] * len(token)
-        for m in re.finditer(r"(.)\1*", token):
-            runs[m.start() : m.end()] = [m.end() - m.start()] * (m.end() - m.start())
-        for place, sign in enumerate(token):
-            inner = 0 < place < len(token) - 1
-            nexts: dict[tuple[int, int], tuple[float, str]] = {}
-            options: list[tuple[str, float]] = []
-            if sign.isalpha():
-                options.append((sign, 0.0))
-            else:
-                options += [(x, COST_SWAP) for x in LOOK_ALIKES.get(sign, "")]
-                options.append((sign, COST_KEEP_SIGN if sign.isdigit() or inner else 1.0))
-                if sign in _SEPARATORS and inner:
-                    options.append(("", COST_DROP))
-            if sign == previous and runs[place] >= 3 and (sign.isalpha() or sign in LOOK_ALIKES):
-                options.append(("", COST_FOLD))
-            for (a, b), (cost, text) in states.items():
-                for written, extra in options:
-                    if written:
-                        c = _CODE.get(written, _OTHER)
-                        key, total = (b, c), cost + extra - model[a][b][c]
-                        grown = text + written
-                    else:
-                        key, total, grown = (a, b), cost + extra, text
+        model, code = self.model, _CODE
+        # State: last two codes -> (cost, what was written last, what was written before that)
+        states: dict[int, tuple[float, str, tuple | None]] = {0: (0.0, "", None)}
+        place, last = 0, len(token)
+        for number, run in enumerate(_RUNS.finditer(token)):
+            sign, end = run[1], run.end()
+            nexts: dict[int, tuple[float, str, tuple | None]] = {}
+            for written, copies, extra in readings(sign, end - place, 0 < place and end < last):
+                if copies == 0:
+                    for key, (cost, tail, before) in states.items():
+                        total = cost + extra
+                        if key not in nexts or total < nexts[key][0]:
+                            nexts[key] = (total, tail, before)
+                    continue
+                c = code.get(written, _OTHER)
+                for ab, (cost, tail, before) in states.items():
+                    key = ab % _N * _N + c
+                    total = cost + extra - model[ab][c]
+                    if copies > 1:
+                        twice = c * _N + c
+                        total -= model[key][c] + (copies - 2) * model[twice][c]
+                        key = twice
                     if key not in nexts or total < nexts[key][0]:
-                        nexts[key] = (total, grown)
-            if len(nexts) > 48:
-                nexts = dict(sorted(nexts.items(), key=lambda kv: kv[1][0])[:48])
-            states, previous = nexts, sign
-        return min((cost - model[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
-
-    def token(self, raw: str) -> str:
-        """A token of the text as a lower-case word: edges stripped, restored if suspicious."""
-        word = _EDGE.sub("", raw).lower()
-        if word and (_RUN.search(word) or not word.isalpha() and (_LEET.search(word) or _SPLIT.match(word))):
-            return self.restore(word)
-        return word
+                        nexts[key] = (total, tail + written * copies, before)
+            if number & 63 == 63:  # short strings are grown, long ones are linked
+                nexts = {key: (cost, "", (before, tail)) for key, (cost, tail, before) in nexts.items()}
+            states, place = nexts, end
+        _, tail, before = min(((cost - model[ab][0], tail, before) for ab, (cost, tail, before) in states.items()), key=lambda x: x[0])
+        parts = [tail]
+        while before is not None:
+            before, part = before
+            parts.append(part)
+        return "".join(reversed(parts))
+
+    def words(self, raw: str) -> list[str]:
+        """The lower-case words of a token, or of a run of single signs: restored if suspicious."""
+        if raw.isalpha():
+            word = raw.lower()
+            return [self.restore(word) if _REPEAT.search(word) else word]
+        start, end = 0, len(raw)
+        while start < end and not (raw[start].isalnum() or raw[start] in _FRONT):
+            start += 1
+        while end > start and not (raw[end - 1].isalnum() or raw[end - 1] in _BACK):
+            end -= 1
+        word = raw[start:end].lower()
+        if not word or word.isdigit():
+            return [word] if word else []
+        if word.isalpha() and not _REPEAT.search(word):
+            return [word]
+        return self.restore(word).split()
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """The tokens of a text; a run of single signs is one."""
+        at = 0
+        for m in _SPACED.finditer(text):
+            yield from text[at : m.start()].split()
+            yield m[0].replace("\t", " ")
+            at = m.end()
+        yield from text[at:].split()
 
     def text(self, text: str) -> str:
-        """The whole text restored: spaced-out words joined, then every token."""
-        joined = _SPACED.sub(lambda m: re.sub(r"[ ._\-*]", "", m[0]), text)
-        return " ".join(self.token(t) for t in joined.split())
+        """The whole text restored."""
+        return " ".join(w for piece in self.pieces(text) for w in self.words(piece))
 
 
 def word_slots(word: str) -> tuple[int, ...]:
-    """Slots of a word and its beginnings of four and five letters."""
-    if len(word) < 3:
-        return ()
-    data = word[:24]
-    out = {crc32(f"w{data}".encode()) % SLOTS}
+    """Bases of a word and of its beginnings of four and five letters."""
+    out = [crc32(f"w{word}".encode()) % BASES]
     if len(word) >= 4:
-        out.add(crc32(f"4{word[:4]}".encode()) % SLOTS)
+        out.append(crc32(f"4{word[:4]}".encode()) % BASES)
     if len(word) >= 5:
-        out.add(crc32(f"5{word[:5]}".encode()) % SLOTS)
+        out.append(crc32(f"5{word[:5]}".encode()) % BASES)
     return tuple(out)
 
 
+def levels(base: int, seen: int, words: int) -> list[int]:
+    """Slots of a base by its frequency: at all, twice, four times, one word in a hundred (and twice)."""
+    at = base * LEVELS
+    out = [at]
+    if seen >= 2:
+        out.append(at + 1)
+        if seen >= 4:
+            out.append(at + 2)
+        if seen * 100 >= words:
+            out.append(at + 3)
+    return out
+
+
 class Features:
-    """Sets of slots of texts; tokens are remembered, only slots in ``only`` (if given) are kept."""
+    """Sets of slots of texts; tokens are remembered, only bases of slots in ``only`` (if given) are counted."""
 
     def __init__(self, decoder: Decoder, only: frozenset[int] | None = None):
         self.decoder, self.only = decoder, only
+        self.bases = None if only is None else frozenset(s // LEVELS for s in only)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of(self, text: str | None) -> set[int]:
@@ -187,24 +248,28 @@ class Features:
             return set()
         if len(self.known) > 1 << 19:
             self.known.clear()
-        tokens = set(text.split())
-        out: set[int] = set()
-        for m in _SPACED.finditer(text):
-            tokens.add(re.sub(r"[ ._\-*]", "", m[0]))
-        for token in tokens:
-            slots = self.known.get(token)
-            if slots is None:
-                slots = word_slots(self.decoder.token(token))
-                if self.only is not None:
-                    slots = tuple(s for s in slots if s in self.only)
-                self.known[token] = slots
-            if slots:
-                out.update(slots)
-        return out
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = 3.0, l2: float = 1.0, alpha: float = 0.3, seed: int = 3) -> tuple[float, dict[int, float]]:
-    """Bias and weights by slot; FTRL-proximal leaves slots without steady evidence at zero."""
+        pieces = Counter(self.decoder.pieces(text))
+        seen: dict[int, int] = {}
+        for piece, n in pieces.items():
+            bases = self.known.get(piece)
+            if bases is None:
+                bases = tuple(b for w in self.decoder.words(piece) for b in word_slots(w))
+                if self.bases is not None:
+                    bases = tuple(b for b in bases if b in self.bases)
+                if len(piece) <= 256:
+                    self.known[piece] = bases
+            for b in bases:
+                seen[b] = seen.get(b, 0) + n
+        words = pieces.total()
+        out = {s for b, n in seen.items() for s in levels(b, n, words)}
+        return out if self.only is None else out & self.only
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = 3.0, l2: float = 0.1, alpha: float = 0.3, seed: int = 3) -> tuple[float, dict[int, float]]:
+    """Bias and weights by slot; FTRL-proximal leaves slots without steady evidence at zero.
+
+    A text is toxic by what it holds, whatever else is in it: no weight is below zero.
+    """
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     bias = math.log(share / (1 - share))
     if len(y) == 0 or y.min() == y.max():
@@ -215,8 +280,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float =
 
     def weights(index: np.ndarray) -> np.ndarray:
         zi = z[index]
-        w = -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(n[index])) / alpha + l2)
-        return np.where(np.abs(zi) <= l1, 0.0, w)
+        return np.maximum(-zi - l1, 0.0) / ((1.0 + np.sqrt(n[index])) / alpha + l2)
 
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -230,12 +294,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float =
             n[index] = n_old + g * g
             bias_n += g * g
             bias -= 0.1 * g / math.sqrt(bias_n)
-    used = np.flatnonzero(np.abs(z) > l1)
+    used = np.flatnonzero(z < -l1)
     return bias, dict(zip(used.tolist(), weights(used).tolist(), strict=True))
 
 
 def fit_calibrated(rows: list[np.ndarray], y: np.ndarray) -> tuple[float, dict[int, float]]:
-    """A fit whose slope and offset are set on every fifth row, which the weights have not seen."""
+    """A fit on all rows; slope and offset are those that suit a fit on four fifths on the other rows."""
     aside = np.arange(len(y)) % 5 == 4
     bias, weights = fit([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside])
     target = y[aside]
@@ -250,6 +314,7 @@ def fit_calibrated(rows: list[np.ndarray], y: np.ndarray) -> tuple[float, dict[i
         curve = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
         line = line - np.linalg.solve(curve, slope)
     scale = max(0.1, float(line[0]))
+    bias, weights = fit(rows, y)
     return bias * scale + float(line[1]), {s: w * scale for s, w in weights.items()}
 
 
@@ -264,7 +329,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["key", "y", "slots"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("slots", T.BinaryType())])
-    got = training_rows(docs, labels, label, key, text, most).mapInArrow(run, schema).toPandas().sort_values(["key", "slots"], kind="stable")
+    rows = training_rows(docs, labels, label, key, text, most).mapInArrow(run, schema)
+    got = bounded_rows(rows, "key", ["slots"]).sort_values(["key", "slots"], kind="stable")
     return fit_calibrated([np.frombuffer(bytes(s), np.int32) for s in got["slots"]], got["y"].to_numpy(np.float64))
 
 

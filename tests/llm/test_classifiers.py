@@ -1,13 +1,16 @@
 """Classifiers: identities, held-out accuracy, edge cases."""
 
+import itertools
 import math
 import random
+import re
+import time
 from zlib import crc32
 
 import numpy as np
 import pytest
 
-from cohortspark.llm import quality, toxicity
+from cohortspark.llm import labelled, quality, toxicity
 from tests.llm.fixtures import empty, frame, rows, words
 
 SF = "/root/testdata/sf0.1"
@@ -48,22 +51,125 @@ def test_edges(spark):
         assert op.classify(empty(spark), labels_of(spark, [])).count() == 0
 
 
-def test_held_out_quality(spark):
+def held_out_rows(spark, op, label):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert auc([r.quality for r in got], [r.score for r in got]) > 0.98
-    assert sum(r.predicted == r.quality for r in got) / len(got) > 0.97
-
-
-def test_decoding(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = toxicity.language_model(toxicity.trigram_counts(docs))
-    assert np.allclose(np.exp(model).sum(axis=2), 1, atol=1e-3)
-    decoder = toxicity.Decoder(model)
-    for hidden, plain in {"1d10t": "idiot", "m0r0n": "moron", "idiooot": "idiot", "tr4sh": "trash", "$tup1d": "stupid", "i.d.i.o.t": "idiot", "w0rthl3ss": "worthless"}.items():
-        assert decoder.token(hidden) == plain
+    return [(r[label], r.score, r.predicted) for r in op.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()]
+
+
+def test_held_out_quality(spark):
+    got = held_out_rows(spark, quality, "quality")
+    assert auc([y for y, _, _ in got], [s for _, s, _ in got]) > 0.98
+    assert sum(p == y for y, _, p in got) / len(got) > 0.97
+
+
+def test_held_out_toxicity(spark):
+    got = held_out_rows(spark, toxicity, "toxic")
+    assert sum(p for y, _, p in got if y) / sum(y for y, _, _ in got) >= 0.9
+    assert sum(p for y, _, p in got if not y) <= 0.005 * len(got)
+
+
+def exhaustive(model, token):
+    """The least cost over all readings of a token, each run read as any number of copies."""
+    runs = [m[0] for m in re.finditer(r"(.)\1*", token)]
+    best = math.inf
+    choices = []
+    for i, run in enumerate(runs):
+        n, sign = len(run), run[0]
+        fold = toxicity.COST_DOUBLE if n == 2 else toxicity.COST_FOLD
+        if sign.isalpha():
+            choices.append([(sign * k, fold * (n - k)) for k in range(1, n + 1)])
+            continue
+        if sign == " ":
+            choices.append([("", toxicity.COST_DROP), (" ", 0.0)])
+            continue
+        own = [(x * k, toxicity.COST_SWAP * k + fold * (n - k)) for x in toxicity.LOOK_ALIKES.get(sign, "") for k in range(1, n + 1)]
+        own.append((run, toxicity.COST_KEEP * n))
+        if not sign.isdigit():
+            own.append(("", toxicity.COST_DROP))
+            if 0 < i < len(runs) - 1:
+                own.append((" ", toxicity.COST_EDGE))
+        choices.append(own)
+    for path in itertools.product(*choices):
+        best = min(best, sum(c for _, c in path) + reading_cost(model, "".join(w for w, _ in path)))
+    return best
+
+
+def reading_cost(model, written):
+    a, b, total = 0, 0, 0.0
+    for c in [*written, " "]:
+        code = toxicity._CODE.get(c, toxicity._OTHER)
+        total -= float(model[a, b, code])
+        a, b = b, code
+    return total
+
+
+@pytest.fixture(scope="module")
+def corpus_model(spark):
+    return toxicity.language_model(toxicity.trigram_counts(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+def channel_cost(token, written):
+    """The least channel cost of a reading of ``token``: runs are aligned by dynamic programming."""
+    runs = [m[0] for m in re.finditer(r"(.)\1*", token)]
+    reach = {0: 0.0}
+    for i, run in enumerate(runs):
+        after = {}
+        for at, cost in reach.items():
+            for sign, k, extra in toxicity.readings(run[0], len(run), 0 < i < len(runs) - 1):
+                if written.startswith(sign * k, at):
+                    after[at + len(sign) * k] = min(after.get(at + len(sign) * k, math.inf), cost + extra)
+        reach = after
+    return reach[len(written)]
+
+
+def test_viterbi_is_exhaustive(corpus_model):
+    rng = random.Random(11)
+    decoder = toxicity.Decoder(corpus_model)
+    tokens = ["1d10t", "iddiioott", "i.d.i.o.t", "m00r0nn", "aaaa", "$$tup1d", "i d i o t", "x9"]
+    tokens += ["".join(rng.choice("iod1100t.$ae") for _ in range(rng.randint(1, 8))) for _ in range(150)]
+    for token in tokens:
+        written = decoder._search(token)
+        assert channel_cost(token, written) + reading_cost(corpus_model, written) == pytest.approx(exhaustive(corpus_model, token), abs=1e-3), token
+
+
+def test_long_tokens_take_linear_time(corpus_model):
+    decoder = toxicity.Decoder(corpus_model)
+    assert decoder.words("a" * 1_000_000) and decoder.words("." * 1_000_000) == [] and decoder.words("a" + "." * 1_000_000 + "b")
+    seconds = []
+    for n in (10_000, 100_000):
+        for token in ("1d10t", "x.y-", "i "):
+            began = time.process_time()
+            decoder.words((token * n).strip())
+            seconds.append(time.process_time() - began)
+    assert all(b < 25 * a + 0.5 for a, b in zip(seconds[:3], seconds[3:], strict=True))
+    words = ["a" * 25 + "b", "a" * 25 + "c"]
+    assert toxicity.word_slots(words[0])[0] != toxicity.word_slots(words[1])[0] and toxicity.word_slots("ab")
+
+
+def test_fits_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, b"x" * (10 if i % 3 else 1000)) for i in range(300)], "key long, y int, slots binary")
+    whole = labelled.bounded_rows(rows, "key", ["slots"])
+    part = labelled.bounded_rows(rows, "key", ["slots"], 20_000)
+    assert len(whole) == 300 and 0 < part["slots"].map(len).sum() <= 20_000 and set(part["key"]) < set(whole["key"])
+    assert sorted(labelled.bounded_rows(rows.repartition(7), "key", ["slots"], 20_000)["key"]) == sorted(part["key"])
+    assert len(labelled.bounded_rows(rows.limit(0), "key", ["slots"])) == 0
+    index, values = quality.features(" ".join(f"w{i}" for i in range(300_000)), {})
+    assert len(index) == len(set(index.tolist())) <= quality.SLOTS and len(values) == len(index)
+
+
+def test_decoding(spark, corpus_model):
+    assert np.allclose(np.exp(corpus_model).sum(axis=2), 1, atol=1e-3)
+    decoder = toxicity.Decoder(corpus_model)
+    for hidden, plain in {
+        "1d10t": "idiot", "m0r0n": "moron", "idiooot": "idiot", "tr4sh": "trash", "$tup1d": "stupid", "i.d.i.o.t": "idiot", "iddiioott": "idiot",
+        "id*iot": "idiot", "clown$$$": "clown", "trash***": "trash", "SCUM!!": "scum", "i d i o t": "idiot", "1 d 1 0 t": "idiot",
+    }.items():
+        assert decoder.words(hidden) == [plain]
+    assert decoder.words("w0rthl3ss") == decoder.words("worthless")
     assert decoder.text("The i d i o t and others,  trash***") == "the idiot and others trash"
-    assert decoder.token("2024") == "2024" and decoder.token("***") == "" and decoder.token("ordinary") == "ordinary"
+    assert decoder.words("2024") == ["2024"] and decoder.words("***") == [] and decoder.words("ordinary") == ["ordinary"]
+    docs = spark.createDataFrame([(1, "An 1d10t"), (2, None), (None, "")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in toxicity.restored_texts(docs, corpus_model, ["doc_id"]).collect()), key=repr) == sorted([(1, "an idiot"), (2, ""), (None, "")], key=repr)
 
 
 def test_counts_cover_all_texts(spark):
