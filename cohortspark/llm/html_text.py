@@ -1,48 +1,75 @@
 """Main text of web pages by two passes of block rules.
 
-Pass one cuts the page into blocks at block-level tags and decides each by its containers, link
-density, stop-word density and length. Blocks too short to tell are left open; pass two gives
-each of those the label of its nearest decided neighbours in page order (a tie between the two
-sides goes to the block before, a heading with the block after; with no decided block at all it is
-kept in an article, dropped elsewhere).
-
-Defined results: a null page is empty; a page without blocks has the empty text; repeated rows
-give repeated rows; an empty table gives no rows; other columns are not read.
+The page is cut into blocks at block-level tags. Pass one decides a block by the containers that it
+is in (navigation, adverts, comments and the like are never text), its link density (links are
+boilerplate) and its length with its stop-word density (long blocks of common words are text);
+where no block of the page has common words, length alone decides. What is left is ambiguous:
+headings, short blocks, blocks without common words. Pass two gives each of those the label of its
+nearest decided neighbours: of those in the smallest element around it that has any, else of the
+page's, whose ends count as boilerplate. A tie goes to the block before, a heading goes with the
+block after. Where a page has an ``article`` or ``main`` with text in it, all else is boilerplate.
+
+A class or id counts as a container's name if each of its parts is a known word (``post-comments``,
+not ``share-of-market``). A form that holds all of a page's text is no container.
+
+Defined results: a null page is empty; a page without blocks has the empty text; a page on which
+nothing is decided keeps all that is in no such container; repeated rows give repeated rows; an
+empty table gives no rows; other columns are not read. Malformed pages take linear time.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select button".split())
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HINT = re.compile(r"class|id|role|hidden|style", re.I)
+_RAW = frozenset("script style noscript template textarea title iframe svg select button audio video canvas".split())
+#: Of these an unclosed one reaches to the page's end.
+_RAW_TO_END = frozenset("script style textarea title".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary "
+    "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre search section summary "
     "table tbody td tfoot th thead tr ul".split()
 )
-_CLOSES_P = _BLOCK - {"body", "html", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-_BAD_TAG = frozenset("nav footer aside form menu dialog fieldset search head".split())
-_GOOD_TAG = frozenset("article main".split())
-_BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|"
-    r"footer\w*|foot|topbar|toolbar|comment\w*|disqus\w*|respond|replies|reply|cookie\w*|consent\w*|"
-    r"gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup\w*|login\w*|share\w*|sharing|"
-    r"social\w*|related\w*|recommend\w*|pagination|pager|search\w*|forms?|copyright\w*|legal)(?:$|[\s_-])",
-    re.I,
-)
-#: Of a page, these head the site; inside an article they head the text.
-_OUTER_WORD = re.compile(r"(?:^|[\s_-])(?:header|masthead|meta|byline|tags?|widget\w*)(?:$|[\s_-])", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_INSIDE_P = frozenset("body html head option caption tbody td tfoot th thead tr".split())
+#: An element of these ends one of the same kind that is still open right around it.
+_SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+_BAD_TAG = frozenset("nav footer aside menu dialog fieldset search head".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W\d_a-zA-Z]+")
+
+#: Names of containers that hold no text of the article...
+_BAD_NAME = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner banners nav navbar "
+    "navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers comment comments commentlist disqus cookie cookies "
+    "consent gdpr notice notices alert alerts popup popups modal overlay newsletter newsletters subscribe subscription signup login "
+    "share sharing social respond reply replies search form forms related recommended recommendations pagination pager copyright toolbar topbar masthead skip".split()
+)
+#: ...of those that do so outside of an article only, as the article's own parts may have these names...
+_OUTER_NAME = frozenset("header side foot legal meta byline tag tags widget widgets rail".split())
+#: ...of those that hold the article...
+_GOOD_NAME = frozenset("content article post entry story main body text".split())
+#: ...and words that go with any of them.
+_NEUTRAL = frozenset(
+    "a an the and box boxes list lists item items container wrap wrapper wrapped area areas section sections block blocks bar bars button "
+    "buttons link links icon icons left right top bottom upper lower middle first last site page pages global primary secondary inner outer "
+    "col column columns row group panel pane slot unit zone holder js is has no new posts articles stories single hentry blog view "
+    "user users reader readers header footer widget widgets thread count title div region module component "
+    "small large mobile desktop sticky fixed policy bottom center inline in out".split()
+)
+_KNOWN = _NEUTRAL | _GOOD_NAME | _BAD_NAME | _OUTER_NAME
 
 #: Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -55,149 +82,261 @@ STOP_WORDS = frozenset(
     "als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr im in ist mit "
     "nach nicht noch nur oder sein sich sie sind so über um und von vor war was wenn wie wird zu zum zur".split()
 )
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@dataclass(slots=True)
+class Block:
+    """``links``: characters in links; ``bad``: 1 in a form, 2 in another container without text;
+    ``good``: 1 in one named after the article, 2 in an ``article`` or ``main``; ``node``: its element."""
+
+    text: str
+    links: int
+    bad: int
+    good: int
+    heading: bool
+    paragraph: bool
+    node: int
 
 
-class _Block:
-    __slots__ = ("parts", "linked", "bad", "good", "heading")
+def _named(value: str, names: frozenset[str]) -> bool:
+    """Whether a class or id has a name of ``names`` beside neutral words only."""
+    for word in value.split():
+        parts = [x.lower() for x in _PARTS.findall(word)]
+        if any(x in names for x in parts) and all(x in _KNOWN or x.isdigit() or len(x) == 1 for x in parts):
+            return True
+    return False
 
-    def __init__(self, bad: bool, good: bool, heading: bool):
+
+def _container(tag: str, attributes: str, bad: int, good: int) -> tuple[int, int]:
+    """(bad, good) of an element within one of that ``bad`` and ``good``."""
+    if tag in _BAD_TAG or (tag == "header" and good < 2):
+        bad = 2
+    elif tag == "form":
+        bad = max(bad, 1)
+    fresh = 2 if tag in ("article", "main") else good
+    if attributes and bad < 2 and tag not in ("html", "body") and _HINT.search(attributes):
+        for key, *values in _ATTR.findall(attributes):
+            key, value = key.lower(), "".join(values)
+            if key in ("class", "id"):
+                if _named(value, _BAD_NAME) or (good < 2 and tag not in ("article", "main") and _named(value, _OUTER_NAME)):
+                    bad = 2
+                elif _named(value, _GOOD_NAME):
+                    fresh = max(fresh, 1)
+            elif key == "role":
+                if value.lower() in _BAD_ROLE:
+                    bad = 2
+                elif value.lower() in ("main", "article"):
+                    fresh = 2
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
+                bad = 2
+    return bad, fresh
+
+
+class _Page:
+    """Reads a page once from left to right."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parents = [-1]  # of every element; 0 is the page
+        self.stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, bad, good, node
+        self.open: Counter[str] = Counter()
         self.parts: list[str] = []
+        self.linked = self.links = 0
+
+    def data(self, piece: str) -> None:
+        if piece:
+            self.parts.append(piece)
+            if self.links and not piece.isspace():
+                self.linked += len(piece)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            if text:
+                tag, bad, good, node = self.stack[-1]
+                heading = any(t in _HEADINGS for t, *_ in self.stack[-3:])
+                self.blocks.append(Block(text, self.linked, bad, good, heading, heading or tag in ("p", "blockquote", "pre"), node))
+            self.parts = []
         self.linked = 0
-        self.bad, self.good, self.heading = bad, good, heading
 
+    def pop(self) -> None:
+        self.open[self.stack.pop()[0]] -= 1
 
-def _blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, in a bad container, in an article, heading) of every block."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, good, as inherited
-    now = _Block(False, False, False)
-    links = 0
+    def start(self, tag: str, attributes: str) -> None:
+        self.flush()
+        if self.open["p"] and tag not in _INSIDE_P and any(t == "p" for t, *_ in self.stack[-4:]):
+            while self.stack[-1][0] != "p":
+                self.pop()
+            self.pop()
+        ends = _SIBLINGS.get(tag, "").split()
+        while ends and self.stack[-1][0] in ends:
+            self.pop()
+        self.links = 0
+        if tag == "hr":
+            return
+        _, bad, good, node = self.stack[-1]
+        bad, good = _container(tag, attributes, bad, good)
+        self.stack.append((tag, bad, good, len(self.parents)))
+        self.parents.append(node)
+        self.open[tag] += 1
 
-    def flush() -> None:
-        nonlocal now
-        text = " ".join(html.unescape("".join(now.parts)).split())
-        if text:
-            out.append((text, now.linked, now.bad, now.good, now.heading))
-        top = stack[-1] if stack else ("", False, False)
-        now = _Block(top[1], top[2], any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack[-3:]))
+    def end(self, tag: str) -> None:
+        self.flush()
+        self.links = 0
+        if self.open[tag]:
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop()
 
-    def data(piece: str) -> None:
-        if piece:
-            now.parts.append(piece)
-            if links:
-                now.linked += len(piece)
-
-    at, end = 0, len(page)
-    while at < end:
-        found = _TAG.search(page, at)
-        if found is None:
-            data(page[at:])
-            break
-        data(page[at : found.start()])
-        at = found.end()
-        name = found[2]
-        if name is None:
-            if page.startswith("<![CDATA[", found.start()):
-                data(html.escape(found[0][9:-3]))
-            continue
-        tag = name.lower()
-        if found[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            if tag in _BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                links = 0
-                flush()
+    def read(self, page: str) -> None:
+        at, last_end, strict = 0, page.rfind(">"), True
+        unclosed: set[str] = set()
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start > last_end:
+                break
+            self.data(page[at:start])
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            if page.startswith("![CDATA[", at):
+                end = page.find("]]>", at)
+                end = len(page) if end < 0 else end
+                self.data(html.escape(page[at + 8 : end]))
+                at = end + 3
+                continue
+            if page.startswith(("!", "?"), at):
+                at = page.find(">", at) + 1
+                continue
+            name = _NAME.match(page, at)
+            if name is None:
+                self.data("&lt;")
+                continue
+            rest = _REST.match(page, name.end()) if strict else None
+            if rest is None:  # a quote that is never closed: from here on tags end at the first sign that can end them
+                strict = False
+                end = page.find(">", name.end())
+                attributes, at = page[name.end() : end], end + 1
+            else:
+                attributes, at = rest[1], rest.end()
+            tag = name[0].lower()
+            if tag.startswith("/"):
+                tag = tag[1:]
+                if tag == "a":
+                    self.links = max(0, self.links - 1)
+                elif tag in _BLOCK:
+                    self.end(tag)
             elif tag == "br":
-                data(" ")
-            continue
-        if tag == "br" or tag == "wbr":
-            data(" " if tag == "br" else "")
-            continue
-        if tag in _RAW:
-            if not found[3].rstrip().endswith("/"):
-                closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = closing.end() if closing else end if tag in ("script", "style") else at
-            continue
-        if tag == "a":
-            links += 1
+                self.data(" ")
+            elif tag == "a":
+                self.links += 1
+            elif tag in _BLOCK:
+                self.start(tag, attributes)
+            elif tag in _RAW and not attributes.rstrip().endswith("/"):
+                closing = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                if closing is None:
+                    unclosed.add(tag)
+                    at = len(page) if tag in _RAW_TO_END else at
+                else:
+                    at = closing.start()
+        self.data(page[at:])
+        self.flush()
+
+
+def _decide(block: Block, page_has_common_words: bool, max_link_density: float, short: int, stop: float, stops: float) -> bool | None:
+    """Pass one for a block that is in no container without text."""
+    long = len(block.text) >= short
+    if block.links > max_link_density * len(block.text):
+        return None if block.good == 2 and block.paragraph and not long else False
+    if block.heading:
+        return None
+    if long and (stops >= stop or block.good == 2 or not page_has_common_words):
+        return True
+    return True if block.good == 2 and stops >= 2 * stop else None
+
+
+def _inherit(labels: list[bool | None], blocks: list[Block], outside: list[bool], parents: list[int]) -> list[bool]:
+    """Pass two: each open block takes the label of its nearest decided neighbours.
+
+    ``outside`` marks blocks that containers decided: they are neighbours only where the open
+    block's own elements have no block that its content decided.
+    """
+    n = len(blocks)
+    first, last = [n] * len(parents), [-1] * len(parents)
+    decided = [False] * len(parents)
+    for i, b in enumerate(blocks):
+        first[b.node], last[b.node] = min(first[b.node], i), max(last[b.node], i)
+        decided[b.node] = decided[b.node] or (labels[i] is not None and not outside[i])
+    for node in range(len(parents) - 1, 0, -1):  # elements come after those that they are in
+        p = parents[node]
+        first[p], last[p], decided[p] = min(first[p], first[node]), max(last[p], last[node]), decided[p] or decided[node]
+    anchor = [0] * len(parents)
+    for node in range(1, len(parents)):
+        anchor[node] = node if decided[node] else anchor[parents[node]]
+
+    def nearest(usable: list[bool]) -> tuple[list[int], list[int]]:
+        before, after, seen = [-1] * n, [n] * n, -1
+        for i in range(n):
+            before[i] = seen
+            seen = i if usable[i] else seen
+        seen = n
+        for i in range(n - 1, -1, -1):
+            after[i] = seen
+            seen = i if usable[i] else seen
+        return before, after
+
+    own = nearest([x is not None and not o for x, o in zip(labels, outside, strict=True)])
+    every = nearest([x is not None for x in labels])
+    out = [bool(x) for x in labels]
+    for i, b in enumerate(blocks):
+        if labels[i] is not None:
             continue
-        if tag in _BLOCK:
-            if tag in _CLOSES_P and any(t == "p" for t, _, _ in stack[-4:]):
-                while stack and stack.pop()[0] != "p":
-                    pass
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            links = 0
-            bad = bool(stack and stack[-1][1]) or tag in _BAD_TAG
-            good = bool(stack and stack[-1][2]) or tag in _GOOD_TAG
-            if tag == "header" and not good:
-                bad = True
-            if found[3] and not bad:
-                for key, *values in _ATTR.findall(found[3]):
-                    value, key = "".join(values), key.lower()
-                    if key in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                        bad = bad or bool(_BAD_WORD.search(value)) or (not good and bool(_OUTER_WORD.search(value)))
-                    elif key == "role":
-                        bad = bad or value.lower() in _BAD_ROLE
-                        good = good or value.lower() in ("main", "article")
-                    elif key == "hidden" or key == "style" and _HIDDEN.search(value):
-                        bad = True
-            if tag not in _VOID:
-                stack.append((tag, bad, good))
-            flush()
-    flush()
+        node = anchor[b.node]
+        if node:
+            left, right = own[0][i], own[1][i]
+            left, right = left if left >= first[node] else None, right if right <= last[node] else None
+        else:
+            left, right = every[0][i], every[1][i]  # -1 and n are the page's ends
+        if right is None or (left is not None and i - left <= right - i and not b.heading):
+            out[i] = left >= 0 and bool(labels[left])
+        else:
+            out[i] = right < n and bool(labels[right])
     return out
 
 
-def main_text(page: str | None, max_link_density: float = 0.33, short: int = 70, stop_high: float = 0.30, stop_low: float = 0.15) -> str:
+def main_text(page: str | None, max_link_density: float = 0.33, short: int = 70, stop: float = 0.10) -> str:
     """The main text of one page; blocks joined by a line feed."""
     if not page:
         return ""
-    blocks = _blocks(page)
-    inside = any(good and not bad for _, _, bad, good, _ in blocks)
-    labels: list[bool | None] = []
-    for text, linked, bad, good, heading in blocks:
-        words = text.lower().split()
-        density = linked / max(1, len(text))
-        stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
-        if bad or (inside and not good):
-            labels.append(False)
-        elif density > max_link_density:
-            labels.append(None if good and len(text) < short else False)
-        elif good and not heading and (len(text) >= short or stops >= stop_low):
-            labels.append(True)
-        elif len(text) < short or heading:
-            labels.append(None)
-        elif stops >= stop_high or (stops >= stop_low and len(text) >= 2 * short):
-            labels.append(True)
-        elif stops >= stop_low:
-            labels.append(None)
-        else:
-            labels.append(False)
-    # Blocks of an article inherit from decided blocks of the article alone.
-    kept = [i for i, b in enumerate(blocks) if not inside or (b[3] and not b[2])]
-    before: dict[int, tuple[int, bool]] = {}
-    last: tuple[int, bool] | None = None
-    for n, i in enumerate(kept):
-        if labels[i] is not None:
-            last = (n, labels[i])
-        elif last is not None:
-            before[i] = (n - last[0], last[1])
-    after: tuple[int, bool] | None = None
-    for n in range(len(kept) - 1, -1, -1):
-        i = kept[n]
-        if labels[i] is not None and i not in before:
-            after = (n, labels[i])
-        elif labels[i] is None:
-            left, right = before.get(i), (after[0] - n, after[1]) if after else None
-            near = left if right is None or (left and left[0] <= right[0] and not blocks[i][4]) else right  # a heading goes with what follows
-            labels[i] = near[1] if near else inside
-            before[i] = before.get(i, (0, labels[i]))
-    return "\n".join(b[0] for b, label in zip(blocks, labels, strict=True) if label)
+    reader = _Page()
+    reader.read(page)
+    blocks = reader.blocks
+    stops = []
+    for b in blocks:
+        words = _WORD.findall(b.text.lower()) if len(b.text) >= short or b.good == 2 else ()
+        stops.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+    # A form around all the text is not one of the page's forms.
+    limit = 1 if any(b.bad == 0 and len(b.text) >= short for b in blocks) else 2
+    outside = [b.bad >= limit for b in blocks]
+    links = [b.links > max_link_density * len(b.text) for b in blocks]
+    common = any(len(b.text) >= short and s >= stop for b, s, o, x in zip(blocks, stops, outside, links, strict=True) if not (o or x))
+
+    def first_pass() -> list[bool | None]:
+        return [False if o else _decide(b, common, max_link_density, short, stop, s) for b, o, s in zip(blocks, outside, stops, strict=True)]
+
+    labels = first_pass()
+    if any(b.good == 2 and x for b, x in zip(blocks, labels, strict=True)) or (
+        any(b.good == 2 and not o for b, o in zip(blocks, outside, strict=True)) and not any(labels)
+    ):
+        outside = [o or b.good < 2 for b, o in zip(blocks, outside, strict=True)]
+        labels = first_pass()
+    if not any(labels):
+        labels = [x is None for x in labels]
+    out = _inherit(labels, blocks, outside, reader.parents)
+    return "\n".join(b.text for b, x in zip(blocks, out, strict=True) if x)
 
 
 def html_text(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), page: str = "html") -> DataFrame:

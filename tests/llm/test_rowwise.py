@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -76,7 +77,63 @@ def test_page_text():
     assert html_text.main_text(plain) == html_text.main_text(PAGE)  # the same by density, length and neighbours
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<div></div>") == ""
     assert html_text.main_text("<article>" + "<p>a" * 2000) == "\n".join("a" * 2000)
-    html_text.main_text("<p a='" * 200 + "<" * 2000)  # malformed pages end
+
+
+FIRST = "The first paragraph of the text is long enough, and it has the words that are in all of the texts."
+SECOND = "It is the second of the paragraphs, and what it says is not of much use to the one who has read the first."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div id=content><p>{FIRST}</p><p>Short.</p><p>{SECOND}</p></div><article class='comment'><p>I like the text, and this is the comment of a reader of it.</p></article>", [FIRST, "Short.", SECOND]),
+        (f"<article><p>{FIRST}</p><p>So <math>E = m</math> it is, <object>and more</object>.</p></article>", [FIRST, "So E = m it is, and more."]),
+        (f"<main><p class='share-of-market'>{FIRST}</p><div class='legal'><p>{SECOND}</p></div></main>", [FIRST, SECOND]),
+        (f"<article><p>{FIRST}</p><div class='social-share'>Share this with all of your friends and with all of the others too</div><ol class='postComments'><li>{SECOND}</li></ol></article>", [FIRST]),
+        (f"<form id=all><div><h2>Title</h2><p>{FIRST}</p></div><div class=sidebar><p>{SECOND}</p></div></form>", ["Title", FIRST]),
+        (f"<form><p>{SECOND}</p></form><h2>Title</h2><p>{FIRST}</p>", ["Title", FIRST]),
+        (f"<div><a href=1>One</a> <a href=2>Two</a></div><div>Short<p>{FIRST}<ul><li>Yes<li>No</ul></div><div aria-hidden=true>{SECOND}</div><div style='display: none'>{SECOND}</div>", ["Short", FIRST, "Yes", "No"]),
+        ("<nav>Menu</nav><div><h1>T</h1><p>Kurz.</p></div><footer>Ende</footer>", ["T", "Kurz."]),
+        (f"<article class=teaser><a href=1>Read the next one, which is on the other page of the site, and not here</a></article><div><p>{FIRST}</p></div>", [FIRST]),
+        (f"<p data-class='ad'>{FIRST}</p><p title='a > b' class=\"ad-slot\">{SECOND}</p>", [FIRST]),
+        (f"<article><header><h1>T</h1></header><p>{FIRST}<br>On.</p><footer>By me</footer></article><header>Site</header>", ["T", FIRST + " On."]),
+        ("<table><tr><td>a &lt; b &amp;&#33; <td>zwei</table><![CDATA[x < y]]>", ["a < b &!", "zwei", "x < y"]),
+    ],
+)
+def test_page_shapes(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_articles_need_no_article_element(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    same = sum(html_text.main_text(p) == html_text.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages)
+    assert same >= 0.95 * len(pages)
+
+
+def test_malformed_pages_take_linear_time():
+    for piece in ("<a ", '<a "', "<a \"'>", "<div>", "</x>", "<select>", "<!--", "<", "<![CDATA[", "<b a=\"x' y>", "<div><p>", "</li><div>", "<p a='"):
+        began = time.process_time()
+        html_text.main_text(piece * (400_000 // len(piece)))
+        assert time.process_time() - began < 5, piece
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([True, False, None]), st.integers(0, 3), st.booleans(), st.booleans()), min_size=1, max_size=14), st.integers(1, 3))
+def test_second_pass_by_brute_force(rows, elements):
+    # Elements 1 to 3 hang under the page (0); blocks come in the order of their elements.
+    rows = sorted(rows, key=lambda r: r[1])
+    parents = [-1, *([0] * elements)]
+    rows = [(label, min(node, elements), out and label is False, heading) for label, node, out, heading in rows]
+    blocks = [html_text.Block("x", 0, 0, 0, heading, False, node) for _, node, _, heading in rows]
+    got = html_text._inherit([r[0] for r in rows], blocks, [r[2] for r in rows], parents)
+    for i, (label, node, _, heading) in enumerate(rows):
+        if label is not None:
+            assert got[i] == label
+            continue
+        own = [(j, lab) for j, (lab, n, out, _) in enumerate(rows) if n == node and node and lab is not None and not out]
+        near = own or [(j, lab) for j, (lab, _, _, _) in enumerate(rows) if lab is not None] + [(-1, False), (len(rows), False)]
+        least = min(near, key=lambda x: (x[0] < i if heading else 0, abs(x[0] - i), x[0] > i))
+        assert got[i] == least[1]
 
 
 def test_page_text_query(spark):
