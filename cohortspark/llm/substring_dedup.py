@@ -1,20 +1,26 @@
-"""Substring dedup over a compacted de Bruijn graph of token k-mers.
-
-Each place of a document's word sequence has a k-mer of ``K`` words, an edge from one (k-1)-mer to
-the next. Of the k-mers in a window of ``WINDOW`` words the one with the least hash is its
-minimizer; a maximal run of windows with one minimizer is a path piece, the compact form of a
-nonbranching path. Pieces are labelled by a 128-bit digest of their whole word sequence, so that
-the graph's repeated paths meet in Spark joins on (minimizer, label), some twenty words to a row:
-
-* a minimizer with a single label is nonbranching: all its windows were first seen in the least
-  document of that label;
-* at a branching minimizer (several labels) each label's least document lists the windows of the
-  piece by their own 128-bit digests, and the least document of each window is found over labels.
-
-Then every occurrence (source coordinates: document, first window, number of windows) compares
-its own document with the first one of each of its windows; covered words come out as spans.
-Equal windows always have equal minimizers, so no repeat is missed; labels are digests of the
-words themselves, so no span is removed whose words do not repeat. No pairs of documents are made.
+"""Substring dedup by de Bruijn compaction over token k-mers.
+
+The graph's edges are the windows of ``WINDOW`` words, its nodes the word sequences that two
+neighbouring windows share. It is built and compacted in buckets, as assemblers do: of the k-mers
+of ``K`` words in a window the one with the least hash is its minimizer, all occurrences of an edge
+have the same one, and a document enters a minimizer's bucket with maximal runs of windows
+(pieces). A piece is labelled by a 128-bit digest of its words.
+
+* A bucket whose pieces all have one key holds no repeat and is left out.
+* A bucket with one label is one nonbranching path: it was first seen in the least document of it.
+* In a bucket with several labels later occurrences of a label repeat its least document as a
+  whole. The least occurrences become rows of edges: a rolling hash of the edge, a digest of its
+  words, and the words before and after it. An edge's least document and source coordinate follow
+  from an aggregation; where all its occurrences have the same neighbours its nodes have one way in
+  and one way out. A join brings both back to the edges that a smaller document has, and runs of
+  neighbouring edges compact into paths: nonbranching ones that go on at the source, too.
+
+Every path is an occurrence (document, first window, number of windows) with its source (least
+document, first window there); covered words come out as spans. A repeat is taken for one only if
+digests of the words at both coordinates agree: of the piece (128 bits) or of the edge (64 bits
+beside the 64 of the rolling hash). No pairs of documents are made; heavy minimizers, labels and
+edges are aggregated before they are shuffled, and joined with tables that adaptive execution can
+split.
 
 Defined results: a null text has no words; repeated rows with one key are removed by documents of
 smaller keys only; rows with a null key neither remove nor lose words; an empty table gives no
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,23 +45,30 @@ WINDOW = 50
 K = 12
 #: Windows in one piece at most: repetitive texts keep one minimizer for very long.
 PIECE_WINDOWS = 64
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
 _CHUNK_WORDS = 1 << 18
 
 
-def _tokens(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit id for each word of the whole text; bytes.split() cuts at the six ASCII spaces."""
-    words = (text or "").encode().split()
-    if len(seen) > 1 << 18:
-        seen.clear()
-    ids = []
-    for w in words:
-        i = seen.get(w)
-        if i is None:
-            i = seen[w] = xxhash.xxh3_64_intdigest(w)
-        ids.append(i)
-    return np.array(ids, np.uint64)
+class Words:
+    """The words of a whole text: 64-bit ids and, by slices, their own bytes."""
+
+    def __init__(self, text: str | None, seen: dict[bytes, int]):
+        words = (text or "").encode().split()  # bytes.split() cuts at the six ASCII spaces
+        if len(seen) > 1 << 18:
+            seen.clear()
+        ids = []
+        for w in words:
+            i = seen.get(w)
+            if i is None:
+                i = seen[w] = xxhash.xxh3_64_intdigest(w)
+            ids.append(i)
+        self.ids = np.array(ids, np.uint64)
+        self.joined = b" ".join(words)
+        self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+
+    def digest(self, first: int, n: int, size: int) -> bytes:
+        """Of ``n`` words from ``first`` on."""
+        return hashlib.blake2b(self.joined[self.starts[first] : self.starts[first + n] - 1], digest_size=size).digest()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,33 +77,38 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def minimizers(tokens: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
-    """The minimizer of each window (the least mixed hash of its k-mers)."""
-    n = len(tokens)
-    if n < window:
+def rolling(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words from each place on."""
+    if len(ids) < n:
         return np.empty(0, np.uint64)
-    powers = np.full(n, _B, np.uint64)
+    powers = np.full(len(ids), _BASE, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    back = np.full(n, _B_INV, np.uint64)
+    back = np.full(len(ids), pow(_BASE, -1, 1 << 64), np.uint64)
     back[0] = 1
     back = np.multiply.accumulate(back)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * back, dtype=np.uint64)])
-    kmers = _mix((total[k:] - total[:-k]) * powers[: n - k + 1])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * back, dtype=np.uint64)])
+    return _mix((total[n:] - total[:-n]) * powers[: len(ids) - n + 1])
+
+
+def minimizers(ids: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
+    """The minimizer of each window (the least hash of its k-mers)."""
+    n = len(ids)
+    if n < window:
+        return np.empty(0, np.uint64)
     # Sliding minimum by doubling: spans of 1, 2, 4, ... k-mers, then two that overlap.
-    reach, span = window - k + 1, 1
-    low = kmers
+    low, reach, span = rolling(ids, k), window - k + 1, 1
     while span * 2 <= reach:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     return np.minimum(low[: n - window + 1], low[reach - span : reach - span + n - window + 1])
 
 
-def pieces(tokens: np.ndarray, window: int = WINDOW, k: int = K) -> list[tuple[int, int, int]]:
+def pieces(ids: np.ndarray, window: int = WINDOW, k: int = K) -> list[tuple[int, int, int]]:
     """(minimizer, first window, windows) of each maximal run, cut at ``PIECE_WINDOWS``."""
     out = []
-    for at in range(0, max(0, len(tokens) - window + 1), _CHUNK_WORDS):
-        least = minimizers(tokens[at : at + _CHUNK_WORDS + window - 1], window, k)
+    for at in range(0, max(0, len(ids) - window + 1), _CHUNK_WORDS):
+        least = minimizers(ids[at : at + _CHUNK_WORDS + window - 1], window, k)
         ends = np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]]).tolist()
         start = 0
         for end in ends:
@@ -102,8 +120,13 @@ def pieces(tokens: np.ndarray, window: int = WINDOW, k: int = K) -> list[tuple[i
     return out
 
 
-def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def _neighbours(ids: np.ndarray, first: int, windows: int, window: int) -> np.ndarray:
+    """The words before and after each window of a piece in one long; 0 beyond the piece's ends."""
+    short = (ids[first : first + windows + window - 1] & np.uint64(0x3FFFFFFF)) + np.uint64(1)
+    before, after = np.zeros(windows, np.uint64), np.zeros(windows, np.uint64)
+    before[1:] = short[: windows - 1]
+    after[:-1] = short[window:]
+    return (before << np.uint64(32) | after).view(np.int64)
 
 
 def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -111,12 +134,8 @@ def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(both[:, 0].copy(), pa.int64()), pa.array(both[:, 1].copy(), pa.int64())
 
 
-def _ints(values: list[int], kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
-
-
 def graph_pieces(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """``key, h, m, l1, l2, first, windows``: the path pieces of every row of ``key, h, text``.
+    """``key, h, m, l1, l2, first, windows``: the pieces of every row of ``key, h, text``.
 
     ``m`` is the minimizer, ``l1`` and ``l2`` are the halves of the label.
     """
@@ -126,17 +145,17 @@ def graph_pieces(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
         for batch in batches:
             rows, found, labels = [], [], []
             for row, value in enumerate(batch.column(2)):
-                tokens = _tokens(value.as_py(), seen)
-                for piece in pieces(tokens, window, k):
+                words = Words(value.as_py(), seen)
+                for piece in pieces(words.ids, window, k):
                     rows.append(row)
                     found.append(piece)
-                    labels.append(_digest(tokens[piece[1] : piece[1] + piece[2] + window - 1]))
+                    labels.append(words.digest(piece[1], piece[2] + window - 1, 16))
                 if rows and (len(rows) > 50_000 or row + 1 == batch.num_rows):
                     m, first, n = zip(*found, strict=True)
                     places = pa.array(rows, pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(places), batch.column(1).take(places), _ints(m, pa.int64()), *_halves(labels),
-                         _ints(first, pa.int32()), _ints(n, pa.int32())],
+                        [batch.column(0).take(places), batch.column(1).take(places), pa.array(m, pa.int64()), *_halves(labels),
+                         pa.array(first, pa.int32()), pa.array(n, pa.int32())],
                         names=["key", "h", "m", "l1", "l2", "first", "windows"],
                     )
                     rows, found, labels = [], [], []
@@ -148,38 +167,65 @@ def graph_pieces(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     return docs.select("key", "h", "text").mapInArrow(run, schema)
 
 
-def piece_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``key, h, at, d1, d2``: the digest of each window in the ``pieces`` of rows of ``key, h, text, pieces``."""
+def edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``key, h, first, at, e, v, beside``: the edges in the ``pieces`` of rows of ``key, h, text, pieces``.
+
+    ``first`` is the piece, ``at`` the window; ``e`` is the edge's rolling hash, ``v`` the digest of
+    its words, ``beside`` holds the words before and after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        names = ["key", "h", "first", "at", "e", "v", "beside"]
         for batch in batches:
-            rows, ats, digests = [], [], []
+            rows, firsts, ats, hashes, digests, beside = [], [], [], [], [], []
+            held = 0
             for row in range(batch.num_rows):
-                tokens = _tokens(batch.column(2)[row].as_py(), seen)
-                for piece in batch.column(3)[row].as_py():
-                    for at in range(piece["first"], piece["first"] + piece["windows"]):
-                        rows.append(row)
-                        ats.append(at)
-                        digests.append(_digest(tokens[at : at + window]))
-                if rows and (len(rows) > 50_000 or row + 1 == batch.num_rows):
-                    places = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(places), batch.column(1).take(places), _ints(ats, pa.int32()), *_halves(digests)],
-                        names=["key", "h", "at", "d1", "d2"],
-                    )
-                    rows, ats, digests = [], [], []
+                words = Words(batch.column(2)[row].as_py(), seen)
+                own = batch.column(3)[row].values
+                for first, n in zip(own.field("first").to_pylist(), own.field("windows").to_pylist(), strict=True):
+                    rows.append(np.full(n, row))
+                    firsts.append(np.full(n, first, np.int32))
+                    ats.append(np.arange(first, first + n, dtype=np.int32))
+                    hashes.append(rolling(words.ids[first : first + n + window - 1], window).view(np.int64))
+                    digests += [words.digest(at, window, 8) for at in range(first, first + n)]
+                    beside.append(_neighbours(words.ids, first, n, window))
+                    held += n
+                if rows and (held > 50_000 or row + 1 == batch.num_rows):
+                    places = pa.array(np.concatenate(rows))
+                    columns = [pa.array(np.concatenate(x)) for x in (firsts, ats, hashes)]
+                    columns += [pa.array(np.frombuffer(b"".join(digests), np.int64)), pa.array(np.concatenate(beside))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), *columns], names=names)
+                    rows, firsts, ats, hashes, digests, beside = [], [], [], [], [], []
+                    held = 0
 
-    long = T.LongType()
-    schema = T.StructType(
-        [docs.schema["key"], T.StructField("h", long), T.StructField("at", T.IntegerType()), T.StructField("d1", long), T.StructField("d2", long)]
-    )
+    long, integer = T.LongType(), T.IntegerType()
+    kinds = {"h": long, "first": integer, "at": integer, "e": long, "v": long, "beside": long}
+    schema = T.StructType([docs.schema["key"], *(T.StructField(n, t) for n, t in kinds.items())])
     return docs.select("key", "h", "text", "pieces").mapInArrow(run, schema)
 
 
+def compact(hits: DataFrame) -> DataFrame:
+    """``key, h, path`` from edges ``key, h, first, at, least, source, plain``: neighbouring edges of a piece
+    compact into one path (``first, windows, least, source``) where both are plain and go on at the source."""
+    kind = f"array<struct<first:int,windows:int,least:{hits.schema['least'].dataType.simpleString()},source:int,plain:boolean>>"
+    found = hits.groupBy("key", "h", "first").agg(F.sort_array(F.collect_list(F.struct("at", "least", "source", "plain"))).alias("es"))
+
+    def step(paths: Column, e: Column) -> Column:
+        last = F.element_at(paths, -1)
+        on = e["plain"] & last["plain"] & (e["least"] == last["least"])
+        on = on & (e["at"] == last["first"] + last["windows"]) & (e["source"] == last["source"] + last["windows"])
+        new = F.struct(e["at"].alias("first"), F.lit(1).alias("windows"), e["least"].alias("least"), e["source"].alias("source"), e["plain"].alias("plain"))
+        longer = F.struct(last["first"].alias("first"), (last["windows"] + 1).alias("windows"), last["least"].alias("least"), last["source"].alias("source"), last["plain"].alias("plain"))
+        grown = F.concat(F.slice(paths, F.lit(1), F.size(paths) - 1), F.array(longer))
+        return F.when((F.size(paths) > 0) & on, grown).otherwise(F.concat(paths, F.array(new))).cast(kind)
+
+    return found.select("key", "h", F.explode(F.aggregate("es", F.array().cast(kind), step)).alias("path"))
+
+
 def _listed(spans: DataFrame, name: str) -> DataFrame:
     """One row per document with the array of its own (first, windows)."""
-    return spans.groupBy("key", "h").agg(F.collect_list(F.struct("first", "windows")).alias(name))
+    return spans.groupBy("key", "h").agg(F.collect_set(F.struct("first", "windows")).alias(name))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -188,25 +234,30 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     A run covers the words ``first`` to ``first + windows + window - 2``; null where nothing repeats.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    found, drop = cut_to_table(graph_pieces(rows.where(F.col("key").isNotNull()), window, k))
-    # The first halves tell labels of one minimizer apart.
-    nodes = found.groupBy("m").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min("l1").alias("one"), F.max("l1").alias("other"))
-    nodes = nodes.where("least < most").select("m", "least", (F.col("one") != F.col("other")).alias("branching"))
-    shared, _ = cut_to_table(found.join(nodes, "m").drop("m"))
-    drop()
+    found, drop_found = cut_to_table(graph_pieces(rows.where(F.col("key").isNotNull()), window, k))
+    # Aggregates go to tables of their own: a join that reads them can be split by adaptive execution.
+    buckets = found.groupBy("m").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.min("l1").alias("one"), F.max("l1").alias("other"))
+    buckets, drop_buckets = cut_to_table(buckets.where("least < most").select("m", "least", (F.col("one") != F.col("other")).alias("branching")))
+    shared, _ = cut_to_table(found.join(buckets, "m").drop("m"))
+    drop_found()
+    drop_buckets()
     whole = shared.where("not branching and key > least").select("key", "h", "first", "windows")
-    # Branching nodes: repeats of whole pieces first, then window by window for the first of each label.
     branches = shared.where("branching").select("key", "h", "l1", "l2", "first", "windows")
-    labels = branches.groupBy("l1", "l2").agg(F.min("key").alias("least"))
+    labels, drop_labels = cut_to_table(branches.groupBy("l1", "l2").agg(F.min("key").alias("least")))
     branches, _ = cut_to_table(branches.join(labels, ["l1", "l2"]).select("key", "h", "first", "windows", "least"))
+    drop_labels()
     later = branches.where("key > least").select("key", "h", "first", "windows")
     first = _listed(branches.where("key = least"), "pieces")
-    # One exchange of the texts serves the look-up of windows and the final join.
+    # One exchange of the texts serves the edges and the final join.
     placed = rows.repartition("key", "h")
-    windows = piece_windows(placed.join(first, ["key", "h"]), window)
-    source = windows.groupBy("d1", "d2").agg(F.min("key").alias("least"))
-    partly = windows.join(source, ["d1", "d2"]).where("key > least").select("key", "h", F.col("at").alias("first"), F.lit(1).alias("windows"))
-    spans = _listed(whole.unionByName(later).unionByName(partly), "spans")
+    graph = edges(placed.join(first, ["key", "h"]), window)
+    sources = graph.groupBy("e", "v").agg(
+        F.min("key").alias("least"), F.max("key").alias("most"), F.min_by("at", "key").alias("source"), (F.min("beside") == F.max("beside")).alias("plain")
+    )
+    sources = sources.where("least < most").drop("most")
+    hits = graph.join(sources, ["e", "v"]).where("key > least").select("key", "h", "first", "at", "least", "source", "plain")
+    paths = compact(hits).select("key", "h", "path.first", "path.windows")
+    spans = _listed(whole.unionByName(later).unionByName(paths), "spans")
     out = placed.join(spans, ["key", "h"], "left")
     return out.select(F.col("key").alias(key), F.col("text").alias(text), "spans")
 
@@ -221,13 +272,11 @@ def without_spans(found: DataFrame, key: str = "doc_id", text: str = "text", win
             for row in range(batch.num_rows):
                 words = (batch.column(1)[row].as_py() or "").encode().split()
                 totals.append(len(words))
-                spans = batch.column(2)[row].as_py()
-                if spans:
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    for s in spans:
-                        edges[s["first"]] += 1
-                        edges[s["first"] + s["windows"] + window - 1] -= 1
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
+                spans = batch.column(2)[row]
+                if spans.is_valid:
+                    first, windows = (spans.values.field(n).to_numpy() for n in ("first", "windows"))
+                    depth = np.bincount(first, minlength=len(words) + 1) - np.bincount(first + windows + window - 1, minlength=len(words) + 1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(depth[:-1]) == 0)]
                 removed.append(totals[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(

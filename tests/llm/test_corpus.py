@@ -214,3 +214,44 @@ def test_substring_dedup_on_tangled_texts(spark):
         found = substring_dedup.repeated_spans(frame(spark, data), window=window, k=k)
         got = substring_dedup.without_spans(found, window=window)
         assert sorted(map(tuple, got.collect()), key=repr) == brute_kept([(r[0], r[1]) for r in data], window)
+
+
+def test_pieces_are_cut_alike_in_chunks(monkeypatch):
+    rng = random.Random(7)
+    ids = substring_dedup.Words(" ".join(rng.choice("abcdefgh") for _ in range(900)), {}).ids
+
+    def windows(found):
+        return [(m, at) for m, first, n in found for at in range(first, first + n)]
+
+    whole = substring_dedup.pieces(ids)
+    want = [(min(int(substring_dedup.rolling(ids[at : at + 50], 12)[i]) for i in range(39)), at) for at in range(len(ids) - 49)]
+    assert [(m % (1 << 64), at) for m, at in windows(whole)] == want and all(n <= substring_dedup.PIECE_WINDOWS for *_, n in whole)
+    for chunk in (1, 37, 851, 852):
+        monkeypatch.setattr(substring_dedup, "_CHUNK_WORDS", chunk)
+        assert windows(substring_dedup.pieces(ids)) == windows(whole)
+    assert substring_dedup.pieces(ids[:49]) == [] and len(substring_dedup.rolling(ids[:3], 4)) == 0
+
+
+def test_words_are_digested_themselves():
+    a, b = substring_dedup.Words("x yz \n w é", {}), substring_dedup.Words("é  x yz w é", {})
+    assert a.digest(0, 4, 16) == b.digest(1, 4, 16) == hashlib.blake2b("x yz w é".encode(), digest_size=16).digest()
+    assert a.digest(0, 2, 8) != a.digest(0, 3, 8) and len(substring_dedup.Words(None, {}).ids) == 0
+
+
+def test_repeats_compact_into_paths(spark):
+    # Edges 10 to 29 of one piece run along a source; at 20 the graph branches, 25 goes elsewhere.
+    data = [(1, 7, 10, at, 0, at + 90 if at < 25 else at + 500, at != 20) for at in range(10, 30)]
+    hits = spark.createDataFrame(data, "key long, h long, first int, at int, least long, source int, plain boolean")
+    got = sorted((r.path.first, r.path.windows, r.path.least, r.path.source) for r in substring_dedup.compact(hits).collect())
+    assert got == [(10, 10, 0, 100), (20, 1, 0, 110), (21, 4, 0, 111), (25, 5, 0, 525)]
+
+
+def test_edges_know_their_neighbours(spark):
+    text = " ".join("abcdefghij")
+    docs = spark.createDataFrame([(1, 2, text, [(2, 4)]), (3, 4, " ".join("xbcdefghiy"), [(2, 4)])], "key long, h long, text string, pieces array<struct<first:int,windows:int>>")
+    got = {(r.key, r["at"]): r for r in substring_dedup.edges(docs, 3).collect()}
+    assert sorted(got) == [(k, at) for k in (1, 3) for at in range(2, 6)]
+    for at in range(2, 6):
+        assert all(got[1, at][c] == got[3, at][c] for c in ("e", "v", "beside", "first"))
+    assert got[1, 2].beside < 1 << 32 and got[1, 5].beside % (1 << 32) == 0  # nothing before the first edge, after the last
+    assert len({got[1, at].v for at in range(2, 6)}) == 4
