@@ -4,7 +4,8 @@ The base rules find assignments, access keys and hex strings. Beside them, candi
 (runs of key characters) are cut into their character classes' runs (hex digits, base-64 signs);
 a window slides over each run, the window's character counts are kept up by one increment and one
 decrement a step, and the entropy follows from the running sum of n log n. A run whose best window
-reaches its class's threshold is a span, unless it overlaps a base span or the allow list names it.
+reaches its class's threshold is a span, unless the allow list names it. What base spans cover of a
+candidate is cut out first, and what hex runs cover of it before the runs of the next class.
 
 Positions are code points. Defined results: a null text is empty (no spans); repeated rows give
 repeated rows; an empty table gives no rows; other columns are not read.
@@ -12,7 +13,6 @@ repeated rows; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -45,6 +45,7 @@ ALLOW = (
     re.compile(r"(?:sha(?:1|256|384|512)|md5)[-_=].*", re.I),
     re.compile(r".*(?:example|placeholder|xxxx|0123456789|abcdefgh).*", re.I),
 )
+_JOINTS = frozenset("+/_=-")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
@@ -82,25 +83,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in found]
 
 
-def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that the entropy rules add to ``base``."""
+def _without(start: int, end: int, holes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted, disjoint ``holes`` leave of a stretch."""
     out = []
+    for a, b in holes:
+        if a > start:
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    if start < end:
+        out.append((start, end))
+    return out
+
+
+def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that the entropy rules add to ``base`` (sorted); both are walked once from left to right."""
+    taken: list[tuple[int, int]] = []  # what base spans cover, disjoint
+    for a, b, _ in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    out, first = [], 0
     for candidate in CANDIDATE.finditer(text):
+        start, end = candidate.span()
+        while first < len(taken) and taken[first][1] <= start:
+            first += 1
         whole = candidate[0]
-        if _DIGIT.search(whole) is None or _LETTER.search(whole) is None:
-            continue
-        if any(a.fullmatch(whole) for a in ALLOW):
+        if _DIGIT.search(whole) is None or _LETTER.search(whole) is None or any(a.fullmatch(whole) for a in ALLOW):
             continue
+        last = first
+        while last < len(taken) and taken[last][0] < end:
+            last += 1
+        free = _without(start, end, taken[first:last])
         for characters, window, least in CLASSES.values():
-            spans = [
-                (candidate.start() + m.start(), candidate.start() + m.end())
-                for m in characters.finditer(whole)
-                if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and best_entropy(m[0], window) >= least
-            ]
-            spans = [(a, b) for a, b in spans if not any(a < e and s < b for s, e, _ in base)]
-            if spans:
-                out += [(a, b, "entropy") for a, b in spans]
-                break
+            rest = []
+            for a, b in free:
+                if (a, b) != (start, end):  # signs that joined it with what was cut out
+                    while a < b and text[a] in _JOINTS:
+                        a += 1
+                    while b > a and text[b - 1] in _JOINTS:
+                        b -= 1
+                found = [
+                    m.span()
+                    for m in characters.finditer(text, a, b)
+                    if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and best_entropy(m[0], window) >= least and not any(x.fullmatch(m[0]) for x in ALLOW)
+                ]
+                out += [(x, y, "entropy") for x, y in found]
+                rest += _without(a, b, found)
+            free = rest
+    out.sort()
     return out
 
 
@@ -162,7 +193,3 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def span_digest(spans: list[tuple[int, int, str]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()

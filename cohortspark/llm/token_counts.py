@@ -23,9 +23,14 @@ from pyspark.sql import types as T
 
 #: Code points whose letter, digit and space classes are the same in every regex engine.
 _PLAIN = re.compile("[\x00-ɏ‐-‧€]*")
-#: A cut between a letter, digit or full stop and a space: the pattern's tokens may start with a
-#: space but none goes on over one, so both sides are tokenized as they are in the whole.
-_SAFE = re.compile("(?<=[A-Za-z0-9.])(?=[ \n])")
+#: A cut between a letter or digit and white space or a punctuation mark: the pattern's tokens of
+#: letters or digits go on over neither, so both sides are tokenized as they are in the whole. Of
+#: each script those letters that every version of Unicode has as such; no mark that a special
+#: string or a contraction holds.
+_SAFE = re.compile(
+    "(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0400-\u0481\u05d0-\u05ea\u0620-\u063a\u0641-\u064a"
+    "\u0904-\u0939\u0e01-\u0e30\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[ \n\t.,;:!?)\u3001\u3002\uff0c\uff0e\uff01\uff1f\uff1a\uff1b\uff09])"
+)
 _LONG_RUN = 2000
 _LONG_WORD = re.compile(r"[^\s]{%d}" % _LONG_RUN)
 
@@ -98,13 +103,13 @@ def _encoder(path: str, ranks_path: str | None):
     return count
 
 
-def _balanced(pieces: Iterator[tuple[int, str]], most: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Batches of about ``most`` characters, however many or few texts that is."""
+def _balanced(pieces: Iterator[tuple[int, str, int]], most: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Batches of about ``most`` bytes of (row, piece, bytes), however many or few texts that is."""
     rows, texts, held = [], [], 0
-    for row, text in pieces:
+    for row, text, size in pieces:
         rows.append(row)
         texts.append(text)
-        held += len(text)
+        held += size
         if held >= most:
             yield rows, texts
             rows, texts, held = [], [], 0
@@ -119,7 +124,7 @@ def token_counts(
     key: str = "doc_id",
     text: str = "text",
     limit: int = 1024,
-    batch_chars: int = 1 << 20,
+    batch_bytes: int = 1 << 20,
     piece_chars: int = 1 << 16,
 ) -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` of every row; only lengths leave the Arrow function.
@@ -139,10 +144,11 @@ def token_counts(
                     content = value.as_py()
                     if content:
                         n_bytes[row] = len(content.encode())
-                        for piece in split_safely(content, piece_chars):
-                            yield row, piece
+                        parts = split_safely(content, piece_chars)
+                        for piece in parts:
+                            yield row, piece, n_bytes[row] if len(parts) == 1 else len(piece.encode())
 
-            for rows, held in _balanced(pieces(), batch_chars):
+            for rows, held in _balanced(pieces(), batch_bytes):
                 for row, n in zip(rows, count(held), strict=True):
                     n_tokens[row] += n
             tokens = pa.array(n_tokens, pa.int64())

@@ -1,12 +1,12 @@
 """MPEG transport streams as a media column.
 
-The writer stores bytes losslessly: a program association table, a program map table with one
-private-data stream, and the payload as packetized elementary packets (access units of
-``UNIT_BYTES``, one each 1/25 s on the 90 kHz clock; every ``UNITS_PER_ACCESS_POINT``-th unit is a
-random-access point with a program clock reference). The reader trusts nothing of that: it
-follows the program tables to the elementary streams, checks table checksums and continuity
-counters, reassembles elementary packets and returns their bytes with time stamps and
-random-access points.
+The writer stores bytes losslessly as packetized elementary packets of one private-data stream
+(access units of ``UNIT_BYTES``, one each 1/25 s on the 90 kHz clock). Every
+``UNITS_PER_ACCESS_POINT``-th unit is a random-access point: a program association table and a
+program map table come before it, and it has a program clock reference. The reader trusts nothing
+of that: it follows the program tables to the elementary streams, checks table checksums and
+continuity counters (a packet may be sent twice; the second one is passed over), reassembles
+elementary packets and returns their bytes with time stamps and random-access points.
 
 Defined results: a null text is empty (its payload is the 64 bytes of padding); equal texts give
 equal media; repeated rows give repeated rows; an empty table gives no rows. Null or malformed
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,21 +60,22 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return data + section_crc(data).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    packet = bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + section
+def _table_packet(pid: int, counter: int, section: bytes) -> bytes:
+    packet = bytes([0x47, 0x40 | pid >> 8, pid & 255, 0x10 | counter & 15, 0]) + section
     return packet + b"\xff" * (PACKET - len(packet))
 
 
-_TABLES = _table_packet(0, _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
-    PMT_PID,
-    _section(
-        2,
-        1,
-        (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00",
-    ),
+_PROGRAMS = _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+_STREAMS = _section(
+    2, 1, (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00"
 )
 
 
+@lru_cache(16)
+def _tables(counter: int) -> bytes:
+    return _table_packet(0, counter, _PROGRAMS) + _table_packet(PMT_PID, counter, _STREAMS)
+
+
 def _stamp(ticks: int) -> bytes:
     t = ticks & 0x1FFFFFFFF
     return bytes([0x21 | (t >> 30) << 1, t >> 22 & 255, 1 | (t >> 15 & 127) << 1, t >> 7 & 255, 1 | (t & 127) << 1])
@@ -86,13 +88,14 @@ def pad(data: bytes) -> bytes:
 
 def write_stream(payload: bytes) -> bytes:
     """A transport stream that holds ``payload``."""
-    parts, counter = [_TABLES], 0
+    parts, counter = [], 0
     for unit, at in enumerate(range(0, max(1, len(payload)), UNIT_BYTES)):
         body = payload[at : at + UNIT_BYTES]
         pes = b"\x00\x00\x01\xbd" + (len(body) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(unit * TICKS_PER_UNIT) + body
         access = unit % UNITS_PER_ACCESS_POINT == 0
         # The first packet has an adaptation field if the unit is a random-access point: flags and clock.
         if access:
+            parts.append(_tables(unit // UNITS_PER_ACCESS_POINT & 15))
             base = (unit * TICKS_PER_UNIT) & 0x1FFFFFFFF
             field = bytes([0x50]) + (base << 15 | 0x7E00).to_bytes(6, "big")
         else:
@@ -126,8 +129,8 @@ def write_stream(payload: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray, starts: np.ndarray, data_at: np.ndarray) -> Iterator[bytes]:
-    """The checked sections of one PID, each within its packet or over several."""
-    held = b""
+    """The checked sections of one PID, each within its packet or over several; a repeated one once."""
+    held, seen = b"", set()
     for row, start, at in zip(packets, starts, data_at, strict=True):
         data = row[at:].tobytes()
         if start:
@@ -138,10 +141,12 @@ def _sections(packets: np.ndarray, starts: np.ndarray, data_at: np.ndarray) -> I
             length = 3 + ((held[1] & 15) << 8 | held[2])
             if len(held) < length:
                 break
-            if section_crc(held[:length]) != 0:
-                raise ValueError("a table's checksum is wrong")
-            yield held[:length]
-            held = held[length:]
+            section, held = held[:length], held[length:]
+            if section not in seen:
+                if section_crc(section) != 0:
+                    raise ValueError("a table's checksum is wrong")
+                seen.add(section)
+                yield section
 
 
 def read_stream(media: bytes) -> dict:
@@ -183,9 +188,14 @@ def read_stream(media: bytes) -> dict:
         if not len(own):
             continue
         steps = np.diff(counters[own].astype(np.int16)) & 15
+        again = np.flatnonzero(steps == 0) + 1
+        again = again[(packets[own[again]] == packets[own[again - 1]]).all(axis=1)]
+        if len(again):
+            own = np.delete(own, again)
+            steps = np.diff(counters[own].astype(np.int16)) & 15
         lost += int((steps != 1).sum())
         firsts = np.flatnonzero(starts[own])
-        for n, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(own)], strict=True)):
+        for a, b in zip(firsts, [*firsts[1:], len(own)], strict=True):
             rows, ats = own[a:b], data_at[own[a:b]]
             # Runs of plain packets are copied at once.
             pieces, plain = [packets[rows[0], ats[0] :].tobytes()], 1
@@ -204,7 +214,7 @@ def read_stream(media: bytes) -> dict:
                 p = pes[9:14]
                 stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
             if has_field[rows[0]] and packets[rows[0], 4] and packets[rows[0], 5] & 0x40:
-                access.append(n)
+                access.append(len(payload))
             payload.append(pes[9 + pes[8] :])
     return {
         "payload": b"".join(payload),
