@@ -7,30 +7,40 @@ pivotal method: two documents meet, mass moves at random from one to the other u
 integral, and the other goes on. Documents meet in the order of their sizes, so a transfer barely
 changes the number of words.
 
-The meetings form a reduction tree. A block holds the documents of one source and size class
-(sizes within a tenth), salted into so many blocks that one has ``FAN_IN`` rows on average; it
-settles all its documents but one, and these residuals meet in ever fewer blocks, at last in one
-per source. Long documents are rounded first (over the source's mean size, then over half of it);
-what they take over or under their share is made up for in the shares of the shorter ones, so the
-words of small sources come near their target too. So a source with any share of the rows is spread over all tasks, and only residuals
-travel further. The random numbers are hashes of the documents that meet: reruns agree, whatever
-the partitions.
+The meetings form a reduction tree. Rows that agree in key, source and size are one element with a
+number of rows: whole rows of their common mass are settled at once and what is left is rounded.
+A block holds the elements of one source and size class (sizes within a tenth), salted into so many
+blocks that a class of all the source's elements would have ``FAN_IN`` to a block; it settles all
+its elements but one, and these residuals meet in ever fewer blocks, at last in one per source.
+Long documents are rounded first (over the source's mean size, then over half of it); what they
+take over or under their share is made up for in the shares of the shorter ones, so the words of
+small sources come near their target too. So a source or a key with any share of the rows is spread
+over all tasks, and only residuals travel further. The random numbers are hashes of the elements
+that meet: reruns agree, whatever the partitions.
 
 Defined results: a null text has size 0; a document of size 0 takes 0; with no words at all every
 target is 0; the null source is a source of its own and comes last; a repeated row is a document
-of its own; a null key is passed through; an empty table gives no rows; other columns are not
+of its own (of equal rows any take the further copies); a null key is passed through; an empty table gives no rows; other columns are not
 read. The table of sources (one row each) is ordered in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.lineage import cut
 
+#: Of size classes, in natural logarithms: a tenth.
+CLASS_WIDTH = 0.0953
 WORD = r"[^\x20\x09-\x0D]+"
-FAN_IN = 256
+FAN_IN = 1024
+#: Residuals of a source that meet in one block at most.
+LAST_BLOCK = 8192
+#: Rows of one element that are written from one row.
+_CHUNK = 4096
 #: Rows of the table of sources up to which it is broadcast (about 100 bytes each); beyond, a shuffled join.
 BROADCAST_SOURCES = 100_000
 
@@ -40,8 +50,8 @@ def _wide(c: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """``source, source_size, n_docs, target`` from rows of ``source, size``."""
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    """``source, source_size, n_docs, n_rows, target`` from elements of ``source, size, n`` (``n`` equal rows)."""
+    sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("n_docs"), F.sum("n").alias("n_rows"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int"))
@@ -59,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     free = F.sum(F.when(~F.col("held"), F.col("w")).otherwise(F.lit(0))).over(everywhere)
     share = (F.col("total") - fixed).cast("double") * F.col("w").cast("double") / free.cast("double")
     target = F.when(F.col("held"), F.col("most").cast("double")).otherwise(share)
-    return sources.select("source", "source_size", "n_docs", target.alias("target"))
+    return sources.select("source", "source_size", "n_docs", "n_rows", target.alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -84,7 +94,7 @@ def _meet(state: Column, e: Column, level: int, seed: int, kind: str) -> Column:
     next_p = F.when(stays, settled).otherwise(left)
 
     def row(x: Column, p: Column) -> Column:
-        return F.struct(x["k"].alias("k"), x["h"].alias("h"), x["id"].alias("id"), x["copies"].alias("copies"), p.alias("p"))
+        return F.struct(*(x[c].alias(c) for c in ("k", "h", "id", "copies", "n", "more")), p.alias("p"))
 
     first_row, next_row = row(a, first_p), row(e, next_p)
     settled_row = F.when(stays, next_row).otherwise(first_row)
@@ -99,22 +109,24 @@ def _step(level: int, seed: int, kind: str):
     return lambda state, e: _meet(state, e, level, seed, kind)
 
 
-def pivotal_round(rows: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
-    """Rows of ``group, n_docs, size, id, copies, p`` with 0 < p < 1, rounded: ``group, id, size, copies``."""
+def pivotal_round(rows: DataFrame, most: int, classes: int, seed: int = 7, fan_in: int = FAN_IN, last_block: int = LAST_BLOCK) -> DataFrame:
+    """Elements of ``group, n_docs, size, id, copies, n, more, p`` with 0 < p < 1, rounded: ``group, id, size, copies, n, more``.
+
+    ``more`` grows by one where ``p`` becomes 1. ``most`` bounds ``n_docs``, ``classes`` the size classes of a group.
+    """
     id_type = rows.schema["id"].dataType.simpleString()
-    kind = f"struct<k:bigint,h:bigint,id:{id_type},copies:bigint,p:double>"
-    most = rows.agg(F.max("n_docs")).first()[0]
-    if most is None:
-        return rows.select("group", "id", "size", "copies")
-    spread, splits = 1, []
-    while spread < most:
-        spread *= fan_in
-        splits.append(spread)
+    kind = f"struct<k:bigint,h:bigint,id:{id_type},copies:bigint,n:bigint,more:bigint,p:double>"
+    splits, left = [], most
+    while left > last_block:
+        splits.append(fan_in ** (len(splits) + 1))
+        left = classes * -(-most // splits[-1]) if splits[-1] < most else classes
+        if splits[-1] >= most:
+            break
     now = rows.select(
         "group",
         "n_docs",
-        F.floor(F.log(F.col("size").cast("double")) / F.lit(0.0953)).alias("klass"),
-        F.struct((-F.col("size")).alias("k"), F.xxhash64("id", "size", F.lit(seed)).alias("h"), "id", F.col("copies").cast("bigint").alias("copies"), "p").cast(kind).alias("e"),
+        F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(CLASS_WIDTH)).alias("klass"),
+        F.struct((-F.col("size")).alias("k"), F.xxhash64("id", "size", F.lit(seed)).alias("h"), "id", *(F.col(c).cast("bigint").alias(c) for c in ("copies", "n", "more")), "p").cast(kind).alias("e"),
     )
     settled = []
     for level, split in enumerate([*splits, None]):
@@ -139,29 +151,50 @@ def pivotal_round(rows: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> DataF
             settled.append(residuals.select("group", F.col("e").withField("p", lucky).alias("e")))
         now = residuals
     out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
+    for further in settled[1:]:
+        out = out.unionByName(further)
     return out.select(
-        "group", F.col("e.id").alias("id"), (-F.col("e.k")).alias("size"), (F.col("e.copies") + F.round("e.p").cast("bigint")).alias("copies")
+        "group", F.col("e.id").alias("id"), (-F.col("e.k")).alias("size"), F.col("e.copies").alias("copies"), F.col("e.n").alias("n"),
+        (F.col("e.more") + F.round("e.p").cast("bigint")).alias("more"),
     )
 
 
+def _rows_of(elements: DataFrame, most: int) -> DataFrame:
+    """One row for each of an element's ``n`` rows with its ``nth``; elements of many rows are dealt out first."""
+    if most > _CHUNK:
+        chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {_CHUNK}")))
+        elements = elements.withColumn("chunk", chunks).repartition("id", "size", "chunk")
+    else:
+        elements = elements.withColumn("chunk", F.lit(0).cast("bigint"))
+    nth = F.sequence(F.col("chunk") * _CHUNK + 1, F.least(F.col("n"), (F.col("chunk") + 1) * _CHUNK))
+    return elements.withColumn("nth", F.explode(nth)).drop("chunk")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
     """``key, size, source_size, target, taken`` and ``source, copies`` of every document."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sizes = cut(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size")))
+    sizes = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    sizes = cut(sizes.groupBy("id", "source", "size").agg(F.count("*").alias("n")))
     sources = cut(source_targets(sizes, weights, cap))
-    small = sources.count() <= BROADCAST_SOURCES
+    bounds = sources.agg(F.count("*").alias("sources"), F.max("n_docs").alias("docs")).first()
+    longest = sizes.agg(F.max("size").alias("size"), F.max("n").alias("n")).first()
+    if longest.n is None:
+        nothing = sizes.join(sources.drop("source"), F.lit(False))
+        zero = F.lit(0).cast("bigint")
+        return nothing.select(F.col("id").alias(key), "size", "source_size", "target", zero.alias("taken"), "source", zero.alias("copies"))
+    classes = 2 + int(math.log(max(1, longest.size)) / CLASS_WIDTH)
+    small = bounds.sources <= BROADCAST_SOURCES
     right = sources.withColumnRenamed("source", "group")
     both = sizes.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("group")))
-    mean = F.col("source_size") / F.col("n_docs")
+    mean = F.col("source_size") / F.col("n_rows")
     tier = F.when(F.col("size") > mean, 0).when(F.col("size") * 2 > mean, 1).otherwise(2)
     share = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    both = both.select("group", "n_docs", "id", "size", share.alias("share"), tier.alias("tier"))
+    both = both.select("group", "n_docs", "id", "size", "n", share.alias("share"), tier.alias("tier"))
     # What long documents take over or under their share, shorter ones make up for.
-    weight = both.groupBy("group").agg(*(F.sum(F.when(F.col("tier") >= t, F.col("size")).otherwise(F.lit(0))).alias(f"w{t}") for t in range(3)))
+    words = F.col("size") * F.col("n")
+    weight = both.groupBy("group").agg(*(F.sum(F.when(F.col("tier") >= t, words).otherwise(F.lit(0))).alias(f"w{t}") for t in range(3)))
     weight = cut(weight.select(F.col("group").alias("g"), "w0", "w1", "w2", F.lit(0.0).alias("over")))
     outs = []
     for t in range(3):
@@ -170,20 +203,21 @@ def mix_sources(
         moved = F.least(F.greatest(F.when(F.col("size") > 0, moved).otherwise(F.lit(0.0)), F.lit(0.0)), F.lit(float(cap)))
         rows = rows.withColumn("moved", moved)
         whole = F.floor(F.col("moved") + 1e-12)
-        part = F.greatest(F.col("moved") - whole, F.lit(0.0))
-        rows = rows.select("group", "n_docs", "id", "size", whole.cast("bigint").alias("copies"), part.alias("p"))
-        rounded = pivotal_round(rows.where("p >= 1e-9"), seed + t)
-        outs.append(rows.where("p < 1e-9").select("group", "id", "size", "copies").unionByName(rounded))
+        mass = F.greatest(F.col("moved") - whole, F.lit(0.0)) * F.col("n")
+        rows = rows.select("group", "n_docs", "id", "size", "n", whole.cast("bigint").alias("copies"), mass.alias("mass"))
+        more = F.least(F.floor(F.col("mass") + 1e-9), F.col("n"))
+        rows = rows.select("group", "n_docs", "id", "size", "n", "copies", more.cast("bigint").alias("more"), F.greatest(F.col("mass") - more, F.lit(0.0)).alias("p"))
+        rounded = pivotal_round(rows.where("p >= 1e-9"), bounds.docs, classes, seed + t)
+        outs.append(rows.where("p < 1e-9").select("group", "id", "size", "copies", "n", "more").unionByName(rounded))
         if t < 2:
-            took = outs[-1].groupBy("group").agg(F.sum(F.col("copies") * F.col("size")).alias("took"))
+            took = outs[-1].groupBy("group").agg(F.sum((F.col("copies") * F.col("n") + F.col("more")) * F.col("size")).alias("took"))
             due = F.col(f"w{t}") - F.col(f"w{t + 1}")
             plan = F.coalesce(F.col("took"), F.lit(0)) - due * F.col("ratio")
             ratio = right.select(F.col("group").alias("r"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("ratio"))
             weight = weight.join(took, F.col("g").eqNullSafe(F.col("group")), "left").join(ratio, F.col("g").eqNullSafe(F.col("r")))
             weight = cut(weight.select("g", "w0", "w1", "w2", (F.col("over") + plan).alias("over")))
-    out = outs[0].unionByName(outs[1]).unionByName(outs[2])
+    out = _rows_of(outs[0].unionByName(outs[1]).unionByName(outs[2]), longest.n)
     right = right.withColumnRenamed("group", "source")
     out = out.join(F.broadcast(right) if small else right, F.col("group").eqNullSafe(F.col("source")))
-    return out.select(
-        F.col("id").alias(key), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("source"), "copies"
-    )
+    copies = F.col("copies") + (F.col("nth") <= F.col("more")).cast("bigint")
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.col("source"), copies.alias("copies"))

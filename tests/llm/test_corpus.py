@@ -61,17 +61,29 @@ def test_targets_and_rounding(spark):
 
 def test_rounding_keeps_mass_and_expectation(spark):
     n = 700
-    docs = spark.range(n).select(
-        F.lit("g").alias("group"), F.lit(n).cast("bigint").alias("n_docs"), F.lit(10).cast("bigint").alias("size"), F.col("id"), F.lit(0).cast("bigint").alias("copies"), F.lit(0.3).alias("p")
-    )
+    long = lambda c, name: F.lit(c).cast("bigint").alias(name)
+    docs = spark.range(n).select(F.lit("g").alias("group"), long(n, "n_docs"), long(10, "size"), F.col("id"), long(0, "copies"), long(1, "n"), long(0, "more"), F.lit(0.3).alias("p"))
     hits = Counter()
-    for seed in range(4):
-        got = mixing.pivotal_round(docs, seed=seed, fan_in=16).collect()
-        assert len(got) == n and abs(sum(r.copies for r in got) - 0.3 * n) < 1.0
-        hits.update(r.id for r in got if r.copies)
+    for seed, last in ((0, 30), (1, 30), (2, 1000), (3, 60)):
+        got = mixing.pivotal_round(docs, n, 1, seed=seed, fan_in=16, last_block=last).collect()
+        assert len(got) == n and abs(sum(r.more for r in got) - 0.3 * n) < 1.0
+        hits.update(r.id for r in got if r.more)
     assert set(hits.values()) <= {1, 2, 3, 4} and len(hits) > 0.55 * n  # other seeds draw other documents
 
 
+def test_one_key_may_hold_most_rows(spark):
+    n = 100_000
+    hot = spark.range(n).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("hot").alias("source"))
+    none = spark.range(5000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b").alias("text"), F.lit(None).cast("string").alias("source"))
+    rest = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), 40)).alias("text"), F.lit("a").alias("source"))
+    found = mixing.mix_sources(hot.unionByName(none).unionByName(rest))
+    by_source = {r.source: r for r in found.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.min("copies").alias("least"), F.max("size").alias("size")).collect()}
+    assert {s: r.n for s, r in by_source.items()} == {"hot": n, None: 5000, "a": 300}
+    target = brute_targets({"hot": 3 * n, None: 10_000, "a": 12_000})
+    for s, r in by_source.items():
+        assert abs(r.target - float(target[s])) < 1e-6 and abs(r.taken - r.target) <= r.size and r.most - r.least <= 1 and r.most <= 3
+
+
 def brute_fingerprint(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     ws = SPLIT.findall(lowered)
