@@ -112,5 +112,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     parts = parts.join(points.withColumnRenamed("fp", "node"), "node")
     least = parts.groupBy("component").agg(F.min("least_key").alias("component_id"))
     linked = parts.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    ids = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_key").alias("component_id"))
+    # A table of its own: the last join reads two plain exchanges, which adaptive execution splits where a fingerprint is hot.
+    ids = cut(points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_key").alias("component_id")))
     return marked.join(ids, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
