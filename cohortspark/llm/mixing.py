@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.lineage import cut
+from cohortspark.llm.repeats import repeated
 
 #: Of size classes, in natural logarithms: a tenth.
 CLASS_WIDTH = 0.0953
@@ -39,8 +40,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 FAN_IN = 1024
 #: Residuals of a source that meet in one block at most.
 LAST_BLOCK = 8192
-#: Rows of one element that are written from one row.
-_CHUNK = 4096
 #: Rows of the table of sources up to which it is broadcast (about 100 bytes each); beyond, a shuffled join.
 BROADCAST_SOURCES = 100_000
 
@@ -159,17 +158,6 @@ def pivotal_round(rows: DataFrame, most: int, classes: int, seed: int = 7, fan_i
     )
 
 
-def _rows_of(elements: DataFrame, most: int) -> DataFrame:
-    """One row for each of an element's ``n`` rows with its ``nth``; elements of many rows are dealt out first."""
-    if most > _CHUNK:
-        chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {_CHUNK}")))
-        elements = elements.withColumn("chunk", chunks).repartition("id", "size", "chunk")
-    else:
-        elements = elements.withColumn("chunk", F.lit(0).cast("bigint"))
-    nth = F.sequence(F.col("chunk") * _CHUNK + 1, F.least(F.col("n"), (F.col("chunk") + 1) * _CHUNK))
-    return elements.withColumn("nth", F.explode(nth)).drop("chunk")
-
-
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
@@ -216,7 +204,7 @@ def mix_sources(
             ratio = right.select(F.col("group").alias("r"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("ratio"))
             weight = weight.join(took, F.col("g").eqNullSafe(F.col("group")), "left").join(ratio, F.col("g").eqNullSafe(F.col("r")))
             weight = cut(weight.select("g", "w0", "w1", "w2", (F.col("over") + plan).alias("over")))
-    out = _rows_of(outs[0].unionByName(outs[1]).unionByName(outs[2]), longest.n)
+    out = repeated(outs[0].unionByName(outs[1]).unionByName(outs[2]), "n", longest.n, ["id", "size"])
     right = right.withColumnRenamed("group", "source")
     out = out.join(F.broadcast(right) if small else right, F.col("group").eqNullSafe(F.col("source")))
     copies = F.col("copies") + (F.col("nth") <= F.col("more")).cast("bigint")

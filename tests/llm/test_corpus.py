@@ -184,7 +184,7 @@ def test_contamination(spark, monkeypatch):
     want = brute_contamination([(r[0], r[1]) for r in data], items)
     got = decontamination.contamination(frame(spark, data), benchmark).drop("items")
     assert sorted(map(tuple, got.collect()), key=repr) == want
-    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 20)  # several blocks give the same
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 20)  # shuffled joins give the same
     got = decontamination.contamination(frame(spark, data), benchmark).drop("items")
     assert sorted(map(tuple, got.collect()), key=repr) == want
     none = decontamination.contamination(frame(spark), benchmark.limit(0)).collect()
@@ -192,6 +192,14 @@ def test_contamination(spark, monkeypatch):
     assert decontamination.contamination(empty(spark), benchmark).count() == 0
 
 
+def test_many_equal_documents(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.range(9000).select(F.lit(3).cast("bigint").alias("doc_id"), F.lit(f"so {item} it goes").alias("text"))
+    got = decontamination.contamination(docs, benchmark).groupBy("doc_id", "n_words", "n_hit", "contaminated").count().collect()
+    assert list(map(tuple, got)) == [(3, 17, 14, True, 9000)]
+
+
 def brute_kept(docs, window):
     first = {}
     for doc_id, text in docs:
