@@ -192,4 +192,5 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n
                     columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # mapInArrow does not take names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
