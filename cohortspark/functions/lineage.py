@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a new temporary one."""
+    """The session's ``spark.checkpoint.dir``. Where none is set a session on one machine gets a new
+    temporary folder; on a cluster its executors would not share one, so that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
