@@ -60,17 +60,17 @@ def crossover(a: Column, b: Column, breaks: Column, block_bits: int) -> Column:
     return F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), block)
 
 
-def mutate(strand: Column, places: Column, block_bits: int) -> Column:
-    """Sets (never flips) the bits at the given places."""
+def mutate(strand: Column, places: Column, block_bits: int, blocks: int) -> Column:
+    """Sets (never flips) the bits at the given places of a strand of ``blocks`` blocks.
 
-    def block(x: Column, i: Column) -> Column:
-        def bit(p: Column) -> Column:
-            return F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % block_bits).cast("int"))
+    The masks are built place by place, so that ``places`` (often a costly expression) is evaluated once.
+    """
 
-        own = F.filter(places, lambda p: F.floor(p / block_bits) == i)
-        return F.aggregate(own, x, lambda acc, p: acc.bitwiseOR(bit(p)))
+    def add(masks: Column, p: Column) -> Column:
+        at, bit = F.floor(p / block_bits), F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % block_bits).cast("int"))
+        return F.transform(masks, lambda m, i: F.when(i == at, m.bitwiseOR(bit)).otherwise(m))
 
-    return F.transform(strand, block)
+    return F.zip_with(strand, F.aggregate(places, F.array_repeat(F.lit(0).cast("bigint"), blocks), add), lambda x, m: x.bitwiseOR(m))
 
 
 def code_at(strand: Column, locus: Column | int, block_bits: int, bits: int = 1) -> Column:

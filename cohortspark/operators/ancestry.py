@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.lineage import cut
-from cohortspark.operators.genetics import random_mask
-from cohortspark.functions.genome import free_recombination
+from cohortspark.operators.genetics import BLOCK_BITS, random_mask
 
 
 def parent_edges(ancestors: DataFrame) -> DataFrame:
@@ -25,18 +24,27 @@ def decode(packed: Column) -> tuple[Column, Column]:
     return F.shiftright(packed, 32), packed.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def back_reach(ancestors: DataFrame, start: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """``origin, id, depth``: all ancestors of ``start`` (``origin, id``) with their least number of generations."""
-    edges = cut(parent_edges(ancestors))
-    seen = cut(start.select("origin", "id", F.lit(0).alias("depth")))
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        up = frontier.join(edges, F.col("id") == F.col("child")).select("origin", F.col("parent").alias("id")).distinct()
-        new = cut(up.join(seen, ["origin", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+def back_reach(ancestors: DataFrame, start: DataFrame, hops: int = 6) -> DataFrame:
+    """``origin, id, depth``: all ancestors of ``start`` (``origin, id``) with their least number of generations.
+
+    A round goes ``hops`` generations up and looks once at what was reached before; each round's new
+    nodes are a table of their own. It ends where nothing new is reached, however deep the graph is.
+    """
+    edges = cut(parent_edges(ancestors).distinct())
+    frontier = cut(start.select("origin", "id", F.lit(0).alias("depth")).distinct())
+    seen, depth = frontier, 0
+    while True:
+        up, reached = frontier.select("origin", "id"), None
+        for hop in range(1, hops + 1):
+            up = up.join(edges, F.col("id") == F.col("child")).select("origin", F.col("parent").alias("id")).distinct()
+            now = up.withColumn("depth", F.lit(depth + hop))
+            reached = now if reached is None else reached.unionByName(now)
+        best = reached.groupBy("origin", "id").agg(F.min("depth").alias("depth"))
+        new = cut(best.join(seen, ["origin", "id"], "left_anti"))
+        depth += hops
         if new.isEmpty():
             return seen
-        seen, frontier = cut(seen.unionByName(new)), new
-    raise RuntimeError(f"no end after {max_rounds} generations")
+        seen, frontier = seen.unionByName(new), new.where(F.col("depth") == depth)
 
 
 def coalescence(ancestors: DataFrame, samples: DataFrame) -> DataFrame:
@@ -78,22 +86,33 @@ def analyse(ancestors: DataFrame, block: int) -> DataFrame:
     return ancestors.groupBy(F.floor((F.col("id") - 1) / block).alias("block")).agg(F.min(known).alias("least_parent"), F.max("id").alias("limit"))
 
 
-def evolve(ancestors: DataFrame, founders: DataFrame, blocks: int, seed: int, max_rounds: int = 200) -> DataFrame:
-    """``id, strand1, strand2`` of every node: founders have genomes, a child gets its own once both parents have theirs.
+def evolve(ancestors: DataFrame, founders: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """``id, strand1, strand2`` of every node whose founders all have genomes (``id, strand1, strand2``).
 
-    A parent's strands recombine freely; one result of each parent makes the child.
+    A parent's strands recombine freely by a random mask; one result of each parent makes the child. So
+    each bit comes from one strand of one parent: a row per node, strand, block and origin holds the
+    bits that go there, and following two steps at once doubles the way in each round. A graph of d
+    generations takes log2(d) rounds, whatever its size.
     """
-    known = cut(founders.select("id", "strand1", "strand2"))
-    waiting = cut(ancestors.where("mom > 0").select("id", "mom", "dad"))
-    frontier = True
-    for _ in range(max_rounds):
-        if not frontier:
-            return known
-        side = lambda p: known.select(F.col("id").alias(p), F.col("strand1").alias(p + "1"), F.col("strand2").alias(p + "2"))
-        ready = waiting.join(side("mom"), "mom").join(side("dad"), "dad")
-        mix = lambda p: free_recombination(F.col(p + "1"), F.col(p + "2"), random_mask(f"{seed}|evolve|{p}", F.col("id"), blocks))
-        born = cut(ready.select("id", mix("mom").alias("strand1"), mix("dad").alias("strand2")))
-        frontier = not born.isEmpty()
-        known = cut(known.unionByName(born))
-        waiting = cut(waiting.join(born, "id", "left_anti"))
-    raise RuntimeError("the graph did not end")
+    parents = ancestors.where("mom > 0").select("id", "mom", "dad")
+    mask = lambda p: random_mask(f"{seed}|evolve|{p}", F.col("id"), blocks)
+    full = (1 << BLOCK_BITS) - 1
+    sides = F.array(F.struct(F.lit(1).alias("s"), F.col("mom").alias("to"), mask("mom").alias("m")), F.struct(F.lit(2).alias("s"), F.col("dad").alias("to"), mask("dad").alias("m")))
+    strands = parents.select("id", F.inline(sides)).select("id", "s", "to", F.posexplode("m").alias("b", "bits"))
+    ways = F.array(F.struct(F.lit(1).alias("ts"), F.col("bits").alias("bits")), F.struct(F.lit(2).alias("ts"), (F.lit(full).cast("bigint") - F.col("bits")).alias("bits")))
+    ways = strands.select("id", "s", "b", "to", F.inline(ways)).where("bits <> 0")
+    inner = parents.select(F.col("id").alias("to"), F.lit(False).alias("ends"))
+    ways = cut(ways.join(inner, "to", "left").select("id", "s", "b", "bits", "to", "ts", F.coalesce("ends", F.lit(True)).alias("ends")))
+    while not ways.where("not ends").isEmpty():
+        on = ways.select(F.col("id").alias("to"), F.col("s").alias("ts"), "b", F.col("bits").alias("more"), F.col("to").alias("to2"), F.col("ts").alias("ts2"), F.col("ends").alias("ends2"))
+        far = ways.where("not ends").join(on, ["to", "ts", "b"]).select(
+            "id", "s", "b", F.col("bits").bitwiseAND(F.col("more")).alias("bits"), F.col("to2").alias("to"), F.col("ts2").alias("ts"), F.col("ends2").alias("ends")
+        )
+        far = far.where("bits <> 0").groupBy("id", "s", "b", "to", "ts", "ends").agg(F.bit_or("bits").alias("bits"))
+        ways = cut(ways.where("ends").unionByName(far.select(*ways.columns)))
+    known = founders.select(F.col("id").alias("to"), F.inline(F.array(F.struct(F.lit(1).alias("ts"), F.col("strand1").alias("v")), F.struct(F.lit(2).alias("ts"), F.col("strand2").alias("v")))))
+    known = known.select("to", "ts", F.posexplode("v").alias("b", "value"))
+    made = ways.join(known, ["to", "ts", "b"]).groupBy("id", "s", "b").agg(F.bit_or(F.col("value").bitwiseAND(F.col("bits"))).alias("value"), F.bit_or("bits").alias("all"))
+    whole = made.where(F.col("all") == full).groupBy("id").agg(F.count("*").alias("n"), *(F.transform(F.sort_array(F.collect_list(F.when(F.col("s") == s, F.struct("b", "value")))), lambda e: e["value"]).alias(f"strand{s}") for s in (1, 2)))
+    born = whole.where(F.col("n") == 2 * blocks).select("id", "strand1", "strand2")
+    return founders.select("id", "strand1", "strand2").unionByName(born)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark.functions.draws import u
 from cohortspark.functions.genome import code_at, crossover, free_recombination, mutate
@@ -31,14 +29,30 @@ def random_places(tag: str, id_: Column, n: int, loci: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: digest_block(tag, id_, k) % loci)
 
 
-def binomial_count(draw: Column, n: int, rate: float, most: int = 20) -> Column:
-    """The quantile of Binomial(n, rate) at a uniform draw, by its cumulated table (built here, no UDF)."""
-    p, total, table = (1 - rate) ** n, 0.0, []
-    for k in range(most + 1):
-        total += p
-        table.append(total)
-        p *= (n - k) / (k + 1) * rate / (1 - rate)
-    return F.size(F.filter(F.array(*map(F.lit, table)), lambda t: draw >= t))
+def binomial_table(n: int, rate: float) -> tuple[int, list[float]]:
+    """``low`` and P(X <= low), P(X <= low + 1), ... of Binomial(n, rate), between the tails that a draw of 32 bits cannot reach."""
+    if rate <= 0 or n <= 0:
+        return 0, []
+    if rate >= 1:
+        return n, []
+    low, total, table = 0, 0.0, []
+    for k in range(n):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate))
+        if total < 2.0**-33:
+            low = k + 1
+        elif total < 1 - 2.0**-33:
+            table.append(total)
+        else:
+            break
+    return low, table
+
+
+def binomial_count(draw: Column, n: int, rate: float) -> Column:
+    """The quantile of Binomial(n, rate) at a uniform draw of 32 bits, by its cumulated table (built here, no UDF)."""
+    low, table = binomial_table(n, rate)
+    if not table:
+        return F.lit(low)
+    return F.size(F.filter(F.array(*map(F.lit, table)), lambda t: draw >= t)) + low
 
 
 def offspring(parents: DataFrame, blocks: int, loci: int, seed: int, step: int, breaks: int = -1, rate: float = 0.01) -> DataFrame:
@@ -59,7 +73,7 @@ def offspring(parents: DataFrame, blocks: int, loci: int, seed: int, step: int,
         one = F.when(u(seed, step, f"pick|{who}", F.col("id")) < 0.5, x).otherwise(y)
         n = binomial_count(u(seed, step, f"nmut|{who}", F.col("id")), loci, rate)
         places = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: digest_block(f"{seed}|{step}|mut|{who}", F.col("id"), k) % loci)
-        return mutate(one, F.when(n > 0, places).otherwise(F.array().cast("array<bigint>")), BLOCK_BITS)
+        return mutate(one, F.when(n > 0, places).otherwise(F.array().cast("array<bigint>")), BLOCK_BITS, blocks)
 
     return parents.select("id", gamete("m1", "m2", "m").alias("strand1"), gamete("d1", "d2", "d").alias("strand2"))
 
@@ -69,7 +83,7 @@ def hardy_weinberg(ids: DataFrame, rates: list[tuple[float, int]], blocks: int,
 
     def strand(s: int) -> Column:
         places = F.array_compact(F.array(*(F.when(u(seed, 0, f"hw{s}|{site}", F.col("id")) < rate, F.lit(site).cast("bigint")) for rate, site in rates)))
-        return mutate(F.array_repeat(F.lit(0).cast("bigint"), blocks), places, BLOCK_BITS)
+        return mutate(F.array_repeat(F.lit(0).cast("bigint"), blocks), places, BLOCK_BITS, blocks)
 
     return ids.select("id", strand(1).alias("strand1"), strand(2).alias("strand2"))
 
@@ -117,31 +131,38 @@ def mix_phenomes(a: Column, b: Column, draw: Column | None = None) -> Column:
     return F.zip_with(a, b, lambda x, y: (x.cast("double") + y.cast("double")) / 2)
 
 
+def gaussian(first: Column, second: Column, sigma: float) -> Column:
+    """A normal draw from two uniform ones."""
+    return F.lit(sigma) * F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - first)) * F.cos(F.lit(2 * math.pi) * second)
+
+
+def mutate_phenome(values: Column, sigma: float, seed: int, step: int, id_: Column) -> Column:
+    """Every trait nudged by a normal draw of its own."""
+    return F.transform(values, lambda x, i: x.cast("double") + gaussian(u(seed, step, "nudge", id_, i), u(seed, step, "turn", id_, i), sigma))
+
+
+def mean_strand_distance(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+    """Euclidean distance of two phenomes whose strands are averaged."""
+    return phenome_distance(mix_phenomes(a1, a2), mix_phenomes(b1, b2))
+
+
 #: The standard genetic code in TCAG order.
 CODONS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
-def proteins(text: str) -> list[str]:
+def proteins(text: Column) -> Column:
     """Proteins of a nucleotide text: from each Met to the next stop or the end; triplets in frame."""
-    order = {c: i for i, c in enumerate("TCAG")}
-    out, current = [], None
-    for i in range(0, len(text) - 2, 3):
-        amino = CODONS[order[text[i]] * 16 + order[text[i + 1]] * 4 + order[text[i + 2]]]
-        if current is None:
-            current = "M" if amino == "M" else None
-        elif amino == "*":
-            out.append(current)
-            current = None
-        else:
-            current += amino
-    if current:
-        out.append(current)
-    return out
+    place = lambda c: F.instr(F.lit("TCAG"), c) - 1
+    letter = lambda i, k: F.substring(text, i * 3 + k + 1, F.lit(1))
+    code = lambda i: place(letter(i, 0)) * 16 + place(letter(i, 1)) * 4 + place(letter(i, 2))
+    n = F.floor(F.length(text) / 3).cast("int")
+    amino = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(F.lit(CODONS), code(i) + 1, F.lit(1)))
+    found = F.regexp_extract_all(F.array_join(amino, ""), F.lit(r"M[^*]*"), F.lit(0))
+    return F.when(n > 0, found).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def protein_hashes(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [hashlib.md5(p.encode()).hexdigest() for p in proteins(t)] if t else [])
+def protein_hashes(text: Column) -> Column:
+    return F.transform(proteins(text), lambda p: F.md5(p.cast("binary")))
 
 
 def shared_proteins(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -151,25 +172,33 @@ def shared_proteins(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "p").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("n"))
 
 
-def principal_coordinates(distances: DataFrame) -> DataFrame:
-    """``axis, id, value, eigenvalue`` from ``a, b, dist`` (a < b): squared distances are double-centred by grouped
-    means, the symmetric matrix of the sample is decomposed in one group; all axes, by falling |eigenvalue|."""
-    both = distances.select("a", "b", "dist").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    ids = both.select("a").distinct()
-    full = both.unionByName(ids.select("a", F.col("a").alias("b"), F.lit(0).cast("bigint").alias("dist"))).select("a", "b", (-0.5 * F.col("dist") * F.col("dist")).alias("v"))
-    rows = full.groupBy("a").agg(F.avg("v").alias("row_mean"))
-    columns = rows.select(F.col("a").alias("b"), F.col("row_mean").alias("column_mean"))
-    total = full.agg(F.avg("v").alias("mean"))
-    centred = full.join(rows, "a").join(columns, "b").crossJoin(F.broadcast(total)).select("a", "b", (F.col("v") - F.col("row_mean") - F.col("column_mean") + F.col("mean")).alias("v"), F.lit(1).alias("one"))
-    return centred.groupBy("one").applyInPandas(_eigen, "axis int, id long, value double, eigenvalue double")
-
-
-def _eigen(pdf: pd.DataFrame) -> pd.DataFrame:
-    table = pdf.pivot(index="a", columns="b", values="v").sort_index().sort_index(axis=1)
-    values, vectors = np.linalg.eigh(table.to_numpy())
-    order = np.argsort(-np.abs(values), kind="stable")
-    parts = []
+def principal_coordinates(distances: DataFrame, axes: int, landmarks: int = 64) -> DataFrame:
+    """``id, axis, value, eigenvalue`` of all ids from ``id, landmark, dist``: distances to at most ``landmarks`` rows.
+
+    The landmarks' own matrix (a bounded square) is double-centred and decomposed on the driver; every
+    row, landmarks included, is placed by its distances to them, which for landmarks gives the principal
+    coordinates themselves. Axes by falling eigenvalue, positive ones only; the largest entry of each
+    axis is positive.
+    """
+    names = [r[0] for r in distances.select("landmark").distinct().orderBy("landmark").limit(landmarks + 1).collect()]
+    if len(names) > landmarks:
+        raise ValueError(f"more than {landmarks} landmarks")
+    at = {name: i for i, name in enumerate(names)}
+    own = distances.join(distances.select(F.col("landmark").alias("id")).distinct(), "id", "left_semi").collect()
+    squares = np.zeros((len(names), len(names)))
+    for r in own:
+        squares[at[r["id"]], at[r["landmark"]]] = float(r["dist"]) ** 2
+    means = squares.mean(axis=0)
+    centred = -0.5 * (squares - means[:, None] - means[None, :] + means.mean())
+    values, vectors = np.linalg.eigh(centred)
+    order = [k for k in np.argsort(-values, kind="stable") if values[k] > 1e-9][:axes]
+    row = distances.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("landmark", "dist"))).alias("d"))
+    off = F.transform(F.col("d"), lambda e, i: F.get(F.array(*map(F.lit, means.tolist())), i) - e["dist"].cast("double") * e["dist"])
+    placed = []
     for n, k in enumerate(order):
-        v = vectors[:, k] * (1 if vectors[np.argmax(np.abs(vectors[:, k])), k] >= 0 else -1)
-        parts.append(pd.DataFrame({"axis": n, "id": table.index, "value": v, "eigenvalue": values[k]}))
-    return pd.concat(parts)
+        v = vectors[:, k] * (1 if vectors[np.argmax(np.abs(vectors[:, k])), k] >= 0 else -1) / (2 * math.sqrt(values[k]))
+        dot = F.aggregate(F.zip_with("off", F.array(*map(F.lit, v.tolist())), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        placed.append(F.struct(F.lit(n).alias("axis"), dot.alias("value"), F.lit(float(values[k])).alias("eigenvalue")))
+    if not placed:
+        return row.select("id", F.lit(0).alias("axis"), F.lit(0.0).alias("value"), F.lit(0.0).alias("eigenvalue")).where("false")
+    return row.withColumn("off", off).select("id", F.inline(F.array(*placed)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.draws import pick, u
+from cohortspark.functions.lineage import cut
 from cohortspark.operators.rates import FERTILE
 
 
@@ -78,32 +79,28 @@ def _u(*parts) -> float:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def _greedy(pdf: pd.DataFrame, cutoff: float, seed: int, step: int) -> pd.DataFrame:
-    """Takes the largest score in turn; its females in random order each take a random male of that score."""
-    out = []
-    cell = pdf["cell"].iloc[0]
-    table = pdf.pivot(index="female", columns="male", values="score").sort_index().sort_index(axis=1)
-    scores, females, males = table.to_numpy(float), table.index.to_numpy(), table.columns.to_numpy()
-    scores = np.where(np.isnan(scores), -np.inf, scores)
-    while scores.size and (top := scores.max()) >= cutoff:
-        rows = sorted(np.flatnonzero((scores == top).any(axis=1)), key=lambda r: _u(seed, step, "greedy", females[r]))
-        for r in rows:
-            free = np.flatnonzero(scores[r] == top)
-            if len(free):
-                c = free[int(_u(seed, step, "choose", females[r]) * len(free))]
-                out.append((cell, females[r], males[c], top))
-                scores[r, :] = scores[:, c] = -np.inf
-    return pd.DataFrame(out, columns=["cell", "female", "male", "score"])
-
-
 def greedy_pairs(scores: DataFrame, cutoff: float, seed: int, step: int) -> DataFrame:
-    """Assortative pairs from ``cell, female, male, score``; sequential, so one pandas group per cell.
+    """Assortative pairs from ``cell, female, male, score``: the largest score is taken in turn; its females in random
+    order each take a random male of that score. Every partner is taken once (the reference swaps by the wrong list
+    and may take one twice).
 
-    Every partner is taken once (the reference swaps by the wrong list and may take one twice).
+    The rule is a total order of all couples, so a couple that is the first one of both its partners is certain:
+    each round takes all of those and drops their partners' other couples. Only aggregations and joins by partner;
+    no cell is gathered.
     """
-    return scores.select("cell", "female", "male", "score").groupBy("cell").applyInPandas(
-        partial(_greedy, cutoff=cutoff, seed=seed, step=step), "cell int, female long, male long, score double"
+    order = F.struct(
+        (-F.col("score")).alias("s"), u(seed, step, "greedy", F.col("female")).alias("uf"), F.col("female").alias("f"),
+        u(seed, step, "choose", F.col("female"), F.col("male")).alias("um"), F.col("male").alias("m"),
     )
+    left = cut(scores.where(F.col("score") >= cutoff).select("cell", "female", "male", "score", order.alias("o")))
+    taken = left.limit(0).select("cell", "female", "male", "score")
+    while True:
+        firsts = [left.groupBy(k).agg(F.min("o").alias("o")) for k in ("female", "male")]
+        now = cut(left.join(firsts[0], ["female", "o"]).join(firsts[1], ["male", "o"]).select("cell", "female", "male", "score"))
+        if now.isEmpty():
+            return taken
+        taken = taken.unionByName(now)
+        left = cut(left.join(now.select("female"), "female", "left_anti").join(now.select("male"), "male", "left_anti"))
 
 
 def _selective(pdf: pd.DataFrame, seed: int, step: int) -> pd.DataFrame:

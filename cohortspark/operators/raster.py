@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,18 +153,31 @@ def generate(spark, height: int, width: int, value: float) -> DataFrame:
     return n.select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"), F.lit(float(value)).alias("v"))
 
 
+def _cubic_weights(t: Column) -> dict[int, Column]:
+    """Weights of the pixels at -1, 0, 1 and 2 for a place ``t`` between the middle two."""
+    return {
+        -1: ((-t + 2.0) * t - 1.0) * t / 2.0, 0: ((t * 3.0 - 5.0) * t * t + 2.0) / 2.0,
+        1: ((t * -3.0 + 4.0) * t + 1.0) * t / 2.0, 2: (t - 1.0) * t * t / 2.0,
+    }
+
+
 def sample(targets: DataFrame, a: DataFrame, method: str = "nearest", default: float = NAN) -> DataFrame:
-    """``targets`` (``py, px`` in pixels of ``a``) with ``v``: the nearest pixel, or bilinear over four corners."""
+    """``targets`` (``py, px`` in pixels of ``a``) with ``v``: the nearest pixel, bilinear over four corners, or
+    bicubic over sixteen (the cubic through the inner two with the slopes of their neighbours)."""
     if method == "nearest":
         at = targets.withColumns({"y": F.round("py").cast("int"), "x": F.round("px").cast("int")})
         return at.join(a, ["y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(default))).drop("y", "x")
     y0, x0 = F.floor("py").cast("int"), F.floor("px").cast("int")
     t, u = F.col("px") - x0, F.col("py") - y0
-    corners = F.array(*(F.struct((y0 + j).alias("y"), (x0 + i).alias("x"), ((u if j else 1 - u) * (t if i else 1 - t)).alias("w")) for j in (0, 1) for i in (0, 1)))
+    if method == "bicubic":
+        wy, wx = _cubic_weights(u), _cubic_weights(t)
+        corners = F.array(*(F.struct((y0 + j).alias("y"), (x0 + i).alias("x"), (wy[j] * wx[i]).alias("w")) for j in wy for i in wx))
+    else:
+        corners = F.array(*(F.struct((y0 + j).alias("y"), (x0 + i).alias("x"), ((u if j else 1 - u) * (t if i else 1 - t)).alias("w")) for j in (0, 1) for i in (0, 1)))
     keys = targets.columns
     spread = targets.withColumn("c", F.explode(corners)).select(*keys, F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.col("c.w").alias("w"))
     joined = spread.join(a, ["y", "x"], "left")
-    value = F.sum(F.when(F.col("w") > 0, F.coalesce("v", F.lit(default)) * F.col("w")).otherwise(F.lit(0.0)))
+    value = F.sum(F.when(F.col("w") != 0, F.coalesce("v", F.lit(default)) * F.col("w")).otherwise(F.lit(0.0)))
     return joined.groupBy(*keys).agg(value.alias("v"))
 
 
@@ -176,25 +188,35 @@ def rescale(a: DataFrame, height: int, width: int, new_height: int, new_width: i
     return sample(grid, a, "nearest", default).select(F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
 
 
-def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
-    values = {(int(y), int(x)): v for y, x, v in zip(pdf["y"], pdf["x"], pdf["v"], strict=True) if v == v}
-    h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-    at = (int(pdf["y0"].iloc[0]), int(pdf["x0"].iloc[0]))
-    path, n = [], 0
-    while at in values:
-        path.append((n, *at, values[at]))
-        around = [((at[0] + j) % h, (at[1] + i) % w) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j]
-        lower = [(values[p], p) for p in around if p in values and values[p] < values[at]]
-        if not lower:
-            break
-        at, n = max(lower)[1], n + 1
-    return pd.DataFrame(path, columns=["n", "y", "x", "v"])
+def descents(a: DataFrame) -> DataFrame:
+    """``y, x, ny, nx``: each pixel's highest neighbour still below it (ties: the last in y, then x), over cyclic borders."""
+    top = a.agg(F.max("y").alias("y"), F.max("x").alias("x")).first()
+    if top.y is None:
+        return a.select("y", "x", F.col("y").alias("ny"), F.col("x").alias("nx"))
+    known = a.where(~F.isnan("v") & F.col("v").isNotNull())
+    around = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j))
+    sent = known.select(F.struct("v", F.col("y").alias("ny"), F.col("x").alias("nx")).alias("e"), "y", "x", F.inline(around))
+    sent = sent.select(F.pmod(F.col("y") + F.col("j"), F.lit(top.y + 1)).alias("y"), F.pmod(F.col("x") + F.col("i"), F.lit(top.x + 1)).alias("x"), "e")
+    lower = sent.join(known, ["y", "x"]).where(F.col("e.v") < F.col("v"))
+    best = lower.groupBy("y", "x").agg(F.max("e").alias("e"))
+    return best.select("y", "x", "e.ny", "e.nx")
 
 
 def gradient_path(a: DataFrame, y0: int, x0: int) -> DataFrame:
-    """``n, y, x, v``: from a pixel to the highest neighbour still below it, over cyclic borders, until there is none."""
-    rows = a.withColumns({"y0": F.lit(y0), "x0": F.lit(x0), "one": F.lit(1)})
-    return rows.groupBy("one").applyInPandas(_descend, "n int, y int, x int, v double")
+    """``n, y, x, v``: from a pixel to the highest neighbour still below it, over cyclic borders, until there is none.
+
+    Steps of all pixels are joined with themselves, so a round doubles the length of the path that is known.
+    """
+    jump = cut(descents(a))
+    path = a.where((F.col("y") == y0) & (F.col("x") == x0) & ~F.isnan("v")).select(F.lit(0).alias("n"), "y", "x")
+    length = 1
+    while True:
+        on = cut(path.join(jump, ["y", "x"]).select((F.col("n") + length).alias("n"), F.col("ny").alias("y"), F.col("nx").alias("x")))
+        if on.isEmpty():
+            return path.join(a, ["y", "x"]).select("n", "y", "x", "v")
+        path, length = cut(path.unionByName(on)), length * 2
+        far = jump.select(F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("ny").alias("my"), F.col("nx").alias("mx"))
+        jump = cut(jump.join(far, ["ny", "nx"]).select("y", "x", F.col("my").alias("ny"), F.col("mx").alias("nx")))
 
 
 def npp_map(land: DataFrame, temp: DataFrame, rain: DataFrame, lat0: float, dlat: float) -> DataFrame:
@@ -226,36 +248,46 @@ def biome_bins(biomes: DataFrame, t_bin: float, r_bin: float) -> DataFrame:
     return out.withColumn("multiple", F.size("biomes") > 1)
 
 
-def _nearest_votes(multiple: DataFrame, single: DataFrame, radius: int) -> DataFrame:
-    """``tb, rb, biome`` of the bins of ``multiple`` that a ring within the radius tells; tiles of that size meet their neighbours."""
+def _ring_votes(multiple: DataFrame, single: DataFrame, radius: int) -> DataFrame:
+    """``tb, rb, ring, biome, n`` around the bins of ``multiple`` up to the radius; tiles of that size meet their neighbours."""
     tile = lambda c: F.floor(F.col(c) / radius)
     near = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)))
     asks = multiple.select("tb", "rb", "biomes", F.explode(near).alias("o")).select("tb", "rb", "biomes", (tile("tb") + F.col("o.j")).alias("tt"), (tile("rb") + F.col("o.i")).alias("rt"))
     tells = single.select(tile("tb").alias("tt"), tile("rb").alias("rt"), F.col("tb").alias("ntb"), F.col("rb").alias("nrb"), "biome")
     ring = F.greatest(F.abs(F.col("tb") - F.col("ntb")), F.abs(F.col("rb") - F.col("nrb")))
     seen = asks.join(tells, ["tt", "rt"]).withColumn("ring", ring).where((F.col("ring") <= radius) & F.array_contains("biomes", F.col("biome")))
-    votes = seen.groupBy("tb", "rb", "ring", "biome").agg(F.count("*").alias("n"))
-    best = votes.groupBy("tb", "rb").agg(F.min(F.struct("ring", (-F.col("n")).alias("n"), "biome")).alias("b"))
-    return best.select("tb", "rb", F.col("b.biome").alias("biome"))
+    return seen.groupBy("tb", "rb", "ring", "biome").agg(F.count("*").alias("n"))
+
+
+def _first_leaders(votes: DataFrame, radius: int) -> DataFrame:
+    """``tb, rb, biome``: rings are added up from the inside; the first sum that one biome alone leads decides."""
+    upto = votes.withColumn("upto", F.explode(F.sequence(F.col("ring"), F.lit(radius).cast("bigint"))))
+    sums = upto.groupBy("tb", "rb", "upto", "biome").agg(F.sum("n").alias("n"))
+    each = sums.groupBy("tb", "rb", "upto").agg(F.sort_array(F.collect_list(F.struct("n", "biome")), asc=False).alias("by"))
+    alone = (F.size("by") == 1) | (F.get("by", F.lit(0))["n"] > F.get("by", F.lit(1))["n"])
+    led = each.where(alone).select("tb", "rb", "upto", F.get("by", F.lit(0))["biome"].alias("biome"))
+    first = led.groupBy("tb", "rb").agg(F.min(F.struct("upto", "biome")).alias("b"))
+    return first.select("tb", "rb", F.col("b.biome").alias("biome"))
 
 
-def uniquify(bins: DataFrame, max_ring: int | None = None, first_radius: int = 3) -> DataFrame:
-    """``tb, rb, biome``: bins of several biomes take the one most frequent in the nearest ring of bins that tells
-    (ties: the smaller number), however far it is (or up to ``max_ring``); where no ring tells, their smallest.
+def uniquify(bins: DataFrame, first_radius: int = 4) -> DataFrame:
+    """``tb, rb, biome``: a bin of several biomes takes the one that leads around it. Rings of bins of one biome are
+    added up from the inside until one of the bin's own biomes alone is the most frequent, up to the extent of the
+    grid; where none ever is, the smallest. (Votes come from the bins of one biome at the start, where the original
+    lets bins already decided vote too, in the order in which it meets them.)
 
     The radius doubles for the bins left until it has passed the extent of the grid."""
     bins = cut(bins)
     single = bins.where("size(biomes) = 1").select("tb", "rb", F.get("biomes", F.lit(0)).alias("biome"))
     left, told = bins.where("size(biomes) > 1").select("tb", "rb", "biomes"), single
     extent = bins.agg(F.greatest(F.max("tb") - F.min("tb"), F.max("rb") - F.min("rb"))).first()[0] or 0
-    extent = extent if max_ring is None else max_ring
-    radius = first_radius if max_ring is None else min(first_radius, max_ring)
+    radius = max(1, first_radius)
     while True:
-        found = cut(_nearest_votes(left, single, radius))
+        found = cut(_first_leaders(_ring_votes(left, single, radius), radius))
         told, left = told.unionByName(found), cut(left.join(found, ["tb", "rb"], "left_anti"))
         if radius >= extent or left.isEmpty():
             return told.unionByName(left.select("tb", "rb", F.array_min("biomes").alias("biome")))
-        radius = min(radius * 2, extent)
+        radius *= 2
 
 
 def capacity_by_bin(rows: DataFrame, t_bin: float, r_bin: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.curves import great_circle
+from cohortspark.functions.lineage import cut
 
 KM_PER_DEGREE = math.pi / 180 * 6371.3
 
@@ -43,6 +44,28 @@ def nearest_within(points: DataFrame, places: DataFrame, key: str, place: str, r
     return out.select(key, F.coalesce("b.__place", F.lit(-1)).alias(place), F.coalesce("b.d", F.lit(-1.0)).alias("d"))
 
 
+def nearest(points: DataFrame, places: DataFrame, key: str, place: str, first_radius: float, decimals: int = 6) -> DataFrame:
+    """``key, place, d`` of each point's nearest place (distances that agree in ``decimals`` are ties: the smaller place).
+
+    Points that have no place within the radius are asked again with twice the radius, until it has
+    passed half the globe; so any number of places is joined by bands. No places: no rows.
+    """
+    left, told, radius = cut(points.select(key, "lon", "lat")), None, first_radius
+    stops = places.select(F.col(place).alias("__place"), "lon", "lat")
+    if stops.isEmpty():
+        return left.select(key, F.lit(-1).alias(place), F.lit(-1.0).alias("d")).where("false")
+    while True:
+        last = radius > math.pi * 6371.3 * 1.01
+        near = radius_join(left, stops, radius, radius).withColumn("d", F.round("d", decimals))
+        best = near.groupBy(key).agg(F.min(F.struct("d", "__place")).alias("b"))
+        found = cut(best.where(F.lit(last) | (F.col("b.d") < radius - 10.0**-decimals)).select(key, F.col("b.__place").alias(place), F.col("b.d").alias("d")))
+        told = found if told is None else told.unionByName(found)
+        left = cut(left.join(found, key, "left_anti"))
+        if last or left.isEmpty():
+            return told
+        radius *= 2
+
+
 def snap(points: DataFrame, step: float, radius: float) -> DataFrame:
     """Points within ``radius`` of their nearest lattice point, with ``glon, glat``."""
     at = points.withColumns({"glon": F.round(F.col("lon") / step) * step, "glat": F.round(F.col("lat") / step) * step})

@@ -120,10 +120,9 @@ def _piece(tag: str, at: int) -> Column:
     return F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
 
 
-def genomes(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+def genomes(spark: SparkSession, sf: str) -> DataFrame:
     """Two strands of three 32-bit blocks (one bit a locus) for every customer."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cell"))
-    c = c if most is None else c.where(F.col("id") <= most)
     return c.select("id", "cell", *(F.array(*(_piece(s, 1 + 8 * b) for b in range(3))).alias(s) for s in ("strand1", "strand2")))
 
 
@@ -132,7 +131,7 @@ def _strand_sql(s: str) -> str:
 
 
 cte("genomes", f"SELECT c_custkey AS id, c_nationkey AS cell, {_strand_sql('strand1')}, {_strand_sql('strand2')} FROM customer")
-cte("genomes60", "SELECT * FROM {genomes} WHERE id <= 60")
+cte("sampled_genomes", "SELECT * FROM {genomes} WHERE id % 50 = 0")
 
 
 def ancestors(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cohortspark.functions import genome as g
 from cohortspark.functions.draws import u, u_sql
+from cohortspark.functions.genome import diploid_distance
+from cohortspark.functions.lineage import cut
 from cohortspark.operators import genetics as ge
+from cohortspark.operators.ordering import against_all, numbered
 from cohortspark.plans import model as m
 from cohortspark.plans.q_joins import distance_sql, distances
-from cohortspark.registry import CTES, cte, query
+from cohortspark.registry import cte, query
 
 BITS, BLOCKS = ge.BLOCK_BITS, 3
 LOCI = BITS * BLOCKS
@@ -60,7 +65,7 @@ PLACES = "[" + ", ".join(block_sql("mut", "id", f"'{k}'") + f" % {LOCI}" for k i
 @query("E3_mutation", f"SELECT id, {blocks_sql('list_reduce(list_prepend(strand1[{j}], list_transform(list_filter(p, lambda x: x // 32 = {i}), lambda x: 1::BIGINT << (x % 32))), lambda a, b: a | b)')} AS mutated FROM (SELECT *, {PLACES} AS p FROM {{genomes}})")
 def _(spark, sf):
     places = ge.random_places("mut", F.col("id"), 3, LOCI)
-    return m.genomes(spark, sf).select("id", key_of(g.mutate(F.col("strand1"), places, BITS)).alias("mutated"))
+    return m.genomes(spark, sf).select("id", key_of(g.mutate(F.col("strand1"), places, BITS, BLOCKS)).alias("mutated"))
 
 
 BREAKS = "[" + ", ".join(block_sql("break", "id", f"'{k}'") + f" % {LOCI}" for k in (1, 2)) + "]"
@@ -98,6 +103,26 @@ def _(spark, sf):
     return ge.offspring(p, BLOCKS, LOCI, 3, 5, breaks=2, rate=0.02)
 
 
+LONG_LOCI, LONG_RATE = 8192, 0.01
+_LOW, _TABLE = ge.binomial_table(LONG_LOCI, LONG_RATE)
+_N_MUT = f"{_LOW} + len(list_filter([{', '.join(f'{t!r}::DOUBLE' for t in _TABLE)}], lambda t: d >= t))"
+_PLACE = f"('0x' || substr(md5(concat_ws('|', '3|5|mut|m', id, k)), 1, 8))::BIGINT % {LONG_LOCI}"
+
+
+@query("E6_offspring_long_genome", f"""SELECT id, n_mutations, count(DISTINCT place) AS n_set, CAST(sum(DISTINCT place) AS BIGINT) AS places
+  FROM (SELECT id, n_mutations, {_PLACE} AS place FROM (SELECT id, n_mutations, unnest(range(1, n_mutations + 1)) AS k FROM (SELECT id, CAST({_N_MUT} AS INTEGER) AS n_mutations FROM (SELECT id, {u_sql(3, 5, 'nmut|m', 'id')} AS d FROM {{neighbours60}})))) GROUP BY id, n_mutations""")
+def _(spark, sf):
+    """Mutations of a gamete of zeros at 8,192 loci and the default rate: how many are drawn, and which bits are set."""
+    zero = F.array_repeat(F.lit(0).cast("bigint"), LONG_LOCI // BITS)
+    p = neighbours(spark, sf).select("id", *(zero.alias(c) for c in ("m1", "m2", "d1", "d2")))
+    out = ge.offspring(p, LONG_LOCI // BITS, LONG_LOCI, 3, 5, breaks=0, rate=LONG_RATE)
+    words = out.select("id", F.posexplode("strand1").alias("b", "w")).where("w <> 0")
+    bit = lambda i: F.call_function("shiftrightunsigned", F.col("w"), i).bitwiseAND(F.lit(1)) == 1
+    places = words.select("id", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), bit)).alias("i"), "b")
+    found = places.groupBy("id").agg(F.count("*").alias("n_set"), F.sum((F.col("b") * BITS + F.col("i")).cast("bigint")).alias("places"))
+    return found.select("id", ge.binomial_count(u(3, 5, "nmut|m", F.col("id")), LONG_LOCI, LONG_RATE).alias("n_mutations"), "n_set", "places")
+
+
 @query("E7_initial_random", f"SELECT c_custkey AS id, {blocks_sql('k[{j}]')} AS strand FROM (SELECT c_custkey, {mask_sql('init', 'c_custkey')} AS k FROM customer)")
 def _(spark, sf):
     ids = m.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
@@ -148,92 +173,54 @@ def _(spark, sf):
 
 
 _TEXT = "(SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l))"
-cte("texts", f"SELECT id, cell, {_TEXT} AS seq FROM {{genomes}} WHERE id <= 200")
+cte("texts", f"SELECT id, cell, {_TEXT} AS seq FROM {{genomes}}")
 
 
 def texts(spark, sf):
-    return m.genomes(spark, sf, 200).select("id", "cell", g.to_text(F.col("strand1"), BITS, 48).alias("seq"))
-
-
-cte("all_texts", f"SELECT id, cell, {_TEXT} AS seq FROM {{genomes}}")
-
-
-def all_texts(spark, sf):
     return m.genomes(spark, sf).select("id", "cell", g.to_text(F.col("strand1"), BITS, 48).alias("seq"))
 
 
-@query("E8_nucleotide_text_all", "SELECT id, seq, true AS same FROM {all_texts}")
-def _(spark, sf):
-    x = m.genomes(spark, sf).withColumn("seq", g.to_text(F.col("strand1"), BITS, 48))
-    return x.select("id", "seq", (g.from_text(F.col("seq"), BITS) == F.col("strand1")).alias("same"))
-
-
 @query("E8_nucleotide_text", "SELECT id, seq, true AS same FROM {texts}")
 def _(spark, sf):
-    """Blocks to letters, and back to the same blocks."""
-    x = m.genomes(spark, sf, 200).withColumn("seq", g.to_text(F.col("strand1"), BITS, 48))
+    x = m.genomes(spark, sf).withColumn("seq", g.to_text(F.col("strand1"), BITS, 48))
     return x.select("id", "seq", (g.from_text(F.col("seq"), BITS) == F.col("strand1")).alias("same"))
 
 
-@query("E9_plink_interleave", f"""SELECT id, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1) || ' ' || substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), ' ' ORDER BY l) FROM range(48) t(l)) AS pairs FROM {{genomes}} WHERE id <= 100""")
-def _(spark, sf):
-    a, b = (g.to_text(F.col(s), BITS, 48) for s in ("strand1", "strand2"))
-    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat_ws(" ", x, y))
-    return m.genomes(spark, sf, 100).select("id", F.array_join(pairs, " ").alias("pairs"))
-
-
-@query("E9_plink_interleave_all", f"""SELECT id, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1) || ' ' || substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), ' ' ORDER BY l) FROM range(48) t(l)) AS pairs FROM {{genomes}}""")
+@query("E9_plink_interleave", f"""SELECT id, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1) || ' ' || substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), ' ' ORDER BY l) FROM range(48) t(l)) AS pairs FROM {{genomes}}""")
 def _(spark, sf):
     a, b = (g.to_text(F.col(s), BITS, 48) for s in ("strand1", "strand2"))
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat_ws(" ", x, y))
     return m.genomes(spark, sf).select("id", F.array_join(pairs, " ").alias("pairs"))
 
 
-@query("E10_proteins")
-def _(spark, sf):
-    return all_texts(spark, sf).select("id", ge.protein_hashes("seq").alias("hashes"))
+_CODE = " + ".join(f"(instr('TCAG', substr(seq, CAST(i * 3 + {k + 1} AS INTEGER), 1)) - 1) * {4 ** (2 - k)}" for k in range(3))
+cte("proteomes", f"""SELECT id, list_transform(regexp_extract_all(amino, 'M[^*]*'), lambda p: md5(p)) AS hashes FROM (
+  SELECT id, array_to_string(list_transform(range(len(seq) // 3), lambda i: substr('{ge.CODONS}', CAST({_CODE} + 1 AS INTEGER), 1)), '') AS amino FROM {{texts}})""")
 
 
-@query("E11_proteome_matches", "SELECT x.id AS a, y.id AS b, count(*) AS n FROM (SELECT id, unnest([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)]) AS p FROM {texts} WHERE id <= 60) x JOIN (SELECT id, unnest([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)]) AS p FROM {texts} WHERE id > 60 AND id <= 120) y ON x.p = y.p GROUP BY 1, 2")
+@query("E10_proteins", "SELECT id, array_to_string(hashes, ',') AS hashes FROM {proteomes}")
 def _(spark, sf):
-    """Matches multiply with duplicates; codons stand in for protein digests, which SQL cannot build."""
-    x = texts(spark, sf).withColumn("hashes", F.array(*(F.substring("seq", 1 + 3 * i, 3) for i in range(3))))
-    return ge.shared_proteins(x.where("id <= 60").withColumnRenamed("id", "a"), x.where("id > 60 and id <= 120").withColumnRenamed("id", "b"))
+    return texts(spark, sf).select("id", F.array_join(ge.protein_hashes(F.col("seq")), ",").alias("hashes"))
 
 
-@query("E11_proteome_matches_all")
+@query("E11_proteome_matches", "SELECT x.id AS a, y.id AS b, count(*) AS n FROM (SELECT id, unnest(hashes) AS p FROM {proteomes} WHERE id % 2 = 0) x JOIN (SELECT id, unnest(hashes) AS p FROM {proteomes} WHERE id % 2 <> 0) y ON x.p = y.p GROUP BY 1, 2")
 def _(spark, sf):
-    """Digests of whole proteins, all even ids against all odd ones; no SQL: it cannot build the digests."""
-    x = all_texts(spark, sf).withColumn("hashes", ge.protein_hashes("seq"))
+    """Digests of whole proteins, all even ids against all odd ones; matches multiply with duplicates."""
+    x = texts(spark, sf).withColumn("hashes", ge.protein_hashes(F.col("seq")))
     return ge.shared_proteins(x.where("id % 2 = 0").withColumnRenamed("id", "a"), x.where("id % 2 <> 0").withColumnRenamed("id", "b"))
 
 
 @query("E12_segment_distances", f"""SELECT id, CAST(seg AS INTEGER) AS seg, CAST(count(*) FILTER (WHERE (a1[l // 32 + 1] >> (l % 32)) & 1 <> (b1[l // 32 + 1] >> (l % 32)) & 1) AS INTEGER) AS d
-  FROM (SELECT * FROM {{neighbours60}} WHERE id <= 100), range({LOCI}) t(l), (SELECT unnest(range(4)) AS seg) WHERE l // 24 = seg GROUP BY id, seg""")
-def _(spark, sf):
-    n = neighbours(spark, sf).where("id <= 100")
-    return n.select("id", F.posexplode(ge.segment_distances(F.col("a1"), F.col("b1"), 4, LOCI)).alias("seg", "d"))
-
-
-@query("E12_segment_distances_all", f"""SELECT id, CAST(seg AS INTEGER) AS seg, CAST(count(*) FILTER (WHERE (a1[l // 32 + 1] >> (l % 32)) & 1 <> (b1[l // 32 + 1] >> (l % 32)) & 1) AS INTEGER) AS d
   FROM {{neighbours60}}, range({LOCI}) t(l), (SELECT unnest(range(4)) AS seg) WHERE l // 24 = seg GROUP BY id, seg""")
 def _(spark, sf):
     n = neighbours(spark, sf)
     return n.select("id", F.posexplode(ge.segment_distances(F.col("a1"), F.col("b1"), 4, LOCI)).alias("seg", "d"))
 
 
-cte("phenes", "SELECT a.vec_id AS id, a.label, a.embedding AS p, b.embedding AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 300")
+cte("phenes", "SELECT a.vec_id AS id, a.label, a.embedding AS p, b.embedding AS q FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 
 
 def phenes(spark, sf):
-    e = m.table(spark, sf, "embeddings").where("vec_id <= 300")
-    return e.where("vec_id < 300").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("p")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("q")), "id")
-
-
-cte("all_phenes", CTES["phenes"].removesuffix(" WHERE a.vec_id < 300"))
-
-
-def all_phenes(spark, sf):
     e = m.table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("p")).join(e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("q")), "id")
 
@@ -245,59 +232,71 @@ def _(spark, sf):
     return x.select("id", total(ge.mix_phenomes(F.col("p"), F.col("q"))).alias("mean_sum"), total(ge.mix_phenomes(F.col("p"), F.col("q"), u(2, 2, "sel", F.col("id")))).alias("selected_sum"))
 
 
-@query("E13_phenome_mix_all", f"SELECT id, round(list_sum(list_transform(list_zip(p, q), lambda x: (x[1]::DOUBLE + x[2]::DOUBLE) / 2)), 5) AS mean_sum, round(list_sum(list_transform(CASE WHEN {u_sql(2, 2, 'sel', 'id')} < 0.5 THEN p ELSE q END, lambda x: x::DOUBLE)), 5) AS selected_sum FROM {{all_phenes}}")
-def _(spark, sf):
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double")), 5)
-    x = all_phenes(spark, sf)
-    return x.select("id", total(ge.mix_phenomes(F.col("p"), F.col("q"))).alias("mean_sum"), total(ge.mix_phenomes(F.col("p"), F.col("q"), u(2, 2, "sel", F.col("id")))).alias("selected_sum"))
-
-
 @query("E14_phenome_distance", "SELECT id, round(sqrt(list_sum(list_transform(list_zip(p, q), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE))), 5) AS dist FROM {phenes}")
 def _(spark, sf):
     return phenes(spark, sf).select("id", F.round(ge.phenome_distance(F.col("p"), F.col("q")), 5).alias("dist"))
 
 
-@query("E14_phenome_distance_all", "SELECT id, round(sqrt(list_sum(list_transform(list_zip(p, q), lambda x: (x[1] - x[2])::DOUBLE * (x[1] - x[2])::DOUBLE))), 5) AS dist FROM {all_phenes}")
+_NUDGE = f"0.5e0 * sqrt(-2e0 * ln(1e0 - {u_sql(2, 2, 'nudge', 'id', 'i')})) * cos({2 * math.pi!r}::DOUBLE * {u_sql(2, 2, 'turn', 'id', 'i')})"
+
+
+@query("E13_phenome_mutation", f"SELECT id, round(sum(x), 5) AS total, round(max(x), 5) AS top FROM (SELECT id, p[i + 1]::DOUBLE + {_NUDGE} AS x FROM (SELECT id, p, unnest(range(len(p))) AS i FROM {{phenes}})) GROUP BY id")
 def _(spark, sf):
-    return all_phenes(spark, sf).select("id", F.round(ge.phenome_distance(F.col("p"), F.col("q")), 5).alias("dist"))
+    """Every trait is nudged by a normal draw."""
+    x = phenes(spark, sf).select("id", ge.mutate_phenome(F.col("p"), 0.5, 2, 2, F.col("id")).alias("p"))
+    return x.select("id", F.round(F.aggregate("p", F.lit(0.0), lambda s, v: s + v), 5).alias("total"), F.round(F.array_max("p"), 5).alias("top"))
 
 
-@query("E15_sequence_extraction", "SELECT id, seq FROM {texts} WHERE id IN (SELECT s_suppkey * 3 FROM supplier)")
+@query("E14_mean_strand_distance", """SELECT a.id, round(sqrt(list_sum(list_transform(list_zip(a.p, a.q, b.p, b.q), lambda x: ((x[1]::DOUBLE + x[2] - x[3] - x[4]) / 2) ** 2))), 5) AS dist FROM {phenes} a JOIN {phenes} b ON b.id = a.id + 2""")
 def _(spark, sf):
-    wanted = m.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
-    return texts(spark, sf).join(wanted, "id", "left_semi").select("id", "seq")
+    """Two phenomes of two strands each, averaged before they are compared."""
+    a = phenes(spark, sf).select("id", F.col("p").alias("a1"), F.col("q").alias("a2"))
+    b = phenes(spark, sf).select((F.col("id") - 2).alias("id"), F.col("p").alias("b1"), F.col("q").alias("b2"))
+    return a.join(b, "id").select("id", F.round(ge.mean_strand_distance(*map(F.col, ("a1", "a2", "b1", "b2"))), 5).alias("dist"))
 
 
-@query("E15_sequence_extraction_all", "SELECT id, seq FROM {all_texts} WHERE id IN (SELECT s_suppkey * 3 FROM supplier)")
+@query("E15_sequence_extraction", "SELECT id, seq FROM {texts} WHERE id IN (SELECT s_suppkey * 3 FROM supplier)")
 def _(spark, sf):
     wanted = m.table(spark, sf, "supplier").select((F.col("s_suppkey") * 3).alias("id"))
-    return all_texts(spark, sf).join(wanted, "id", "left_semi").select("id", "seq")
+    return texts(spark, sf).join(wanted, "id", "left_semi").select("id", "seq")
 
 
-@query("E16_geo_ordered_distances", "SELECT CAST(row_number() OVER (ORDER BY x.cell, x.id, y.cell, y.id) AS INTEGER) AS r, a, b, dist FROM {dist60} JOIN {genomes60} x ON x.id = a JOIN {genomes60} y ON y.id = b")
+@query("E16_geo_ordered_distances", "SELECT row_number() OVER (ORDER BY x.cell, x.id, y.cell, y.id) AS r, a, b, dist FROM {sample_dist} JOIN {genomes} x ON x.id = a JOIN {genomes} y ON y.id = b")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    where = m.genomes(spark, sf, 60)
+    where = m.genomes(spark, sf)
     d = distances(spark, sf).join(where.select(F.col("id").alias("a"), F.col("cell").alias("ca")), "a").join(where.select(F.col("id").alias("b"), F.col("cell").alias("cb")), "b")
-    return d.select(F.row_number().over(Window.orderBy("ca", "a", "cb", "b")).alias("r"), "a", "b", "dist")
+    return numbered(d, ["ca", "a", "cb", "b"]).select("r", "a", "b", "dist")
 
 
-@query("G8_distance_summary", "SELECT min(dist) AS low, max(dist) AS high, round(avg(dist), 6) AS mean, (min({'d': dist, 'a': a, 'b': b})).a AS low_a, (min({'d': dist, 'a': a, 'b': b})).b AS low_b FROM {dist60}")
+@query("G8_distance_summary", "SELECT min(dist) AS low, max(dist) AS high, round(avg(dist), 6) AS mean, (min({'d': dist, 'a': a, 'b': b})).a AS low_a, (min({'d': dist, 'a': a, 'b': b})).b AS low_b FROM {sample_dist}")
 def _(spark, sf):
     least = F.min(F.struct("dist", "a", "b"))
     return distances(spark, sf).agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.round(F.avg("dist"), 6).alias("mean"), least["a"].alias("low_a"), least["b"].alias("low_b"))
 
 
-@query("G9_lattice_means", "SELECT round(c.lon / 15) * 15 AS glon, round(c.lat / 15) * 15 AS glat, round(avg(dist), 6) AS mean, count(*) AS n FROM {dist60} JOIN {genomes60} x ON x.id = a JOIN {cells} c ON c.cell = x.cell GROUP BY 1, 2")
+@query("G9_lattice_means", "SELECT round(c.lon / 15) * 15 AS glon, round(c.lat / 15) * 15 AS glat, round(avg(dist), 6) AS mean, count(*) AS n FROM {sample_dist} JOIN {genomes} x ON x.id = a JOIN {cells} c ON c.cell = x.cell GROUP BY 1, 2")
 def _(spark, sf):
-    at = m.genomes(spark, sf, 60).join(m.cells(spark, sf), "cell").select(F.col("id").alias("a"), (F.round(F.col("lon") / 15) * 15).alias("glon"), (F.round(F.col("lat") / 15) * 15).alias("glat"))
+    at = m.genomes(spark, sf).join(m.cells(spark, sf), "cell").select(F.col("id").alias("a"), (F.round(F.col("lon") / 15) * 15).alias("glon"), (F.round(F.col("lat") / 15) * 15).alias("glat"))
     return distances(spark, sf).join(at, "a").groupBy("glon", "glat").agg(F.round(F.avg("dist"), 6).alias("mean"), F.count("*").alias("n"))
 
 
+LANDMARKS = 64
+
+
+def landmark_distances(spark, sf):
+    """``id, landmark, dist``: all genomes against the landmarks (those of least draw, at most ``LANDMARKS``)."""
+    g = m.genomes(spark, sf)
+    chosen = g.orderBy(u(17, 0, "landmark", F.col("id")), "id").limit(LANDMARKS)
+    a = chosen.select(F.col("id").alias("landmark"), F.col("strand1").alias("a1"), F.col("strand2").alias("a2"))
+    b = g.select("id", F.col("strand1").alias("b1"), F.col("strand2").alias("b2"))
+    both = against_all(a, b, "landmark", LANDMARKS)
+    return both.select("id", "landmark", diploid_distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")).alias("dist"))
+
+
 @query("E17_pco")
 def _(spark, sf):
-    return ge.principal_coordinates(distances(spark, sf))
+    """Every genome in the first three principal coordinates of the landmarks."""
+    return ge.principal_coordinates(cut(landmark_distances(spark, sf)), 3, LANDMARKS)
 
 
 @query("E18_pca")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import projections as pj
 from cohortspark.functions.curves import great_circle, great_circle_sql
 from cohortspark.operators import raster as r
+from cohortspark.operators import spatial
 from cohortspark.plans import model as m
 from cohortspark.registry import cte, query
 
@@ -115,22 +116,10 @@ def _(spark, sf):
     return r.sample(at, m.raster(spark, sf)).select(F.col("ty").alias("y"), F.col("tx").alias("x"), m.clean("v"))
 
 
-@query("Q8_node_lookup", f"SELECT p.id, (min({{'d': round({great_circle_sql('p.lon', 'p.lat', 'c.lon', 'c.lat')}, 6), 'cell': c.cell}})).cell AS cell FROM {{places}} p, {{cells}} c WHERE p.id % 7 = 0 GROUP BY p.id")
+@query("Q8_node_lookup", f"SELECT p.id, (min({{'d': round({great_circle_sql('p.lon', 'p.lat', 'c.lon', 'c.lat')}, 6), 'cell': c.cell}})).cell AS cell FROM {{places}} p, {{cells}} c GROUP BY p.id")
 def _(spark, sf):
-    """The nearest grid node: against the fixed grid (25 rows), kept on every executor."""
-    d = F.round(great_circle(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat")), 6)
-    nodes = m.cells(spark, sf).select("cell", F.col("lon").alias("clon"), F.col("lat").alias("clat"))
-    near = places(spark, sf).where("id % 7 = 0").crossJoin(F.broadcast(nodes)).groupBy("id").agg(F.min(F.struct(d.alias("d"), "cell")).alias("b"))
-    return near.select("id", "b.cell")
-
-
-@query("Q8_node_lookup_all", f"SELECT p.id, (min({{'d': round({great_circle_sql('p.lon', 'p.lat', 'c.lon', 'c.lat')}, 6), 'cell': c.cell}})).cell AS cell FROM {{places}} p, {{cells}} c GROUP BY p.id")
-def _(spark, sf):
-    """The nearest grid node: against the fixed grid (25 rows), kept on every executor."""
-    d = F.round(great_circle(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat")), 6)
-    nodes = m.cells(spark, sf).select("cell", F.col("lon").alias("clon"), F.col("lat").alias("clat"))
-    near = places(spark, sf).crossJoin(F.broadcast(nodes)).groupBy("id").agg(F.min(F.struct(d.alias("d"), "cell")).alias("b"))
-    return near.select("id", "b.cell")
+    """The nearest grid node, by bands that widen until each point has one."""
+    return spatial.nearest(places(spark, sf), m.cells(spark, sf), "id", "cell", 800.0).select("id", "cell")
 
 
 @query("Q8_geodesic_grid")

@@ -18,9 +18,9 @@ def samples(spark, sf):
     return m.ancestors(spark, sf).where("id in (611, 624, 655, 702)").select("id")
 
 
-@query("N1_parents", "SELECT id, mom, dad FROM {ancestors} WHERE id % 50 = 7")
+@query("N1_parents", "SELECT id, mom, dad FROM {ancestors} WHERE id % 50 = 0")
 def _(spark, sf):
-    return an.parents_of(m.ancestors(spark, sf), m.ancestors(spark, sf).where("id % 50 = 7").select("id"))
+    return an.parents_of(m.ancestors(spark, sf), m.ancestors(spark, sf).where("id % 50 = 0").select("id"))
 
 
 @query("N2_coalescence", recursive_sql(BACK + """SELECT s.a, s.b, t.time FROM (SELECT x.id AS a, y.id AS b FROM (SELECT DISTINCT origin AS id FROM back) x JOIN (SELECT DISTINCT origin AS id FROM back) y ON x.id < y.id) s LEFT JOIN (
@@ -29,14 +29,7 @@ def _(spark, sf):
     return an.coalescence(m.ancestors(spark, sf), samples(spark, sf))
 
 
-@query("N3_decode", "SELECT id, CAST(time AS BIGINT) AS time, CAST(cell AS BIGINT) AS cell FROM {ancestors} WHERE id % 20 = 0")
-def _(spark, sf):
-    packed = m.ancestors(spark, sf).where("id % 20 = 0").select("id", (F.col("time").cast("bigint") * F.lit(1 << 32) + F.col("cell")).alias("p"))
-    time, cell = an.decode(F.col("p"))
-    return packed.select("id", time.alias("time"), cell.alias("cell"))
-
-
-@query("N3_decode_all", "SELECT id, CAST(time AS BIGINT) AS time, CAST(cell AS BIGINT) AS cell FROM {ancestors}")
+@query("N3_decode", "SELECT id, CAST(time AS BIGINT) AS time, CAST(cell AS BIGINT) AS cell FROM {ancestors}")
 def _(spark, sf):
     packed = m.ancestors(spark, sf).select("id", (F.col("time").cast("bigint") * F.lit(1 << 32) + F.col("cell")).alias("p"))
     time, cell = an.decode(F.col("p"))
@@ -48,35 +41,22 @@ def _(spark, sf):
     return an.back_reach(m.ancestors(spark, sf), samples(spark, sf).select(F.col("id").alias("origin"), "id"))
 
 
-def small(spark, sf, top):
-    return m.ancestors(spark, sf).where(F.col("id") <= top)
-
-
 @query("N6_evolve_graph")
 def _(spark, sf):
-    """The whole graph: as many rounds as it has generations, never more than nodes."""
+    """The whole graph, in a logarithm of its generations' number of rounds."""
     a = m.ancestors(spark, sf)
     founders = a.where("mom = 0").join(m.genomes(spark, sf), "id").select("id", "strand1", "strand2")
-    return an.evolve(a, founders, 3, 11, a.count() + 1)
+    return an.evolve(a, founders, 3, 11)
 
 
 ROUND = "SELECT * FROM {%s} a WHERE id %% 9 = 0 OR id IN (SELECT mom FROM {%s} WHERE mom > 0 UNION SELECT dad FROM {%s} WHERE dad > 0)"
-cte("small_graph", "SELECT * FROM {ancestors} WHERE id <= 600")
-cte("pruned1", ROUND % (("small_graph",) * 3))
-cte("pruned2", ROUND % (("pruned1",) * 3))
-
-
-@query("N7_prune_childless", "SELECT id, mom, dad FROM {pruned2}")
-def _(spark, sf):
-    a = small(spark, sf, 600)
-    return an.prune_childless(a, a.where("id % 9 = 0").select("id"), 2).select("id", "mom", "dad")
 
 
-cte("all_pruned1", ROUND % (("ancestors",) * 3))
-cte("all_pruned2", ROUND % (("all_pruned1",) * 3))
+cte("pruned1", ROUND % (("ancestors",) * 3))
+cte("pruned2", ROUND % (("pruned1",) * 3))
 
 
-@query("N7_prune_childless_all", "SELECT id, mom, dad FROM {all_pruned2}")
+@query("N7_prune_childless", "SELECT id, mom, dad FROM {pruned2}")
 def _(spark, sf):
     a = m.ancestors(spark, sf)
     return an.prune_childless(a, a.where("id % 9 = 0").select("id"), 2).select("id", "mom", "dad")
@@ -87,14 +67,7 @@ def _(spark, sf):
     return an.lines_of(m.ancestors(spark, sf), samples(spark, sf)).select("id", "progenitor")
 
 
-@query("N7b_merge_graphs", "SELECT parent AS id, count(DISTINCT child) AS n_children, min(child) AS first_child FROM {parents} WHERE child % 3 <> 2 GROUP BY parent")
-def _(spark, sf):
-    a = m.ancestors(spark, sf)
-    merged = an.merge_graphs(a.where("id % 3 = 0"), a.where("id % 3 = 1"))
-    return merged.select("id", F.size("children").cast("bigint").alias("n_children"), F.array_min("children").alias("first_child"))
-
-
-@query("N7b_merge_graphs_all", "SELECT parent AS id, count(DISTINCT child) AS n_children, min(child) AS first_child FROM {parents} GROUP BY parent")
+@query("N7b_merge_graphs", "SELECT parent AS id, count(DISTINCT child) AS n_children, min(child) AS first_child FROM {parents} GROUP BY parent")
 def _(spark, sf):
     a = m.ancestors(spark, sf)
     merged = an.merge_graphs(a.where("id % 3 = 0"), a.where("id % 3 <> 0"))

@@ -10,6 +10,7 @@ from cohortspark.functions.draws import u, u_sql
 from cohortspark.functions.genome import diploid_distance
 from cohortspark.operators import pairing, spatial
 from cohortspark.operators.components import connected_components
+from cohortspark.operators.ordering import against_all
 from cohortspark.plans import model as m
 from cohortspark.plans.q_cells import coast
 from cohortspark.plans.q_dynamics import STEP, draw
@@ -237,42 +238,36 @@ def _(spark, sf):
     return seaways(spark, sf).groupBy(F.col("src").alias("port")).agg(F.count("*").alias("n_dest"), F.round(F.min("d"), 6).alias("nearest"))
 
 
-def distances(spark, sf):
-    g = m.genomes(spark, sf, 60)
-    a, b = (g.select(F.col("id").alias(p), F.col("strand1").alias(p + "1"), F.col("strand2").alias(p + "2")) for p in "ab")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", diploid_distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")).alias("dist"))
+def distances(spark, sf, others="true"):
+    """``a, b, dist``: the sample (every id divisible by 50) against all (``others``) but itself."""
+    g = m.genomes(spark, sf)
+    a, b = (g.where(w).select(F.col("id").alias(p), F.col("strand1").alias(p + "1"), F.col("strand2").alias(p + "2")) for p, w in (("a", "id % 50 = 0"), ("b", others)))
+    both = against_all(a, b, "a").where("a <> b")
+    return both.select("a", "b", diploid_distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")).alias("dist"))
 
 
-cte("dist60", f"SELECT x.id AS a, y.id AS b, CAST({distance_sql('x', 'y')} AS BIGINT) AS dist FROM {{genomes60}} x JOIN {{genomes60}} y ON x.id < y.id")
+cte("sample_dist", f"SELECT x.id AS a, y.id AS b, CAST({distance_sql('x', 'y')} AS BIGINT) AS dist FROM {{sampled_genomes}} x JOIN {{genomes}} y ON x.id <> y.id")
 
 
-@query("J19_distance_matrix", "SELECT a, b, dist FROM {dist60}")
+@query("J19_distance_matrix", "SELECT a, b, dist FROM {sample_dist}")
 def _(spark, sf):
-    """All pairs of a sample (the reference's matrix); the sample bounds the square."""
+    """The rows of the reference's matrix that belong to the sample, against all genomes in blocks."""
     return distances(spark, sf)
 
 
-@query("J19_cross_matrix", f"SELECT x.id AS a, y.id AS b, CAST({distance_sql('x', 'y')} AS BIGINT) AS dist FROM {{genomes60}} x JOIN {{genomes60}} y ON x.id % 2 = 0 AND y.id % 2 = 1")
+@query("J19_cross_matrix", "SELECT a, b, dist FROM {sample_dist} WHERE b % 2 = 1")
 def _(spark, sf):
     """Rectangular: one set against the other (the reference compares the second with itself)."""
-    g = m.genomes(spark, sf, 60)
-    a, b = (g.where(F.col("id") % 2 == r).select(F.col("id").alias(p), F.col("strand1").alias(p + "1"), F.col("strand2").alias(p + "2")) for p, r in (("a", 0), ("b", 1)))
-    return a.crossJoin(b).select("a", "b", diploid_distance(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")).alias("dist"))
-
-
-@query("J20_node_stats", "SELECT a.id, a.cell, n FROM {agents} a JOIN {counts} c ON c.cell = a.cell WHERE a.id % 10 = 0")
-def _(spark, sf):
-    stats = m.agents(spark, sf).where("life_state > 0").groupBy("cell").agg(F.count("*").alias("n"))
-    return m.agents(spark, sf).where("id % 10 = 0").join(stats, "cell").select("id", "cell", "n")
+    return distances(spark, sf, "id % 2 = 1")
 
 
-@query("J20_node_stats_all", "SELECT a.id, a.cell, n FROM {agents} a JOIN {counts} c ON c.cell = a.cell")
+@query("J20_node_stats", "SELECT a.id, a.cell, n FROM {agents} a JOIN {counts} c ON c.cell = a.cell")
 def _(spark, sf):
     stats = m.agents(spark, sf).where("life_state > 0").groupBy("cell").agg(F.count("*").alias("n"))
     return m.agents(spark, sf).join(stats, "cell").select("id", "cell", "n")
 
 
-@query("J21_column_merge", "SELECT a.r, c_name, s_name FROM (SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS r, c_name FROM customer) a JOIN (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS r, s_name FROM supplier) b USING (r)")
+@query("J21_column_merge", "SELECT a.r, c_name, s_name FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS r, c_name FROM customer) a JOIN (SELECT row_number() OVER (ORDER BY s_suppkey) AS r, s_name FROM supplier) b USING (r)")
 def _(spark, sf):
     from cohortspark.sources.text import paste
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.curves import polyline_sql
 from cohortspark.operators import raster as r
 from cohortspark.plans import model as m
+from cohortspark.plans.q_joins import recursive_sql
 from cohortspark.registry import CTES, cte, query
 
 H, W = m.RASTER_H, m.RASTER_W
@@ -137,18 +138,10 @@ def _(spark, sf):
     return r.generate(spark, 3, 4, 2.5)
 
 
-cte("probes", "SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 1050) / 100e0 AS py, (c_custkey * 53 % 850) / 100e0 AS px FROM customer WHERE c_custkey < 200")
+cte("probes", "SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey * 37 % 1050) / 100e0 AS py, (c_custkey * 53 % 850) / 100e0 AS px FROM customer")
 
 
 def probes(spark, sf):
-    i = F.col("c_custkey")
-    return m.table(spark, sf, "customer").where(i < 200).select(i.alias("id"), (i * 37 % 1050 / 100.0).alias("py"), (i * 53 % 850 / 100.0).alias("px"))
-
-
-cte("all_probes", CTES["probes"].removesuffix(" WHERE c_custkey < 200"))
-
-
-def all_probes(spark, sf):
     i = F.col("c_custkey")
     return m.table(spark, sf, "customer").select(i.alias("id"), (i * 37 % 1050 / 100.0).alias("py"), (i * 53 % 850 / 100.0).alias("px"))
 
@@ -158,11 +151,6 @@ def _(spark, sf):
     return shown(r.sample(probes(spark, sf), m.raster(spark, sf)).select("id", "v"))
 
 
-@query("R14_nearest_all", "SELECT id, CASE WHEN v IS NULL OR isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM {all_probes} p LEFT JOIN {raster_a} a ON a.y = CAST(round(py) AS INTEGER) AND a.x = CAST(round(px) AS INTEGER)")
-def _(spark, sf):
-    return shown(r.sample(all_probes(spark, sf), m.raster(spark, sf)).select("id", "v"))
-
-
 @query("R14_bilinear", """SELECT id, CASE WHEN isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM (SELECT id, sum(CASE WHEN w > 0 THEN coalesce(a.v, 'nan'::DOUBLE) * w ELSE 0e0 END) AS v FROM (
   SELECT id, CAST(floor(py) AS INTEGER) + j AS y, CAST(floor(px) AS INTEGER) + i AS x, (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w
   FROM {probes}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) p LEFT JOIN {raster_a} a ON a.y = p.y AND a.x = p.x GROUP BY id)""")
@@ -170,14 +158,29 @@ def _(spark, sf):
     return shown(r.sample(probes(spark, sf), m.raster(spark, sf), "bilinear").select("id", "v"))
 
 
-@query("R14_bilinear_all", """SELECT id, CASE WHEN isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM (SELECT id, sum(CASE WHEN w > 0 THEN coalesce(a.v, 'nan'::DOUBLE) * w ELSE 0e0 END) AS v FROM (
-  SELECT id, CAST(floor(py) AS INTEGER) + j AS y, CAST(floor(px) AS INTEGER) + i AS x, (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w
-  FROM {all_probes}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) p LEFT JOIN {raster_a} a ON a.y = p.y AND a.x = p.x GROUP BY id)""")
+def _cubic(t: str) -> dict[int, str]:
+    return {-1: f"((2 - {t}) * {t} - 1) * {t} / 2", 0: f"((3 * {t} - 5) * {t} * {t} + 2) / 2", 1: f"((4 - 3 * {t}) * {t} + 1) * {t} / 2", 2: f"({t} - 1) * {t} * {t} / 2"}
+
+
+_TAPS = " UNION ALL ".join(
+    f"SELECT id, CAST(floor(py) AS INTEGER) + {j} AS y, CAST(floor(px) AS INTEGER) + {i} AS x, ({wy}) * ({wx}) AS w FROM {{probes}}"
+    for j, wy in _cubic("(py - floor(py))").items() for i, wx in _cubic("(px - floor(px))").items()
+)
+
+
+@query("R14_bicubic", f"""SELECT id, CASE WHEN isnan(v) THEN NULL ELSE round(v, 6) END AS v FROM (SELECT id, sum(CASE WHEN w <> 0 THEN coalesce(a.v, 'nan'::DOUBLE) * w ELSE 0e0 END) AS v
+  FROM ({_TAPS}) p LEFT JOIN {{raster_a}} a ON a.y = p.y AND a.x = p.x GROUP BY id)""")
 def _(spark, sf):
-    return shown(r.sample(all_probes(spark, sf), m.raster(spark, sf), "bilinear").select("id", "v"))
+    return shown(r.sample(probes(spark, sf), m.raster(spark, sf), "bicubic").select("id", "v"))
+
 
+_STEP_SQL = """SELECT p.y, p.x, (max({'v': q.v, 'y': q.y, 'x': q.x})).y AS ny, (max({'v': q.v, 'y': q.y, 'x': q.x})).x AS nx FROM {raster_b} p JOIN {raster_b} q
+  ON (q.y - p.y + 12) % 12 IN (0, 1, 11) AND (q.x - p.x + 10) % 10 IN (0, 1, 9) AND NOT isnan(p.v) AND NOT isnan(q.v) AND q.v < p.v GROUP BY p.y, p.x"""
+cte("descents", _STEP_SQL)
 
-@query("R15_gradient_path")
+
+@query("R15_gradient_path", recursive_sql("""WITH RECURSIVE walk(n, y, x) AS (SELECT CAST(0 AS INTEGER), y, x FROM {raster_b} WHERE y = 5 AND x = 5 AND NOT isnan(v) UNION ALL SELECT w.n + 1, d.ny, d.nx FROM walk w JOIN {descents} d ON d.y = w.y AND d.x = w.x)
+SELECT w.n, w.y, w.x, b.v FROM walk w JOIN {raster_b} b ON b.y = w.y AND b.x = w.x"""))
 def _(spark, sf):
     return r.gradient_path(m.raster(spark, sf, "b"), 5, 5)
 
@@ -222,17 +225,10 @@ def climate(spark, sf):
     )
 
 
-cte("bins", "SELECT CAST(floor(temp / 4) AS BIGINT) AS tb, CAST(floor(rain / 150) AS BIGINT) AS rb, list_sort(list(DISTINCT biome)) AS biomes FROM {climate} WHERE id % 10 < 3 GROUP BY 1, 2")
+cte("bins", "SELECT CAST(floor(temp / 4) AS BIGINT) AS tb, CAST(floor(rain / 150) AS BIGINT) AS rb, list_sort(list(DISTINCT biome)) AS biomes FROM {climate} GROUP BY 1, 2")
 
 
 def bins(spark, sf):
-    return r.biome_bins(climate(spark, sf).where("id % 10 < 3"), 4.0, 150.0)
-
-
-cte("all_bins", CTES["bins"].replace(" WHERE id % 10 < 3", ""))
-
-
-def all_bins(spark, sf):
     return r.biome_bins(climate(spark, sf), 4.0, 150.0)
 
 
@@ -241,56 +237,53 @@ def _(spark, sf):
     return bins(spark, sf).withColumn("biomes", F.array_join(F.transform("biomes", lambda b: b.cast("string")), ","))
 
 
-@query("G10_biome_bins_all", "SELECT tb, rb, array_to_string(biomes, ',') AS biomes, len(biomes) > 1 AS multiple FROM {all_bins}")
-def _(spark, sf):
-    return all_bins(spark, sf).withColumn("biomes", F.array_join(F.transform("biomes", lambda b: b.cast("string")), ","))
+cte("ring_votes", """SELECT m.tb, m.rb, greatest(abs(m.tb - s.tb), abs(m.rb - s.rb)) AS ring, s.biomes[1] AS biome, count(*) AS n
+  FROM {bins} m JOIN {bins} s ON len(m.biomes) > 1 AND len(s.biomes) = 1 AND list_contains(m.biomes, s.biomes[1]) GROUP BY ALL""")
+cte("ring_sums", "SELECT v.tb, v.rb, r.upto, v.biome, sum(v.n) AS n FROM {ring_votes} v JOIN (SELECT DISTINCT ring AS upto FROM {ring_votes}) r ON v.ring <= r.upto GROUP BY ALL")
+cte("ring_leaders", "SELECT tb, rb, (min({'upto': upto, 'biome': biome})).biome AS biome FROM (SELECT *, count(*) FILTER (WHERE n = top) OVER (PARTITION BY tb, rb, upto) AS leaders FROM (SELECT *, max(n) OVER (PARTITION BY tb, rb, upto) AS top FROM {ring_sums})) WHERE n = top AND leaders = 1 GROUP BY tb, rb")
 
 
-@query("G11_biome_uniquify", """SELECT b.tb, b.rb, CASE WHEN len(b.biomes) = 1 THEN b.biomes[1] ELSE coalesce(v.biome, list_min(b.biomes)) END AS biome FROM {bins} b LEFT JOIN (
-  SELECT tb, rb, (min({'ring': ring, 'n': -n, 'biome': biome})).biome AS biome FROM (SELECT m.tb, m.rb, greatest(abs(m.tb - s.tb), abs(m.rb - s.rb)) AS ring, s.biomes[1] AS biome, count(*) AS n
-  FROM {bins} m JOIN {bins} s ON len(m.biomes) > 1 AND len(s.biomes) = 1 AND abs(m.tb - s.tb) <= 3 AND abs(m.rb - s.rb) <= 3 AND list_contains(m.biomes, s.biomes[1]) GROUP BY ALL) GROUP BY tb, rb) v ON v.tb = b.tb AND v.rb = b.rb""")
-def _(spark, sf):
-    return r.uniquify(bins(spark, sf), 3)  # as its SQL
+UNIQUE = "SELECT b.tb, b.rb, CASE WHEN len(b.biomes) = 1 THEN b.biomes[1] ELSE coalesce(v.biome, list_min(b.biomes)) END AS biome FROM {bins} b LEFT JOIN {ring_leaders} v ON v.tb = b.tb AND v.rb = b.rb"
 
 
-@query("G11_biome_uniquify_all", """SELECT b.tb, b.rb, CASE WHEN len(b.biomes) = 1 THEN b.biomes[1] ELSE coalesce(v.biome, list_min(b.biomes)) END AS biome FROM {all_bins} b LEFT JOIN (
-  SELECT tb, rb, (min({'ring': ring, 'n': -n, 'biome': biome})).biome AS biome FROM (SELECT m.tb, m.rb, greatest(abs(m.tb - s.tb), abs(m.rb - s.rb)) AS ring, s.biomes[1] AS biome, count(*) AS n
-  FROM {all_bins} m JOIN {all_bins} s ON len(m.biomes) > 1 AND len(s.biomes) = 1 AND list_contains(m.biomes, s.biomes[1]) GROUP BY ALL) GROUP BY tb, rb) v ON v.tb = b.tb AND v.rb = b.rb""")
+@query("G11_biome_uniquify", UNIQUE)
 def _(spark, sf):
-    return r.uniquify(all_bins(spark, sf))
+    return r.uniquify(bins(spark, sf))
 
 
-@query("R20_apply_biomes", "SELECT c.id, coalesce(list_min(b.biomes), -1) AS biome FROM {climate} c LEFT JOIN {bins} b ON b.tb = CAST(floor(c.temp / 4) AS BIGINT) AND b.rb = CAST(floor(c.rain / 150) AS BIGINT)")
+cte("far_bins", "SELECT tb * 9 AS tb, rb * 5 AS rb, CASE WHEN (tb + rb) % 4 = 0 THEN biomes[1:1] ELSE biomes END AS biomes FROM {bins}")
+
+
+def _far(sql: str) -> str:
+    for name in ("ring_votes", "ring_sums", "ring_leaders", "bins"):
+        sql = sql.replace("{" + name + "}", "{far_" + name + "}")
+    return sql
+
+
+for _name in ("ring_votes", "ring_sums", "ring_leaders"):
+    cte(f"far_{_name}", _far(CTES[_name]))
+
+
+@query("G11_biome_uniquify_far", _far(UNIQUE))
 def _(spark, sf):
-    table = bins(spark, sf).select("tb", "rb", F.array_min("biomes").alias("b"))
-    c = climate(spark, sf).withColumns({"tb": F.floor(F.col("temp") / 4.0), "rb": F.floor(F.col("rain") / 150.0)})
-    return c.join(table, ["tb", "rb"], "left").select("id", F.coalesce("b", F.lit(-1)).alias("biome"))
+    """The same bins thinly spread: what decides is many rings away."""
+    b = bins(spark, sf)
+    one = F.when((F.col("tb") + F.col("rb")) % 4 == 0, F.slice("biomes", 1, 1)).otherwise(F.col("biomes"))
+    return r.uniquify(b.select((F.col("tb") * 9).alias("tb"), (F.col("rb") * 5).alias("rb"), one.alias("biomes")))
 
 
-@query("R20_apply_biomes_all", "SELECT c.id, coalesce(list_min(b.biomes), -1) AS biome FROM {climate} c LEFT JOIN {all_bins} b ON b.tb = CAST(floor(c.temp / 4) AS BIGINT) AND b.rb = CAST(floor(c.rain / 150) AS BIGINT)")
+@query("R20_apply_biomes", "SELECT c.id, coalesce(list_min(b.biomes), -1) AS biome FROM {climate} c LEFT JOIN {bins} b ON b.tb = CAST(floor(c.temp / 4) AS BIGINT) AND b.rb = CAST(floor(c.rain / 150) AS BIGINT)")
 def _(spark, sf):
-    table = all_bins(spark, sf).select("tb", "rb", F.array_min("biomes").alias("b"))
+    table = bins(spark, sf).select("tb", "rb", F.array_min("biomes").alias("b"))
     c = climate(spark, sf).withColumns({"tb": F.floor(F.col("temp") / 4.0), "rb": F.floor(F.col("rain") / 150.0)})
     return c.join(table, ["tb", "rb"], "left").select("id", F.coalesce("b", F.lit(-1)).alias("biome"))
 
 
-cte("cap_bins", "SELECT CAST(floor(temp / 4) AS BIGINT) AS tb, CAST(floor(rain / 150) AS BIGINT) AS rb, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM {climate} WHERE id % 10 < 3 GROUP BY 1, 2")
-
-
-cte("all_cap_bins", CTES["cap_bins"].replace(" WHERE id % 10 < 3", ""))
+cte("cap_bins", "SELECT CAST(floor(temp / 4) AS BIGINT) AS tb, CAST(floor(rain / 150) AS BIGINT) AS rb, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM {climate} GROUP BY 1, 2")
 
 
 @query("G12_capacity_bins", """SELECT w.tb, w.rb, round(coalesce(c.mean, n.near), 6) AS mean, round(c.std, 6) AS std FROM (SELECT CAST(i // 20 AS BIGINT) AS tb, CAST(i % 20 AS BIGINT) AS rb FROM range(200) t(i)) w LEFT JOIN {cap_bins} c ON c.tb = w.tb AND c.rb = w.rb
   LEFT JOIN (SELECT w.tb, w.rb, avg(c.mean) AS near FROM (SELECT i // 20 AS tb, i % 20 AS rb FROM range(200) t(i)) w JOIN {cap_bins} c ON abs(c.tb - w.tb) <= 2 AND abs(c.rb - w.rb) <= 2 GROUP BY 1, 2) n ON n.tb = w.tb AND n.rb = w.rb""")
-def _(spark, sf):
-    b = r.capacity_by_bin(climate(spark, sf).where("id % 10 < 3"), 4.0, 150.0)
-    wanted = r.generate(spark, 10, 20, 0.0).select(F.col("y").cast("bigint").alias("tb"), F.col("x").cast("bigint").alias("rb"))
-    out = r.fill_bins(b, wanted, 2).join(b.select("tb", "rb", "std"), ["tb", "rb"], "left")
-    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
-
-
-@query("G12_capacity_bins_all", """SELECT w.tb, w.rb, round(coalesce(c.mean, n.near), 6) AS mean, round(c.std, 6) AS std FROM (SELECT CAST(i // 20 AS BIGINT) AS tb, CAST(i % 20 AS BIGINT) AS rb FROM range(200) t(i)) w LEFT JOIN {all_cap_bins} c ON c.tb = w.tb AND c.rb = w.rb
-  LEFT JOIN (SELECT w.tb, w.rb, avg(c.mean) AS near FROM (SELECT i // 20 AS tb, i % 20 AS rb FROM range(200) t(i)) w JOIN {all_cap_bins} c ON abs(c.tb - w.tb) <= 2 AND abs(c.rb - w.rb) <= 2 GROUP BY 1, 2) n ON n.tb = w.tb AND n.rb = w.rb""")
 def _(spark, sf):
     b = r.capacity_by_bin(climate(spark, sf), 4.0, 150.0)
     wanted = r.generate(spark, 10, 20, 0.0).select(F.col("y").cast("bigint").alias("tb"), F.col("x").cast("bigint").alias("rb"))

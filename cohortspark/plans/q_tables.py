@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.draws import u, u_sql
 from cohortspark.functions.genome import to_text
-from cohortspark.operators.genetics import binomial_count
+from cohortspark.operators.genetics import binomial_count, binomial_table
 from cohortspark.plans import model as m
 from cohortspark.plans.q_dynamics import draw
 from cohortspark.registry import cte, query
@@ -61,17 +61,6 @@ def _(spark, sf):
 
 
 @query("S20_plink_ped", """SELECT id, CAST(id % 2 AS INTEGER) AS gender, id // 2 AS mom, id // 3 AS dad, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l)) AS strand1,
-  (SELECT string_agg(substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l)) AS strand2 FROM {genomes} WHERE id <= 100""")
-def _(spark, sf):
-    """Written as ped lines and parsed back."""
-    a, b = (to_text(F.col(s), 32, 48) for s in ("strand1", "strand2"))
-    pairs = F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat_ws(" ", x, y)), " ")
-    i = F.col("id")
-    g = m.genomes(spark, sf, 100).select("id", (i % 2).cast("int").alias("gender"), F.floor(i / 2).alias("mom"), F.floor(i / 3).alias("dad"), pairs.alias("pairs"))
-    return tx.parse_ped(tx.ped_lines(g))
-
-
-@query("S20_plink_ped_all", """SELECT id, CAST(id % 2 AS INTEGER) AS gender, id // 2 AS mom, id // 3 AS dad, (SELECT string_agg(substr('AGCT', CAST((strand1[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l)) AS strand1,
   (SELECT string_agg(substr('AGCT', CAST((strand2[l // 16 + 1] >> (l % 16 * 2)) & 3 AS INTEGER) + 1, 1), '' ORDER BY l) FROM range(48) t(l)) AS strand2 FROM {genomes}""")
 def _(spark, sf):
     """Written as ped lines and parsed back."""
@@ -124,13 +113,7 @@ def _(spark, sf):
     return first.select(F.row_number().over(Window.orderBy("time", "id")).alias("r"), "id", "time")
 
 
-@query("O2_merge_sorted", "SELECT id, mom FROM {ancestors} WHERE id % 40 IN (1, 2)")
-def _(spark, sf):
-    a = m.ancestors(spark, sf)
-    return a.where("id % 40 = 1").unionByName(a.where("id % 40 = 2")).select("id", "mom").orderBy("id")
-
-
-@query("O2_merge_sorted_all", "SELECT id, mom FROM {ancestors}")
+@query("O2_merge_sorted", "SELECT id, mom FROM {ancestors}")
 def _(spark, sf):
     a = m.ancestors(spark, sf)
     return a.where("id % 2 = 0").unionByName(a.where("id % 2 <> 0")).select("id", "mom").orderBy("id")
@@ -210,22 +193,12 @@ def _(spark, sf):
     return m.table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-_BIN = []
-_p, _t = (1 - 0.02) ** 96, 0.0
-for _k in range(21):
-    _t += _p
-    _BIN.append(_t)
-    _p *= (96 - _k) / (_k + 1) * 0.02 / 0.98
-
-
-@query("F3_binomial_draws", "SELECT id, " + " + ".join(f"({u_sql(4, 4, 'bino', 'id')} >= {t!r}::DOUBLE)::INT" for t in _BIN[:8]) + " AS n FROM {agents} WHERE id % 3 = 0")
-def _(spark, sf):
-    return m.agents(spark, sf).where("id % 3 = 0").select("id", binomial_count(u(4, 4, "bino", F.col("id")), 96, 0.02, 7).alias("n"))
+_LOW, _BIN = binomial_table(96, 0.02)
 
 
-@query("F3_binomial_draws_all", "SELECT id, " + " + ".join(f"({u_sql(4, 4, 'bino', 'id')} >= {t!r}::DOUBLE)::INT" for t in _BIN[:8]) + " AS n FROM {agents}")
+@query("F3_binomial_draws", f"SELECT id, {_LOW} + " + " + ".join(f"({u_sql(4, 4, 'bino', 'id')} >= {t!r}::DOUBLE)::INT" for t in _BIN) + " AS n FROM {agents}")
 def _(spark, sf):
-    return m.agents(spark, sf).select("id", binomial_count(u(4, 4, "bino", F.col("id")), 96, 0.02, 7).alias("n"))
+    return m.agents(spark, sf).select("id", binomial_count(u(4, 4, "bino", F.col("id")), 96, 0.02).alias("n"))
 
 
 @query("F4_linlog", "SELECT cell, round(CASE WHEN altitude > 0 THEN 1 + ln(1 + altitude) ELSE 1 + altitude END, 6) AS v FROM {env}")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.operators.ordering import numbered
+
 
 def paste(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str]) -> DataFrame:
     """Columns of two tables side by side by row position ``r`` (from 1); rows without a partner are left out."""
-    number = lambda df, order: df.withColumn("r", F.row_number().over(Window.orderBy(*order)))
-    return number(a, a_order).join(number(b, b_order), "r")
+    return numbered(a, a_order).join(numbered(b, b_order), "r")
 
 
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
