@@ -31,7 +31,7 @@ for _n in range(3):
 def three_steps(spark, sf):
     """Logistic growth, then random moves, for three steps."""
     agents = m.agents(spark, sf).where("life_state > 0").select("id", "cell", "life_state", "gender")
-    sim = s.Simulation({"a": agents}, {}, m.edges(spark, sf), m.env(spark, sf), seed=7, cut_every=2)
+    sim = s.Simulation({"a": agents}, {}, m.edges(spark, sf), m.env(spark, sf), seed=7)
     sim.add_action("a", s.random_move(0.3, priority=2))
     sim.add_action("a", s.verhulst(0.2, 0.02, 0.05, 70.0, priority=1))
     sim.run(3)
@@ -53,7 +53,7 @@ def _(spark, sf):
     """Predators and prey for two steps: hunting, mass, births; rows per species and cell."""
     prey = m.agents(spark, sf).where("life_state > 0").select("id", "cell", "life_state", "gender", "mass")
     pred = m.predators(spark, sf).select("id", "cell", "life_state", "gender", "mass")
-    sim = s.Simulation({"prey": prey, "pred": pred}, {}, m.edges(spark, sf), m.env(spark, sf), cut_every=1)
+    sim = s.Simulation({"prey": prey, "pred": pred}, {}, m.edges(spark, sf), m.env(spark, sf))
     sim.add_action("pred", s.hunting("prey", 0.7, 0.3, priority=1))
     sim.add_action("pred", s.mass_manager(-0.2, 0.5, 12.0, priority=2))
     sim.add_action("pred", s.birther(4.0, 0.2, priority=3))

@@ -308,7 +308,7 @@ def test_agent_lines(spark, tmp_path):
 def test_simulation_invariants(spark):
     agents = m.agents(spark, SF).where("life_state > 0").select("id", "cell", "life_state", "gender", "birth_time", "last_birth")
     before = agents.count()
-    sim = s.Simulation({"a": agents}, {}, m.edges(spark, SF), m.env(spark, SF), cut_every=1)
+    sim = s.Simulation({"a": agents}, {}, m.edges(spark, SF), m.env(spark, SF))
     seen = []
     sim.add_action("a", s.get_old(1))
     sim.add_action("a", s.fertility(15, 50, 5, 2))
