@@ -116,3 +116,9 @@ def evolve(ancestors: DataFrame, founders: DataFrame, blocks: int, seed: int) ->
     whole = made.where(F.col("all") == full).groupBy("id").agg(F.count("*").alias("n"), *(F.transform(F.sort_array(F.collect_list(F.when(F.col("s") == s, F.struct("b", "value")))), lambda e: e["value"]).alias(f"strand{s}") for s in (1, 2)))
     born = whole.where(F.col("n") == 2 * blocks).select("id", "strand1", "strand2")
     return founders.select("id", "strand1", "strand2").unionByName(born)
+
+
+def sampled_genomes(ancestors: DataFrame, founders: DataFrame, samples: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """``id, strand1, strand2`` of the samples: the graph is cut to their lines before it is evolved."""
+    lines = lines_of(ancestors, samples).drop("progenitor")
+    return evolve(lines, founders, blocks, seed).join(samples.select("id"), "id", "left_semi")

@@ -318,3 +318,27 @@ def weighted_class(states: DataFrame, keys: list[str]) -> DataFrame:
     total = states.groupBy(*keys, "biome").agg(F.sum("weight").alias("w"))
     best = total.groupBy(*keys).agg(F.min(F.struct((-F.col("w")).alias("w"), "biome")).alias("b"))
     return best.select(*keys, F.col("b.biome").alias("biome"))
+
+
+def _shown(v: Column) -> Column:
+    return F.when(F.isnan(v), F.lit("nan")).otherwise(F.format_string("%.6f", v))
+
+
+def text_lines(a: DataFrame) -> DataFrame:
+    """``y, line``: the pixels of each row as text, in the order of x."""
+    rows = a.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("row"))
+    return rows.select("y", F.array_join(F.transform("row", lambda p: _shown(p["v"])), " ").alias("line"))
+
+
+def text_triples(a: DataFrame, lon0: float, dlon: float, lat0: float, dlat: float) -> DataFrame:
+    """``value``: a line of longitude, latitude and value for each pixel, parted by tabs."""
+    place = lambda c, first, step: F.format_string("%.6f", F.col(c) * step + first)
+    return a.select(F.concat_ws("\t", place("x", lon0, dlon), place("y", lat0, dlat), _shown(F.col("v"))).alias("value"))
+
+
+def trace(lines: DataFrame, steps: int) -> DataFrame:
+    """``lines`` (``x0, y0, x1, y1`` in cells) with the cells ``x, y`` at ``steps`` + 1 places along each."""
+    at = F.col("i") / float(steps)
+    spread = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    along = lambda c: F.round(F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * at).cast("int")
+    return spread.withColumns({"x": along("x"), "y": along("y")}).drop("i", "x0", "y0", "x1", "y1")

@@ -194,6 +194,12 @@ def test_evolving_a_graph(spark):
     assert 500 not in got and 501 not in got
 
 
+def test_sampled_genomes_are_those_of_the_whole_graph(spark):
+    whole = {r.id: (r.strand1, r.strand2) for r in QUERIES["N6_evolve_graph"](spark, SF).collect()}
+    got = {r.id: (r.strand1, r.strand2) for r in QUERIES["N9_sampled_genomes"](spark, SF).collect()}
+    assert got == {i: g_ for i, g_ in whole.items() if i % 50 == 0} and got
+
+
 def test_deep_graphs_have_no_cap(spark):
     chain = spark.range(1, 700).select("id", (F.col("id") - 1).alias("mom"), (F.col("id") - 1).alias("dad"))
     founders = spark.createDataFrame([(1, [5], [5])], "id long, strand1 array<long>, strand2 array<long>")

@@ -67,3 +67,52 @@ def test_value_tables(spark, tmp_path):
     (tmp_path / "t.txt").write_text("lon lat v\n-179.75 10.25 1.5 2\n 0.25\t-0.25  3\n")
     rows = binary.bin_table(binary.read_value_table(spark, str(tmp_path), 2), -180.0, 0.5, -90.0, 0.5).collect()
     assert sorted((r.y, r.x, r.v0, r.v1) for r in rows if r.v1) == [(200, 0, 1.5, 2.0)] and len(rows) == 2
+
+
+def test_agents_and_layers(spark, tmp_path):
+    from cohortspark.sources import store
+
+    agents = spark.createDataFrame([(i, i % 3, 5 if i % 4 else 0) for i in range(40)], "id long, cell int, life_state int")
+    path = f"{tmp_path}/agents"
+    store.write_agents(agents, path)
+    store.write_agents(store.read_agents(spark, path).where("id < 20"), path, safe=True)  # onto itself
+    assert {r.id for r in store.read_agents(spark, path, ["id"]).collect()} == {i for i in range(20) if i % 4}
+    layers = {"geo": agents.select("cell").distinct(), "nav": agents.select("id")}
+    store.write_layers(layers, f"{tmp_path}/env")
+    store.write_layers({"nav": agents.select("id").limit(3)}, f"{tmp_path}/env")
+    got = store.read_layers(spark, f"{tmp_path}/env", ["geo", "nav"])
+    assert got["geo"].count() == 3 and got["nav"].count() == 3
+    with pytest.raises(ValueError):
+        store.write_layers({"sky": agents}, f"{tmp_path}/env")
+
+
+def test_ancestor_fragments_and_sequences(spark, tmp_path):
+    from cohortspark.sources import store
+
+    log = f"{tmp_path}/log"
+    for part in range(3):
+        store.append_ancestors(spark.range(part * 100, part * 100 + 100).selectExpr("id", "id - 1 AS mom", "id - 2 AS dad"), log, block=64)
+    whole = store.read_ancestors(spark, log)
+    assert whole.count() == 300 and whole.columns == ["id", "mom", "dad"]
+    some = store.read_ancestors(spark, log, 70, 130, block=64)
+    assert sorted(r.id for r in some.collect()) == list(range(70, 131))
+    assert all(f"fragment={n}/" not in f for f in some.inputFiles() for n in ()) and "PartitionFilters" in some._jdf.queryExecution().executedPlan().toString()
+    store.write_sequences(spark.range(500).selectExpr("id", "array(id, id + 1) AS strand1"), f"{tmp_path}/genes")
+    assert spark.read.parquet(f"{tmp_path}/genes").where("id = 77").first().strand1 == [77, 78]
+
+
+def test_grids_regions_trees_and_units(spark):
+    from cohortspark.functions import scalars
+    from cohortspark.operators import trees
+    from cohortspark.sources import config, store
+
+    cells, edges = store.grid_tables(spark, config.parse_grid("WIDTH 4\nHEIGHT = 3\nTYPE rect\nPERIODIC 1\n"))
+    assert cells.count() == 12 and edges.count() == 48 and edges.where("nbr < 0").isEmpty()
+    assert store.parse_regions("# nodes\nRegion 1: North\n4\n5\n\nRegion 2 : South\n7\n") == {(1, "North"): [4, 5], (2, "South"): [7]}
+    for bad in ("Region x: y", "3", "Region 1: a\nb"):
+        with pytest.raises(ValueError):
+            store.parse_regions(bad)
+    tree = trees.from_merges(["a_1", "a_2", "b_1", "c_1"], [(0, 1), (2, 3), (4, 5)])
+    assert trees.lines(tree) == ["++--a_1", "|  +--a_2", "++--b_1", "   +--c_1"]
+    assert trees.lines(trees.merged(tree)) == ["+--a", "++--b", "   +--c"]
+    assert scalars.unit_factor("kg m^-2 * s^1.5") == 1000.0 and scalars.unit_factor("furlong") == 0.0 and scalars.unit_factor("km^2 ha^-1") == 100.0
