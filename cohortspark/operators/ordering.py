@@ -24,6 +24,34 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "r") -> Dat
     return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__part", "__at", "__start")
 
 
+def running_sums(rows: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with running sums in a total order, the row itself included: ``sums`` has new names by column.
+
+    As ``numbered``: each range of rows sums up by itself, from where the sums of those before it end.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    totals = placed.groupBy("__part").agg(*(F.sum(c).alias(f"__{n}") for c, n in sums.items()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__part", *(F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in sums.values()))
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = placed.join(F.broadcast(starts), "__part")
+    for c, n in sums.items():
+        within = within.withColumn(n, F.sum(c).over(own) + F.coalesce(F.col(f"__{n}"), F.lit(0)))
+    return within.drop("__part", "__at", *(f"__{n}" for n in sums.values()))
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[Column | str], name: str = "i") -> DataFrame:
+    """``rows`` with their place (from 1) within their group; the order has to tell the group's rows apart.
+
+    One group may hold any share of the rows: places are counted over all of them, and a group's first
+    one is taken off.
+    """
+    placed = numbered(rows, [*group, *order], "__r")
+    firsts = placed.groupBy(*group).agg(F.min("__r").alias("__first"))
+    return placed.join(firsts, group).withColumn(name, F.col("__r") - F.col("__first") + 1).drop("__r", "__first")
+
+
 def against_all(sample: DataFrame, rows: DataFrame, key: str, block: int = 64, salts: int = 16) -> DataFrame:
     """Every row with every row of ``sample`` (columns must not clash; ``key`` orders the sample).
 

@@ -7,20 +7,19 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.draws import pick, u
 from cohortspark.functions.lineage import cut
+from cohortspark.operators.ordering import ranked
 from cohortspark.operators.rates import FERTILE
 
 
 def match_by_rank(left: DataFrame, right: DataFrame, left_order: Column, right_order: Column) -> DataFrame:
-    """``cell, left_id, right_id``: the i-th of one side with the i-th of the other. Cells hold what their capacity allows."""
-    by = Window.partitionBy("cell")
-    a = left.select("cell", F.col("id").alias("left_id"), F.row_number().over(by.orderBy(left_order, "id")).alias("i"))
-    b = right.select("cell", F.col("id").alias("right_id"), F.row_number().over(by.orderBy(right_order, "id")).alias("i"))
-    return a.join(b, ["cell", "i"]).select("cell", "left_id", "right_id")
+    """``cell, left_id, right_id``: the i-th of one side with the i-th of the other; a crowded cell is spread like any other."""
+    side = lambda df, order, name: ranked(df.select("cell", "id", order.alias("o")), ["cell"], ["o", "id"]).select("cell", F.col("id").alias(name), "i")
+    return side(left, left_order, "left_id").join(side(right, right_order, "right_id"), ["cell", "i"]).select("cell", "left_id", "right_id")
 
 
 def random_pairs(agents: DataFrame, seed: int, step: int) -> DataFrame:
@@ -28,12 +27,11 @@ def random_pairs(agents: DataFrame, seed: int, step: int) -> DataFrame:
 
     Only agents whose state equals 5 take part (not those that are also moving).
     """
-    able = agents.where(F.col("life_state") == FERTILE)
-    cell = Window.partitionBy("cell")
-    able = able.withColumns({"nf": F.count_if(F.col("gender") == 0).over(cell), "nm": F.count_if(F.col("gender") == 1).over(cell)})
+    able = agents.where(F.col("life_state") == FERTILE).select("cell", "id", "gender")
+    counts = able.groupBy("cell").agg(F.count_if(F.col("gender") == 0).alias("nf"), F.count_if(F.col("gender") == 1).alias("nm"))
+    able = able.join(counts, "cell")
     order = F.when((F.col("gender") == 0) == (F.col("nf") <= F.col("nm")), F.lit(0.0)).otherwise(u(seed, step, "pair", F.col("id")))
-    able = able.withColumn("o", order)
-    out = match_by_rank(able.where("gender = 0"), able.where("gender = 1"), F.col("o"), F.col("o"))
+    out = match_by_rank(able.where("gender = 0"), able.where("gender = 1"), order, order)
     return out.select("cell", F.col("left_id").alias("female"), F.col("right_id").alias("male"))
 
 
@@ -61,12 +59,12 @@ def hunt(predators: DataFrame, prey: DataFrame, efficiency: float, usability: fl
 
 def distribute_prey(prey: DataFrame, predators: DataFrame, ratio: float, seed: int, step: int) -> DataFrame:
     """``cell, prey, pred, species``: each prey draws one of all predators of its cell (species in order, then ids); kept with probability ``ratio``."""
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("species", "id")) - 1
-    ranked = predators.where("life_state > 0").select("cell", F.col("id").alias("pred"), "species", rank.alias("k"))
-    totals = ranked.groupBy("cell").agg(F.count("*").cast("int").alias("n"))
+    hunters = ranked(predators.where("life_state > 0").select("cell", "id", "species"), ["cell"], ["species", "id"])
+    hunters = hunters.select("cell", F.col("id").alias("pred"), "species", (F.col("i") - 1).cast("int").alias("k"))
+    totals = hunters.groupBy("cell").agg(F.count("*").cast("int").alias("n"))
     drawn = prey.where("life_state > 0").join(totals, "cell").where(u(seed, step, "kept", F.col("id")) < ratio)
     drawn = drawn.select("cell", F.col("id").alias("prey"), pick(u(seed, step, "which", F.col("id")), F.col("n")).alias("k"))
-    return drawn.join(ranked, ["cell", "k"]).select("cell", "prey", "pred", "species")
+    return drawn.join(hunters, ["cell", "k"]).select("cell", "prey", "pred", "species")
 
 
 def consume(assigned: DataFrame, prey: DataFrame, usability: float) -> DataFrame:

@@ -10,7 +10,7 @@ from cohortspark.functions.draws import u, u_sql
 from cohortspark.functions.genome import diploid_distance
 from cohortspark.operators import pairing, spatial
 from cohortspark.operators.components import connected_components
-from cohortspark.operators.ordering import against_all
+from cohortspark.operators.ordering import against_all, ranked
 from cohortspark.plans import model as m
 from cohortspark.plans.q_cells import coast
 from cohortspark.plans.q_dynamics import STEP, draw
@@ -159,14 +159,14 @@ def _(spark, sf):
 
 @query("W5_sample_per_location", f"SELECT name, id FROM (SELECT name, id, num, row_number() OVER (PARTITION BY name ORDER BY {draw('sample', 'id')}, id) AS n FROM {{in_reach}}) WHERE num < 0 OR n <= num")
 def _(spark, sf):
-    w = Window.partitionBy("name").orderBy(u(SEED, STEP, "sample", F.col("id")), "id")
-    return in_reach(spark, sf).withColumn("n", F.row_number().over(w)).where("num < 0 or n <= num").select("name", "id")
+    drawn = in_reach(spark, sf).withColumn("o", u(SEED, STEP, "sample", F.col("id")))
+    return ranked(drawn, ["name"], ["o", "id"], "n").where("num < 0 or n <= num").select("name", "id")
 
 
 @query("W4_sample_per_group", f"SELECT cell, id FROM (SELECT cell, id, row_number() OVER (PARTITION BY cell ORDER BY {draw('take')}, id) AS n FROM {{agents}}) WHERE n <= 4")
 def _(spark, sf):
-    w = Window.partitionBy("cell").orderBy(u(SEED, STEP, "take", F.col("id")), "id")
-    return m.agents(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 4").select("cell", "id")
+    drawn = m.agents(spark, sf).select("cell", "id", u(SEED, STEP, "take", F.col("id")).alias("o"))
+    return ranked(drawn, ["cell"], ["o", "id"], "n").where("n <= 4").select("cell", "id")
 
 
 AB = great_circle_sql("a.lon", "a.lat", "b.lon", "b.lat")

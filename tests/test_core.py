@@ -223,6 +223,23 @@ def test_rows_are_numbered_in_order(spark):
     assert against_all(spark.range(0).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b"), "a").count() == 0
 
 
+def test_running_sums_and_ranks(spark):
+    from cohortspark.operators.ordering import ranked, running_sums
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, k string, v long").repartition(7)
+    total, want = 0, {}
+    for i, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        total += v
+        want[i] = total
+    assert {r.i: r.upto for r in running_sums(df, ["v", "i"], {"v": "upto"}).collect()} == want
+    got = {r.i: r.n for r in ranked(df.where("k is not null"), ["k"], ["v", "i"], "n").collect()}
+    for k in ("hot", "a"):
+        own = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0]))
+        assert all(got[r[0]] == n + 1 for n, r in enumerate(own))
+
+
 def test_nearest_places(spark):
     from cohortspark.operators import spatial
 
