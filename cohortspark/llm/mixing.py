@@ -21,18 +21,19 @@ that meet: reruns agree, whatever the partitions.
 Defined results: a null text has size 0; a document of size 0 takes 0; with no words at all every
 target is 0; the null source is a source of its own and comes last; a repeated row is a document
 of its own (of equal rows any take the further copies); a null key is passed through; an empty table gives no rows; other columns are not
-read. The table of sources (one row each) is ordered in one task.
+read. The table of sources is numbered and summed up in ranges, however many there are.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.lineage import cut
 from cohortspark.llm.repeats import repeated
+from cohortspark.operators.ordering import numbered, running_sums
 
 #: Of size classes, in natural logarithms: a tenth.
 CLASS_WIDTH = 0.0953
@@ -51,22 +52,19 @@ def _wide(c: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """``source, source_size, n_docs, n_rows, target`` from elements of ``source, size, n`` (``n`` equal rows)."""
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("n_docs"), F.sum("n").alias("n_rows"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    by_name = F.col("source").asc_nulls_last()
+    place = F.pmod(F.col("place") - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int"))
-    sources = sources.withColumn("w", _wide(weight)).withColumn("most", _wide(F.col("source_size")) * cap)
+    sources = numbered(sources, [by_name], "place")
+    sources = sources.withColumn("w", _wide(weight)).withColumn("most", _wide(F.col("source_size")) * cap).drop("place")
     # Fill level at which a source reaches its cap; sources below the water line are the first ones.
-    by_level = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    everywhere = Window.partitionBy()
-    before = F.coalesce(F.sum("most").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    sources = sources.withColumn("total", F.sum(_wide(F.col("source_size"))).over(everywhere))
-    sources = sources.withColumn("before", _wide(before)).withColumn("rest", _wide(rest))
-    held = F.col("most") * F.col("rest") <= (F.col("total") - F.col("before")) * F.col("w")
-    sources = sources.withColumn("held", held)
-    fixed = F.sum(F.when(F.col("held"), F.col("most")).otherwise(F.lit(0))).over(everywhere)
-    free = F.sum(F.when(~F.col("held"), F.col("w")).otherwise(F.lit(0))).over(everywhere)
-    share = (F.col("total") - fixed).cast("double") * F.col("w").cast("double") / free.cast("double")
+    sources = cut(running_sums(sources, [F.col("most") / F.col("w"), by_name], {"most": "most_upto", "w": "w_upto"}))
+    zero = F.lit(0).cast("decimal(38,0)")
+    whole = sources.agg(F.coalesce(F.sum(_wide(F.col("source_size"))), zero).alias("total"), F.coalesce(F.sum("w"), zero).alias("w")).first()
+    before, rest = F.col("most_upto") - F.col("most"), F.lit(whole.w) - F.col("w_upto") + F.col("w")
+    sources = sources.withColumn("held", F.col("most") * _wide(rest) <= (F.lit(whole.total) - _wide(before)) * F.col("w"))
+    sums = sources.agg(F.coalesce(F.sum(F.when(F.col("held"), F.col("most"))), zero).alias("fixed"), F.coalesce(F.sum(F.when(~F.col("held"), F.col("w"))), zero).alias("free")).first()
+    share = F.lit(float(whole.total - sums.fixed)) * F.col("w").cast("double") / F.lit(float(sums.free or 1))
     target = F.when(F.col("held"), F.col("most").cast("double")).otherwise(share)
     return sources.select("source", "source_size", "n_docs", "n_rows", target.alias("target"))
 
