@@ -265,10 +265,11 @@ class Features:
         return out if self.only is None else out & self.only
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = 3.0, l2: float = 0.1, alpha: float = 0.3, seed: int = 3) -> tuple[float, dict[int, float]]:
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float = 3.0, l2: float = 0.1, alpha: float = 1.0, seed: int = 3, keep: float = 0.6) -> tuple[float, dict[int, float]]:
     """Bias and weights by slot; FTRL-proximal leaves slots without steady evidence at zero.
 
-    A text is toxic by what it holds, whatever else is in it: no weight is below zero.
+    A text is toxic by what it holds, whatever else is in it: no weight is below zero. Each visit
+    sees a share ``keep`` of a row's slots, so that few of a text's hidden words are enough.
     """
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     bias = math.log(share / (1 - share))
@@ -285,6 +286,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float =
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             index = rows[i]
+            index = index[rng.random(len(index)) < keep]
             w = weights(index)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + float(w.sum())))))
             g = p - y[i]
@@ -298,26 +300,6 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, l1: float =
     return bias, dict(zip(used.tolist(), weights(used).tolist(), strict=True))
 
 
-def fit_calibrated(rows: list[np.ndarray], y: np.ndarray) -> tuple[float, dict[int, float]]:
-    """A fit on all rows; slope and offset are those that suit a fit on four fifths on the other rows."""
-    aside = np.arange(len(y)) % 5 == 4
-    bias, weights = fit([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside])
-    target = y[aside]
-    if not weights or target.size == 0 or target.min() == target.max():
-        return bias, weights
-    raw = np.array([bias + math.fsum(weights.get(s, 0.0) for s in r.tolist()) for r, a in zip(rows, aside, strict=True) if a])
-    x = np.stack([raw, np.ones_like(raw)], axis=1)
-    line = np.array([1.0, 0.0])
-    for _ in range(30):  # Newton steps of a ridge-regularised logistic fit towards (1, 0)
-        p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
-        slope = x.T @ (p - target) + 0.5 * (line - [1.0, 0.0])
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2)
-        line = line - np.linalg.solve(curve, slope)
-    scale = max(0.1, float(line[0]))
-    bias, weights = fit(rows, y)
-    return bias * scale + float(line[1]), {s: w * scale for s, w in weights.items()}
-
-
 def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS):
     """(bias, weights) fitted on at most ``most`` labelled rows outside the held-out fold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -331,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("slots", T.BinaryType())])
     rows = training_rows(docs, labels, label, key, text, most).mapInArrow(run, schema)
     got = bounded_rows(rows, "key", ["slots"]).sort_values(["key", "slots"], kind="stable")
-    return fit_calibrated([np.frombuffer(bytes(s), np.int32) for s in got["slots"]], got["y"].to_numpy(np.float64))
+    return fit([np.frombuffer(bytes(s), np.int32) for s in got["slots"]], got["y"].to_numpy(np.float64))
 
 
 def toxicity_scores(docs: DataFrame, model: np.ndarray, bias: float, weights: dict[int, float], keep: list[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
