@@ -432,3 +432,15 @@ def test_a_row_for_every_customer(spark, name):
     rows = QUERIES[name](spark, SF.replace("0.001", "0.01")).collect()
     assert len({r.id for r in rows}) == len(rows) == 1500
     assert name[:3] != "R20" or all(r.biome >= 0 for r in rows)  # every climate is in the table
+
+
+def test_principal_components_of_phenomes(spark):
+    import numpy as np
+
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids], float)
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = np.abs(x @ axes[:3].T)
+    got = {r.id: r.components for r in QUERIES["E18_pca"](spark, SF).collect()}
+    assert set(got) == set(ids) and np.allclose([got[i] for i in ids], want, atol=1e-4)
