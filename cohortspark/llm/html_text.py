@@ -10,7 +10,8 @@ page's, whose ends count as boilerplate. A tie goes to the block before, a headi
 block after. Where a page has an ``article`` or ``main`` with text in it, all else is boilerplate.
 
 A class or id counts as a container's name if each of its parts is a known word (``post-comments``,
-not ``share-of-market``). A form that holds all of a page's text is no container.
+not ``share-of-market``) or one of them has no other use (``sidebar``); a name of a state
+(``has-comments``) is none. A form that holds all of a page's text is no container.
 
 Defined results: a null page is empty; a page without blocks has the empty text; a page on which
 nothing is decided keeps all that is in no such container; repeated rows give repeated rows; an
@@ -65,10 +66,17 @@ _GOOD_NAME = frozenset("content article post entry story main body text".split()
 _NEUTRAL = frozenset(
     "a an the and box boxes list lists item items container wrap wrapper wrapped area areas section sections block blocks bar bars button "
     "buttons link links icon icons left right top bottom upper lower middle first last site page pages global primary secondary inner outer "
-    "col column columns row group panel pane slot unit zone holder js is has no new posts articles stories single hentry blog view "
+    "col column columns row group panel pane slot unit zone holder js new posts articles stories single hentry blog view "
     "user users reader readers header footer widget widgets thread count title div region module component "
-    "small large mobile desktop sticky fixed policy bottom center inline in out".split()
+    "small large mobile desktop sticky fixed policy center inline in out law info message messages msg settings preferences dark light toggle placeholder "
+    "label head heading image img photo video embed only print fb facebook twitter google wp".split()
 )
+#: One of these is enough, whatever stands beside it; with one of the others a name tells a state.
+_STRONG = frozenset(
+    "sidebar sidebars breadcrumb breadcrumbs navbar disqus advert adverts advertisement advertising adsense gdpr newsletter newsletters "
+    "pagination masthead commentlist toolbar topbar popup popups".split()
+)
+_STATE = frozenset("has is no not with without open closed enabled disabled show hide free".split())
 _KNOWN = _NEUTRAL | _GOOD_NAME | _BAD_NAME | _OUTER_NAME
 
 #: Frequent function words of the languages at hand.
@@ -100,11 +108,14 @@ class Block:
 
 
 def _named(value: str, names: frozenset[str]) -> bool:
-    """Whether a class or id has a name of ``names`` beside neutral words only."""
+    """Whether a class or id has a name of ``names`` beside neutral words only; names of states are passed over."""
     for word in value.split():
-        parts = [x.lower() for x in _PARTS.findall(word)]
-        if any(x in names for x in parts) and all(x in _KNOWN or x.isdigit() or len(x) == 1 for x in parts):
-            return True
+        parts = {x.lower() for x in _PARTS.findall(word)}
+        if parts & names and not parts & _STATE:
+            if names is _OUTER_NAME and parts & _GOOD_NAME:  # the article's own header
+                continue
+            if parts & names & _STRONG or all(x in _KNOWN or x.isdigit() or len(x) == 1 for x in parts):
+                return True
     return False
 
 
@@ -249,7 +260,8 @@ class _Page:
 def _decide(block: Block, page_has_common_words: bool, max_link_density: float, short: int, stop: float, stops: float) -> bool | None:
     """Pass one for a block that is in no container without text."""
     long = len(block.text) >= short
-    if block.links > max_link_density * len(block.text):
+    told = stops >= stop and len(block.text) - block.links >= 2 * short  # sentences that have links in them
+    if block.links > max_link_density * len(block.text) and not (told and block.links * 2 <= len(block.text)):
         return None if block.good == 2 and block.paragraph and not long else False
     if block.heading:
         return None

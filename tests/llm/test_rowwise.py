@@ -129,6 +129,8 @@ SECOND = "It is the second of the paragraphs, and what it says is not of much us
         (f"<article class=teaser><a href=1>Read the next one, which is on the other page of the site, and not here</a></article><div><p>{FIRST}</p></div>", [FIRST]),
         (f"<p data-class='ad'>{FIRST}</p><p title='a > b' class=\"ad-slot\">{SECOND}</p>", [FIRST]),
         (f"<article><header><h1>T</h1></header><p>{FIRST}<br>On.</p><footer>By me</footer></article><header>Site</header>", ["T", FIRST + " On."]),
+        (f"<div class='post has-comments comments-open'><div class='post-header'><h1>T</h1></div><p>{FIRST}</p></div><div class='left-sidebar-x'><p>{SECOND}</p></div><div class='cookie-law-info-bar'>{SECOND}</div><div id='fb-comments'>{SECOND}</div>", ["T", FIRST]),
+        (f"<article class='post no-sidebar'><p>{FIRST}</p><p>{FIRST} <a href=x>{FIRST[:80]}</a> {SECOND[:60]}</p></article>", [FIRST, f"{FIRST} {FIRST[:80]} {SECOND[:60]}".strip()]),
         ("<table><tr><td>a &lt; b &amp;&#33; <td>zwei</table><![CDATA[x < y]]>", ["a < b &!", "zwei", "x < y"]),
     ],
 )
