@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.curves import great_circle, great_circle_sql, polyline
+from cohortspark.functions.curves import great_circle, great_circle_sql, polyline, polyline_sql
 from cohortspark.functions.draws import u, u_sql
 from cohortspark.functions.genome import diploid_distance
 from cohortspark.operators import pairing, spatial
@@ -75,13 +75,36 @@ def candidates(spark, sf):
     return with_distance(f.join(a.where("gender = 1").select("cell", F.col("id").alias("male")), "cell"), spark, sf)
 
 
-@query("J7_sel_pair")
+cte("couples", f"""SELECT f.cell, f.id AS female, m.id AS male, {distance_sql('f', 'm')} AS dist,
+  len(list_intersect(list_transform(f.strand1 || f.strand2, lambda x: x % 16), list_transform(m.strand1 || m.strand2, lambda x: x % 16))) AS shared
+  FROM (SELECT a.id, a.cell, strand1, strand2 FROM {{agents}} a JOIN {{genomes}} g ON g.id = a.id WHERE life_state = 5 AND gender = 0) f
+  JOIN (SELECT a.id, a.cell, strand1, strand2 FROM {{agents}} a JOIN {{genomes}} g ON g.id = a.id WHERE life_state = 5 AND gender = 1) m ON m.cell = f.cell""")
+
+
+_KNOTS = [(60.0, 0.0), (90.0, 1.0), (110.0, 0.2)]
+_FREE = "list_filter(list_zip(b[1].ms, b[1].ws), lambda z: NOT list_contains(list_transform(a, lambda p: p.m), z[1]))"
+_TOTAL = f"coalesce(list_sum(list_transform({_FREE}, lambda z: z[2])), 0e0)"
+_UPTO = f"list_transform(range(1, len({_FREE}) + 1), lambda i: list_sum(list_transform({_FREE}[1:i], lambda z: z[2])))"
+_PLACE = f"least(1 + len(list_filter({_UPTO}, lambda c: c <= b[1].r * {_TOTAL})), len({_FREE}))"
+
+
+@query("J7_sel_pair", f"""SELECT cell, p.f AS female, p.m AS male FROM (SELECT cell, unnest(list_reduce(list_prepend([]::STRUCT(f BIGINT, r DOUBLE, m BIGINT, ms BIGINT[], ws DOUBLE[])[], list([{{'f': female, 'r': r, 'm': NULL::BIGINT, 'ms': ms, 'ws': ws}}] ORDER BY female)),
+    lambda a, b: CASE WHEN {_TOTAL} > 0 THEN list_append(a, {{'f': b[1].f, 'r': b[1].r, 'm': {_FREE}[{_PLACE}][1], 'ms': NULL::BIGINT[], 'ws': NULL::DOUBLE[]}}) ELSE a END)) AS p
+  FROM (SELECT cell, female, {u_sql(SEED, STEP, 'select', 'female')} AS r, list(male ORDER BY male) AS ms, list(greatest(CAST({polyline_sql('dist', _KNOTS)} AS DOUBLE), 0e0) ORDER BY male) AS ws FROM {{couples}} GROUP BY cell, female) GROUP BY cell)""")
 def _(spark, sf):
-    weight = polyline(F.col("dist").cast("double"), [(60.0, 0.0), (90.0, 1.0), (110.0, 0.2)])
+    weight = polyline(F.col("dist").cast("double"), _KNOTS)
     return pairing.selective_pairs(candidates(spark, sf).withColumn("weight", weight), SEED, STEP)
 
 
-@query("J8_assortative_pair")
+def greedy_sql(score: str, cutoff: float) -> str:
+    """The couples of each cell in their total order, folded: a couple is taken if neither partner is."""
+    order = f"-score, {u_sql(SEED, STEP, 'greedy', 'female')}, female, {u_sql(SEED, STEP, 'choose', 'female', 'male')}, male"
+    taken = "CASE WHEN len(list_filter(a, lambda p: p.f = b[1].f OR p.m = b[1].m)) > 0 THEN a ELSE list_concat(a, b) END"
+    return f"""SELECT cell, p.f AS female, p.m AS male, p.s AS score FROM (SELECT cell, unnest(list_reduce(list([{{'f': female, 'm': male, 's': score}}] ORDER BY {order}), lambda a, b: {taken})) AS p
+      FROM (SELECT cell, female, male, CAST({score} AS DOUBLE) AS score FROM {{couples}}) WHERE score >= {cutoff}e0 GROUP BY cell)"""
+
+
+@query("J8_assortative_pair", greedy_sql("shared", 1.0))
 def _(spark, sf):
     """Scores: equal blocks of the strands, as shared proteins."""
     g = m.genomes(spark, sf).select("id", F.transform(F.concat("strand1", "strand2"), lambda x: x % 16).alias("p"))
@@ -89,12 +112,12 @@ def _(spark, sf):
     return pairing.greedy_pairs(c.withColumn("score", F.size(F.array_intersect("fp", "mp")).cast("double")), 1.0, SEED, STEP)
 
 
-@query("J9_assortative_pair_ham")
+@query("J9_assortative_pair_ham", greedy_sql("1e0 - dist / 192e0", 0.5))
 def _(spark, sf):
     return pairing.greedy_pairs(candidates(spark, sf).withColumn("score", F.lit(1.0) - F.col("dist") / 192.0), 0.5, SEED, STEP)
 
 
-@query("J10_rank_table_pairs")
+@query("J10_rank_table_pairs", greedy_sql("floor(dist / 10e0)", 8.0))
 def _(spark, sf):
     ranks = candidates(spark, sf).withColumn("score", F.floor(F.col("dist") / 10).cast("double"))
     return pairing.greedy_pairs(ranks, 8.0, SEED, STEP)
