@@ -100,8 +100,31 @@ def _(spark, sf):
     return regions.sub_components(m.edges(spark, sf), c)
 
 
+_TAKES = {
+    "smallest": "[(list_min(list_transform(list_filter(sizes, lambda x: list_contains(near, x.r)), lambda x: {'s': x.s, 'r': x.r}))).r]",
+    "largest": "[-(list_max(list_transform(list_filter(sizes, lambda x: list_contains(near, x.r)), lambda x: {'s': x.s, 'r': -x.r}))).r]",
+    "random": "[near[CAST(floor(('0x' || substr(md5(concat_ws('|', '1', step + 1, 'near')), 1, 8))::BIGINT / 4294967296.0 * len(near)) AS INTEGER) + 1]]",
+    "all": "near",
+}
+cte("grown_cells", """SELECT list(c.cell ORDER BY c.cell) AS cells, list(c.ns ORDER BY c.cell) AS adj, list(coalesce(a.n, 0) ORDER BY c.cell) AS ws
+  FROM (SELECT cell, list(DISTINCT CAST(nbr AS INTEGER)) AS ns FROM {edges} WHERE nbr >= 0 GROUP BY cell) c LEFT JOIN (SELECT cell, count(*) AS n FROM {agents} WHERE life_state > 0 GROUP BY cell) a ON a.cell = c.cell""")
+
+
+def regions_sql(mode: str, n_regions: int) -> str:
+    """One row a step: the region of every cell (numbered from 0) as a list."""
+    return recursive_sql(f"""WITH RECURSIVE walk(step, reg) AS (SELECT 0, cells FROM {{grown_cells}} UNION ALL
+  SELECT step + 1, list_transform(reg, lambda x: CASE WHEN list_contains({_TAKES[mode]}, x) THEN r ELSE x END) FROM (
+    SELECT *, list_sort(list_filter(list_distinct(flatten(list_transform(list_filter(range(1, len(reg) + 1), lambda i: reg[i] = r), lambda i: list_transform(adj[i], lambda c: reg[c + 1])))), lambda x: x <> r)) AS near FROM (
+      SELECT *, ties[CAST(floor(('0x' || substr(md5(concat_ws('|', '1', step + 1, 'tie')), 1, 8))::BIGINT / 4294967296.0 * len(ties)) AS INTEGER) + 1] AS r FROM (
+        SELECT *, list_sort(list_transform(list_filter(sizes, lambda x: x.s = list_min(list_transform(sizes, lambda y: y.s))), lambda x: x.r)) AS ties FROM (
+          SELECT w.step, w.reg, g.adj, list_transform(list_distinct(w.reg), lambda x: {{'r': x, 's': list_sum(list_transform(range(1, len(w.reg) + 1), lambda i: CASE WHEN w.reg[i] = x THEN g.ws[i] ELSE 0 END))}}) AS sizes
+          FROM walk w, {{grown_cells}} g WHERE len(list_distinct(w.reg)) > {n_regions})))) WHERE len(near) > 0)
+SELECT l.cell, min(l.cell) OVER (PARTITION BY l.reg) AS region, CAST(sum(l.n) OVER (PARTITION BY l.reg) AS BIGINT) AS n
+FROM (SELECT unnest(g.cells) AS cell, unnest(w.reg) AS reg, unnest(g.ws) AS n FROM (SELECT * FROM walk ORDER BY step DESC LIMIT 1) w, {{grown_cells}} g) l""")
+
+
 def _regions(mode: str) -> None:
-    @query(f"X3_regions_{mode}")
+    @query(f"X3_regions_{mode}", regions_sql(mode, 6))
     def _(spark, sf):
         counts = m.agents(spark, sf).where("life_state > 0").groupBy("cell").agg(F.count("*").alias("n"))
         return regions.grow_regions(m.edges(spark, sf), counts, 6, mode)
