@@ -48,7 +48,34 @@ def _(spark, sf):
     return three_steps(spark, sf).groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("gender") == 0).alias("females"))
 
 
-@query("D27_two_species")
+cte("hunted0_prey", "SELECT id, cell, life_state, CAST(gender AS INTEGER) AS gender, mass FROM {agents} WHERE life_state > 0")
+cte("hunted0_pred", "SELECT id, cell, life_state, gender, mass FROM {predators} WHERE life_state > 0")
+
+
+def _hunted(n: int) -> None:
+    """The SQL of one step of hunters and prey."""
+    d = lambda action, i="id": u_sql(7, n, action, i)
+    b, dd = "(0.2e0 + (0.05e0 - 0.2e0) * n / 70e0)", "(0.01e0 + (0.05e0 - 0.01e0) * n / 70e0)"
+    child = f"('0x' || substr(md5(concat_ws('|', 'child', id || '.1', '{n}')), 1, 13))::BIGINT + {1 << 40} AS child"
+    born = f"CASE WHEN {d('gender', 'child')} < 0.5 THEN 5 ELSE 1 END, CASE WHEN {d('gender', 'child')} < 0.5 THEN 0 ELSE 1 END"
+    cte(f"caught{n}", f"""SELECT p.id AS pred, y.id AS prey, y.mass * 0.3e0 AS gain FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY id) AS i FROM {{hunted{n}_pred}}) p
+      JOIN (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {d('prey')}, id) AS i FROM {{hunted{n}_prey}}) y ON p.cell = y.cell AND p.i = y.i WHERE {d('hunt', 'p.id')} < 0.7e0""")
+    cte(f"fed{n}", f"""SELECT *, least(m, 12e0) AS mc, m < 0.5e0 AS died, (0.8e0 + {d('baby')} * 0.4e0) * 4e0 AS baby
+      FROM (SELECT p.*, p.mass + coalesce(gain, 0e0) + -0.2e0 AS m FROM {{hunted{n}_pred}} p LEFT JOIN {{caught{n}}} c ON c.pred = p.id)""")
+    cte(f"hunted{n + 1}_pred", f"""SELECT id, cell, life_state, gender, CASE WHEN mc > baby THEN mc - baby ELSE mc END AS mass FROM {{fed{n}}} WHERE NOT died
+      UNION ALL SELECT child, cell, {born}, baby FROM (SELECT *, {child} FROM {{fed{n}}} WHERE mc > baby AND NOT died)""")
+    cte(f"grazed{n}", f"""SELECT *, NOT eaten AND {d('birth')} < {b} AS is_birth, eaten OR ({b} < 0 AND {d('birth')} < -{b}) OR {d('death')} < {dd} AS died,
+      CASE WHEN {d('move')} < 0.2e0 THEN ns[CAST(least(floor({d('where')} * 4), 3) AS INTEGER) + 1] END AS target
+      FROM (SELECT a.*, count(*) OVER (PARTITION BY a.cell) AS n, ns, c.prey IS NOT NULL AS eaten FROM {{hunted{n}_prey}} a JOIN {{nbrs}} g ON g.cell = a.cell LEFT JOIN {{caught{n}}} c ON c.prey = a.id)""")
+    cte(f"hunted{n + 1}_prey", f"""SELECT id, CAST(coalesce(target, cell) AS INTEGER) AS cell, CASE WHEN target IS NULL THEN life_state ELSE life_state & ~8 END AS life_state, gender, mass FROM {{grazed{n}}} WHERE NOT died
+      UNION ALL SELECT child, cell, {born}, NULL FROM (SELECT *, {child} FROM {{grazed{n}}} WHERE is_birth)""")
+
+
+for _n in range(2):
+    _hunted(_n)
+
+
+@query("D27_two_species", "SELECT cell, count(*) AS n, 'prey' AS species FROM {hunted2_prey} GROUP BY cell UNION ALL SELECT cell, count(*), 'pred' FROM {hunted2_pred} GROUP BY cell")
 def _(spark, sf):
     """Predators and prey for two steps: hunting, mass, births; rows per species and cell."""
     prey = m.agents(spark, sf).where("life_state > 0").select("id", "cell", "life_state", "gender", "mass")
