@@ -97,10 +97,28 @@ def _(spark, sf):
     return out.select("id", key_of("strand1").alias("strand1"), key_of("strand2").alias("strand2"))
 
 
-@query("E6_offspring_mutating")
+_SLOW, _STABLE = ge.binomial_table(LOCI, 0.02)
+
+
+def _mutant_sql(a: str, b: str, who: str) -> str:
+    """A gamete by two breaks and mutations; ``p`` holds the breaks, ``q`` the mutations of this parent."""
+    mask = _XMASK.replace("(p,", f"(p{who},")
+    first, second = (f"(({x}[{{j}}] & ~({mask})) | ({y}[{{j}}] & {mask}))" for x, y in ((a, b), (b, a)))
+    bits = f"list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(q{who}, lambda x: x // 32 = {{i}}), lambda x: 1::BIGINT << (x % 32))), lambda x, y: x | y)"
+    return blocks_sql(f"(CASE WHEN {u_sql(3, 5, f'pick|{who}', 'id')} < 0.5 THEN {first} ELSE {second} END | {bits})")
+
+
+def _places_sql(who: str) -> str:
+    breaks = ", ".join(f"{block_sql(f'3|5|break|{who}', 'id', chr(39) + str(k) + chr(39))} % {LOCI}" for k in (1, 2))
+    n = f"{_SLOW} + len(list_filter([{', '.join(f'{t!r}::DOUBLE' for t in _STABLE)}], lambda t: {u_sql(3, 5, f'nmut|{who}', 'id')} >= t))"
+    return f"[{breaks}] AS p{who}, list_transform(range(1, {n} + 1), lambda k: ('0x' || substr(md5(concat_ws('|', '3|5|mut|{who}', id, k)), 1, 8))::BIGINT % {LOCI}) AS q{who}"
+
+
+@query("E6_offspring_mutating", f"SELECT id, {_mutant_sql('a1', 'a2', 'm')} AS strand1, {_mutant_sql('b1', 'b2', 'd')} AS strand2 FROM (SELECT *, {_places_sql('m')}, {_places_sql('d')} FROM {{neighbours60}})")
 def _(spark, sf):
     p = neighbours(spark, sf).withColumnsRenamed({"a1": "m1", "a2": "m2", "b1": "d1", "b2": "d2"})
-    return ge.offspring(p, BLOCKS, LOCI, 3, 5, breaks=2, rate=0.02)
+    out = ge.offspring(p, BLOCKS, LOCI, 3, 5, breaks=2, rate=0.02)
+    return out.select("id", key_of("strand1").alias("strand1"), key_of("strand2").alias("strand2"))
 
 
 LONG_LOCI, LONG_RATE = 8192, 0.01
