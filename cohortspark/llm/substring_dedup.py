@@ -207,9 +207,10 @@ def edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def compact(hits: DataFrame) -> DataFrame:
     """``key, h, path`` from edges ``key, h, first, at, least, source, plain``: neighbouring edges of a piece
-    compact into one path (``first, windows, least, source``) where both are plain and go on at the source."""
+    compact into one path (``first, windows, least, source``) where both are plain and go on at the source.
+    Equal rows of a document count once, so a group is no larger than a piece."""
     kind = f"array<struct<first:int,windows:int,least:{hits.schema['least'].dataType.simpleString()},source:int,plain:boolean>>"
-    found = hits.groupBy("key", "h", "first").agg(F.sort_array(F.collect_list(F.struct("at", "least", "source", "plain"))).alias("es"))
+    found = hits.groupBy("key", "h", "first").agg(F.sort_array(F.collect_set(F.struct("at", "least", "source", "plain"))).alias("es"))
 
     def step(paths: Column, e: Column) -> Column:
         last = F.element_at(paths, -1)

@@ -236,6 +236,15 @@ def test_substring_dedup_on_tangled_texts(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == brute_kept([(r[0], r[1]) for r in data], window)
 
 
+def test_many_equal_rows_of_tangled_texts(spark):
+    rng = random.Random(5)
+    blocks = [words(rng, 30) for _ in range(5)]
+    data = [(i, " ".join(rng.choice(blocks) for _ in range(6))) for i in range(12)]
+    rows_ = spark.createDataFrame([*data, *[data[3]] * 1500, *[data[9]] * 1500], "doc_id long, text string").repartition(6)
+    got = substring_dedup.without_spans(substring_dedup.repeated_spans(rows_)).distinct().collect()
+    assert sorted(map(tuple, got), key=repr) == brute_kept(data, 50)
+
+
 def test_pieces_are_cut_alike_in_chunks(monkeypatch):
     rng = random.Random(7)
     ids = substring_dedup.Words(" ".join(rng.choice("abcdefgh") for _ in range(900)), {}).ids
