@@ -30,8 +30,10 @@ def sample_keys(labels: DataFrame, label: str, key: str, most: int) -> DataFrame
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
-    """``key, text, y`` of the sampled keys that ``docs`` has; the sample (at most ``most`` rows of 12 bytes) is broadcast."""
-    return docs.select(key, text).join(F.broadcast(sample_keys(labels, label, key, most)), key)
+    """``key, text, y``: one row for each of the sampled keys that ``docs`` has, however many rows share it (of several
+    texts the one of least hash). The sample (at most ``most`` rows of 12 bytes) is broadcast."""
+    known = docs.select(key, text).join(F.broadcast(sample_keys(labels, label, key, most)), key)
+    return known.groupBy(key).agg(F.min_by(text, F.xxhash64(text)).alias(text), F.max("y").alias("y"))
 
 
 def bounded_rows(rows: DataFrame, key: str, blobs: list[str], most_bytes: int = TRAIN_BYTES) -> pd.DataFrame:

@@ -157,6 +157,16 @@ def test_fits_are_bounded_in_bytes(spark):
     assert len(index) == len(set(index.tolist())) <= quality.SLOTS and len(values) == len(index)
 
 
+def test_one_key_gives_one_row_to_fit_on(spark):
+    hot = spark.range(20_000).selectExpr("7L AS doc_id", "concat('text ', id % 3) AS text")
+    docs = hot.unionByName(spark.createDataFrame([(1, None), (2, "b"), (None, "c")], "doc_id long, text string"))
+    for parts in (1, 5):
+        got = labelled.training_rows(docs.repartition(parts), labels_of(spark, [(7, 1, 0), (1, 0, 1), (2, 1, 1), (9, 1, 1), (None, 1, 1)]), "quality", "doc_id", "text", 100)
+        assert {r.doc_id for r in got.collect()} == {i for i in (1, 2, 7) if crc32(str(i).encode()) % 5}
+        assert got.count() == got.select("doc_id").distinct().count() and (parts == 1 or set(got.collect()) == first)
+        first = set(got.collect())
+
+
 def test_decoding(spark, corpus_model):
     assert np.allclose(np.exp(corpus_model).sum(axis=2), 1, atol=1e-3)
     decoder = toxicity.Decoder(corpus_model)
