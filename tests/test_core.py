@@ -444,3 +444,32 @@ def test_principal_components_of_phenomes(spark):
     want = np.abs(x @ axes[:3].T)
     got = {r.id: r.components for r in QUERIES["E18_pca"](spark, SF).collect()}
     assert set(got) == set(ids) and np.allclose([got[i] for i in ids], want, atol=1e-4)
+
+
+def test_packed_distances_match_brute_force(spark, monkeypatch):
+    """Several chunks and blocks, repeated and missing ids; sums and numbers follow from the same pairs."""
+    from cohortspark.operators import genome_pairs as gp
+
+    monkeypatch.setattr(gp, "CHUNK", 7)
+    monkeypatch.setattr(gp, "BLOCK", 3)
+    draw = random.Random(5)
+    strand = lambda: [draw.getrandbits(32) for _ in range(3)]
+    data = [(i, strand(), strand()) for i in [*range(40), 4, 11, None]]
+    rows = spark.createDataFrame(data, "id long, strand1 array<long>, strand2 array<long>")
+    bits = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+    dist = lambda x, y: min(bits(x[1], y[1]) + bits(x[2], y[2]), bits(x[1], y[2]) + bits(x[2], y[1]))
+    known = [x for x in data if x[0] is not None]
+    want = sorted((x[0], y[0], dist(x, y)) for x in known for y in known if x[0] % 4 == 0 and x[0] != y[0])
+    found = gp.distance_pairs(rows.where("id % 4 = 0"), rows)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    sums = gp.distance_sums(rows.where("id % 4 = 0"), rows).collect()
+    assert sum(r["n"] for r in sums) == len(want) and sum(r["total"] for r in sums) == sum(w[2] for w in want)
+    assert min((r["low"], r["a"], r["low_b"]) for r in sums) == min((d, a, b) for a, b, d in want) and max(r["high"] for r in sums) == max(w[2] for w in want)
+    single = known[:40]
+    order = sorted(single, key=lambda x: (x[0] % 3, x[0]))
+    place = {x[0]: i + 1 for i, x in enumerate(order)}
+    nth = {x: i + 1 for i, x in enumerate(x[0] for x in order if x[0] % 4 == 0)}
+    placed = spark.createDataFrame([(*x, place[x[0]], nth.get(x[0])) for x in single], "id long, strand1 array<long>, strand2 array<long>, place long, nth long")
+    got = sorted((r["r"], r["a"], r["b"]) for r in gp.numbered_distance_pairs(placed.where("id % 4 = 0"), placed, 40).collect())
+    pairs = sorted(((place[x[0]], place[y[0]], x[0], y[0]) for x in single for y in single if x[0] % 4 == 0 and x[0] != y[0]))
+    assert got == [(i + 1, a, b) for i, (_, _, a, b) in enumerate(pairs)]
