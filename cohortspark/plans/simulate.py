@@ -17,11 +17,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.curves import polyline
 from cohortspark.functions.draws import u
 from cohortspark.functions.genome import diploid_distance
 from cohortspark.functions.lineage import cut
@@ -336,11 +336,8 @@ def genetic_distance(agents: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("dist", diploid_distance(*map(F.col, ("female1", "female2", "male1", "male2")))).drop("female1", "female2", "male1", "male2")
 
 
-def couples(agents: DataFrame) -> DataFrame:
-    """All fertile couples of each cell with their genetic distance."""
-    able = agents.where(F.col("life_state") == rates.FERTILE)
-    f, m = (able.where(F.col("gender") == g).select("cell", F.col("id").alias(n)) for g, n in ((0, "female"), (1, "male")))
-    return genetic_distance(agents, f.join(m, "cell"))
+def fertile(agents: DataFrame) -> DataFrame:
+    return agents.where(F.col("life_state") == rates.FERTILE)
 
 
 def random_distance_pair(d_crit: float, v_crit: float, slope: float, priority: int = 0) -> Action:
@@ -355,8 +352,7 @@ def selective_pair(knots: list[tuple[float, float]], priority: int = 0) -> Actio
     """Females draw a mate by a curve of the genetic distance."""
 
     def make(sim: Simulation, agents: DataFrame) -> DataFrame:
-        weighted = couples(agents).withColumn("weight", polyline(F.col("dist").cast("double"), knots))
-        return pairing.selective_pairs(weighted, sim.seed, sim.step_no)
+        return pairing.selected_pairs(fertile(agents), partial(pairing.curve, knots=knots), sim.seed, sim.step_no)
 
     return pairing_action("SelPair", make, priority)
 
@@ -366,12 +362,8 @@ def assortative_pair(cutoff: float, loci: int, by_blocks: bool = False, priority
 
     def make(sim: Simulation, agents: DataFrame) -> DataFrame:
         if by_blocks:
-            own = agents.select("id", F.concat("strand1", "strand2").alias("p"))
-            both = couples(agents).join(own.withColumnsRenamed({"id": "female", "p": "fp"}), "female").join(own.withColumnsRenamed({"id": "male", "p": "mp"}), "male")
-            scored = both.withColumn("score", F.size(F.array_intersect("fp", "mp")).cast("double"))
-        else:
-            scored = couples(agents).withColumn("score", F.lit(1.0) - F.col("dist") / float(2 * loci))
-        return pairing.greedy_pairs(scored, cutoff, sim.seed, sim.step_no)
+            return pairing.shared_pairs(fertile(agents), None, cutoff, sim.seed, sim.step_no)
+        return pairing.assortative_pairs(fertile(agents), partial(pairing.likeness, loci=float(loci)), cutoff, sim.seed, sim.step_no)
 
     return pairing_action("AssPair" if by_blocks else "AssPairHam", make, priority)
 

@@ -473,3 +473,55 @@ def test_packed_distances_match_brute_force(spark, monkeypatch):
     got = sorted((r["r"], r["a"], r["b"]) for r in gp.numbered_distance_pairs(placed.where("id % 4 = 0"), placed, 40).collect())
     pairs = sorted(((place[x[0]], place[y[0]], x[0], y[0]) for x in single for y in single if x[0] % 4 == 0 and x[0] != y[0]))
     assert got == [(i + 1, a, b) for i, (_, _, a, b) in enumerate(pairs)]
+
+
+@pytest.mark.parametrize("held", [1, 40, 10**6])
+@pytest.mark.parametrize("rule", ["likeness", "tens", "shared", "blocks"])
+def test_pairs_of_a_cell_follow_the_total_order(held, rule, monkeypatch):
+    """However many couples are held at once; equal genomes and scores of 0 are among them."""
+    from functools import partial
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(pairing, "COUPLES", held)
+    draw = random.Random(rule)
+    pool = [([draw.getrandbits(32) for _ in range(3)], [draw.getrandbits(32) for _ in range(3)]) for _ in range(30)]
+    agents = [(i, i % 3 % 2, *draw.choice(pool)) for i in draw.sample(range(1000), 70)]
+    table = pa.table({"cell": pa.array([4] * 70, pa.int32()), "id": [a[0] for a in agents], "gender": [a[1] for a in agents], "strand1": [a[2] for a in agents], "strand2": [a[3] for a in agents]})
+    bits = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+    dist = lambda f, m: min(bits(f[2], m[2]) + bits(f[3], m[3]), bits(f[2], m[3]) + bits(f[3], m[2]))
+    own = lambda a, n: {x % n for x in a[2] + a[3]}
+    of = {
+        "likeness": (partial(pairing._ByDistance, score=partial(pairing.likeness, loci=96.0)), 0.5, lambda f, m: 1.0 - dist(f, m) / 192.0),
+        "tens": (partial(pairing._ByDistance, score=pairing.tens), 8.0, lambda f, m: float(dist(f, m) // 10)),
+        "shared": (partial(pairing._ByShared, modulus=16), 1.0, lambda f, m: float(len(own(f, 16) & own(m, 16)))),
+        "blocks": (partial(pairing._ByShared, modulus=None), 0.0, lambda f, m: float(len(own(f, 1 << 40) & own(m, 1 << 40)))),
+    }[rule]
+    scored = [(of[2](f, m), f[0], m[0]) for f in agents if f[1] == 0 for m in agents if m[1] == 1]
+    order = sorted((-s, pairing._u(3, 2, "greedy", f), f, pairing._u(3, 2, "choose", f, m), m) for s, f, m in scored if s >= of[1])
+    want, taken = [], set()
+    for s, _, f, _, m in order:
+        if ("f", f) not in taken and ("m", m) not in taken:
+            taken |= {("f", f), ("m", m)}
+            want.append((4, f, m, -s))
+    found = pairing._assortative(table, of[0], of[1], 3, 2)
+    assert sorted(tuple(r.values()) for r in found.to_pylist()) == sorted(want)
+
+
+def test_selected_pairs_match_the_rule_over_couples(spark):
+    """Cells of one sex, genomes that are missing, weights of 0, more females than males."""
+    from functools import partial
+
+    from cohortspark.functions.curves import polyline
+
+    draw = random.Random(2)
+    strand = lambda: [draw.getrandbits(32) for _ in range(3)]
+    rows = [(i, 9 if i % 10 == 0 else i % 4, 0 if i % 10 == 0 or i % 5 < 3 else 1, strand() if i % 17 else None, strand()) for i in range(150)]
+    able = spark.createDataFrame(rows, "id long, cell int, gender int, strand1 array<long>, strand2 array<long>")
+    knots = [(80.0, 0.0), (90.0, 1.0), (100.0, -0.5)]
+    f, m = (able.where(F.col("gender") == k).select("cell", F.col("id").alias(n), F.col("strand1").alias(n + "1"), F.col("strand2").alias(n + "2")) for k, n in ((0, "female"), (1, "male")))
+    both = f.join(m, "cell").where("female1 is not null and male1 is not null")
+    both = both.withColumn("weight", polyline(g.diploid_distance(*map(F.col, ("female1", "female2", "male1", "male2"))).cast("double"), knots))
+    want = sorted(tuple(r) for r in pairing.selective_pairs(both, 5, 6).collect())
+    got = sorted(tuple(r) for r in pairing.selected_pairs(able, partial(pairing.curve, knots=knots), 5, 6).collect())
+    assert len(want) > 20 and got == want
