@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ EVEN_BITS = 0x5555555555555555
 NUCLEOTIDES = "AGCT"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` evaluated once a row: an expression that a lambda names is evaluated for each entry."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
 
@@ -63,14 +70,24 @@ def crossover(a: Column, b: Column, breaks: Column, block_bits: int) -> Column:
 def mutate(strand: Column, places: Column, block_bits: int, blocks: int) -> Column:
     """Sets (never flips) the bits at the given places of a strand of ``blocks`` blocks.
 
-    The masks are built place by place, so that ``places`` (often a costly expression) is evaluated once.
+    The places are sorted and folded into one mask per block that has any; ``places`` (often a costly
+    expression) is evaluated once, and no block is visited for each place.
     """
+    inside = F.array_sort(F.filter(places, lambda p: (p >= 0) & (p < block_bits * blocks)))
+    none = F.array().cast("array<struct<at:int,m:bigint>>")
 
     def add(masks: Column, p: Column) -> Column:
-        at, bit = F.floor(p / block_bits), F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % block_bits).cast("int"))
-        return F.transform(masks, lambda m, i: F.when(i == at, m.bitwiseOR(bit)).otherwise(m))
+        at, bit = F.floor(p / block_bits).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % block_bits).cast("int"))
+        last = F.get(masks, F.size(masks) - 1)
+        more = F.array(F.struct(at.alias("at"), last["m"].bitwiseOR(bit).alias("m")))
+        return F.when(last["at"] == at, F.concat(F.slice(masks, 1, F.size(masks) - 1), more)).otherwise(F.concat(masks, F.array(F.struct(at.alias("at"), bit.alias("m")))))
+
+    def spread(masks: Column) -> Column:
+        gap = lambda e, i: e["at"] - F.coalesce(F.get(masks, i - 1)["at"], F.lit(-1)) - 1
+        return F.flatten(F.transform(masks, lambda e, i: F.concat(F.array_repeat(F.lit(0).cast("bigint"), gap(e, i)), F.array(e["m"]))))
 
-    return F.zip_with(strand, F.aggregate(places, F.array_repeat(F.lit(0).cast("bigint"), blocks), add), lambda x, m: x.bitwiseOR(m))
+    all_masks = once(F.aggregate(inside, none, add), spread)
+    return F.zip_with(strand, all_masks, lambda x, m: x.bitwiseOR(F.coalesce(m, F.lit(0).cast("bigint"))))
 
 
 def code_at(strand: Column, locus: Column | int, block_bits: int, bits: int = 1) -> Column:
@@ -83,8 +100,8 @@ def code_at(strand: Column, locus: Column | int, block_bits: int, bits: int = 1)
 
 def to_text(strand: Column, block_bits: int, loci: int) -> Column:
     """Two-bit codes as letters."""
-    letters = F.transform(F.sequence(F.lit(0), F.lit(loci - 1)), lambda i: F.substring(F.lit(NUCLEOTIDES), code_at(strand, i, block_bits, 2) + 1, F.lit(1)))
-    return F.array_join(letters, "")
+    letter = lambda s, i: F.substring(F.lit(NUCLEOTIDES), code_at(s, i, block_bits, 2) + 1, F.lit(1))
+    return once(strand, lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(loci - 1)), lambda i: letter(s, i)), ""))
 
 
 def from_text(text: Column, block_bits: int) -> Column:

@@ -525,3 +525,25 @@ def test_selected_pairs_match_the_rule_over_couples(spark):
     want = sorted(tuple(r) for r in pairing.selective_pairs(both, 5, 6).collect())
     got = sorted(tuple(r) for r in pairing.selected_pairs(able, partial(pairing.curve, knots=knots), 5, 6).collect())
     assert len(want) > 20 and got == want
+
+
+def test_shared_proteins_expand_classes(spark, monkeypatch):
+    """Classes larger than a list, repeated ids and proteins, rows without any."""
+    monkeypatch.setattr(genetics, "MEMBERS", 3)
+    a = [(i, ["m"]) for i in range(20)] + [(20, ["m", "x", "m"]), (21, []), (22, ["z"]), (3, ["x"])]
+    b = [(i, ["m"]) for i in range(100, 115)] + [(115, ["x", "m", "x"]), (116, ["q"]), (117, [])]
+    found = genetics.shared_proteins(spark.createDataFrame(a, "a long, hashes array<string>"), spark.createDataFrame(b, "b long, hashes array<string>"))
+    want = Counter((i, j) for i, p in a for x in p for j, q in b for y in q if x == y)
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]): r["n"] for r in rows} == want
+
+
+def test_draws_and_places_are_made_once(spark):
+    """A draw is no part of what is done per entry of the table; many places in few blocks, and none."""
+    drawn = genetics.binomial_count(F.col("d"), 8192, 0.01)
+    plan = spark.createDataFrame([(0.5,)], "d double").select(drawn.alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("transform(array(d", 1)[1].count("d#") <= 2 and plan.count("transform(array(d") == 1
+    data = [([5, 0, 7], [0, 31, 32, 31, 95, 64, 0]), ([1, 2, 3], []), ([0, 0, 0], [40]), ([0, 0, 0], [-1, 96, 95])]
+    out = spark.createDataFrame(data, "s array<long>, p array<long>").select("s", "p", g.mutate(F.col("s"), F.col("p"), 32, 3).alias("m")).collect()
+    for r in out:
+        assert r["m"] == [w | sum({1 << (p % 32) for p in r["p"] if p // 32 == i and 0 <= p < 96}) for i, w in enumerate(r["s"])]
