@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.lineage import cut
+from cohortspark.operators.evolution import PIECE, evolved
 from cohortspark.operators.genetics import BLOCK_BITS, random_mask
 
 
@@ -86,15 +87,28 @@ def analyse(ancestors: DataFrame, block: int) -> DataFrame:
     return ancestors.groupBy(F.floor((F.col("id") - 1) / block).alias("block")).agg(F.min(known).alias("least_parent"), F.max("id").alias("limit"))
 
 
-def evolve(ancestors: DataFrame, founders: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """``id, strand1, strand2`` of every node whose founders all have genomes (``id, strand1, strand2``).
+def evolve(ancestors: DataFrame, founders: DataFrame, blocks: int, seed: int, samples: DataFrame | None = None, size: int = PIECE) -> DataFrame:
+    """``id, strand1, strand2`` of every node (of ``samples`` only, if given) whose founders all have genomes (``id, strand1, strand2``).
 
     A parent's strands recombine freely by a random mask; one result of each parent makes the child. So
-    each bit comes from one strand of one parent: a row per node, strand, block and origin holds the
-    bits that go there, and following two steps at once doubles the way in each round. A graph of d
-    generations takes log2(d) rounds, whatever its size.
+    each bit comes from one strand of one parent, and is followed to a founder in pieces of about ``size`` nodes with
+    neighbouring ids (``evolution.py``). Where ids do not go along with descent, so that most nodes have children
+    in other pieces, all ways are doubled as rows.
     """
     parents = ancestors.where("mom > 0").select("id", "mom", "dad")
+    own = founders.select("id", "strand1", "strand2")
+    born = evolved(parents, own, blocks, seed, samples, size)
+    if born is None:
+        born = _doubled(parents.join(own, "id", "left_anti"), own, blocks, seed)
+        born = born if samples is None else born.join(samples.select("id"), "id", "left_semi")
+    own = own if samples is None else own.join(samples.select("id"), "id", "left_semi")
+    return own.unionByName(born)
+
+
+def _doubled(parents: DataFrame, founders: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """The same for any order of ids: a row per node, strand, block and origin holds the bits that go there, and following
+    two steps at once doubles the way in each round. A graph of d generations takes log2(d) rounds, whatever its size.
+    """
     mask = lambda p: random_mask(f"{seed}|evolve|{p}", F.col("id"), blocks)
     full = (1 << BLOCK_BITS) - 1
     sides = F.array(F.struct(F.lit(1).alias("s"), F.col("mom").alias("to"), mask("mom").alias("m")), F.struct(F.lit(2).alias("s"), F.col("dad").alias("to"), mask("dad").alias("m")))
@@ -114,8 +128,7 @@ def evolve(ancestors: DataFrame, founders: DataFrame, blocks: int, seed: int) ->
     known = known.select("to", "ts", F.posexplode("v").alias("b", "value"))
     made = ways.join(known, ["to", "ts", "b"]).groupBy("id", "s", "b").agg(F.bit_or(F.col("value").bitwiseAND(F.col("bits"))).alias("value"), F.bit_or("bits").alias("all"))
     whole = made.where(F.col("all") == full).groupBy("id").agg(F.count("*").alias("n"), *(F.transform(F.sort_array(F.collect_list(F.when(F.col("s") == s, F.struct("b", "value")))), lambda e: e["value"]).alias(f"strand{s}") for s in (1, 2)))
-    born = whole.where(F.col("n") == 2 * blocks).select("id", "strand1", "strand2")
-    return founders.select("id", "strand1", "strand2").unionByName(born)
+    return whole.where(F.col("n") == 2 * blocks).select("id", "strand1", "strand2")
 
 
 def sampled_genomes(ancestors: DataFrame, founders: DataFrame, samples: DataFrame, blocks: int, seed: int) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,66 @@ def test_evolving_a_graph(spark):
     assert 500 not in got and 501 not in got
 
 
+def evolved_bits(nodes, founders, blocks, seed):
+    """Values of all nodes with every bit known, by passes until nothing changes (in any order of ids, with circles)."""
+    full = 0xFFFFFFFF
+    state = {i: [[(v & full, full) if v is not None else (0, 0) for v in s] for s in strands] for i, strands in founders.items()}
+    masks = {(i, tag): [int(hashlib.md5(f"{seed}|evolve|{tag}|{i}".encode()).hexdigest()[8 * b : 8 * b + 8], 16) for b in range(blocks)] for i, _, _ in nodes for tag in ("mom", "dad")}
+    none, changed = [[(0, 0)] * blocks] * 2, True
+    while changed:
+        changed = False
+        for i, mom, dad in nodes:
+            if mom > 0 and i not in founders:
+                mix = lambda x, y, m: tuple(a & m | b & ~m & full for a, b in zip(x, y, strict=True))
+                new = [[mix(x, y, m) for x, y, m in zip(*state.get(p, none), masks[i, tag], strict=True)] for p, tag in ((mom, "mom"), (dad, "dad"))]
+                changed, state[i] = changed or state.get(i, none) != new, new
+    return {i: tuple([v for v, _ in s] for s in strands) for i, strands in state.items() if i not in founders and all(k == full for s in strands for _, k in s)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_evolving_in_pieces(spark, turned):
+    rng = random.Random(5)
+    nodes = [(i, rng.randrange(i - 3, i), rng.randrange(i - 3, i)) for i in range(7, 420)]
+    nodes += [(500, 500, 6), (501, 502, 6), (502, 501, 6), (503, 502, 419), (504, 9999, 6), (505, 419, None), (506, 419, 505), (507, 419, 418), (507, 419, 418)]
+    turn = (lambda i: i if i is None else 10_000 - i) if turned else (lambda i: i)
+    nodes = [tuple(map(turn, n)) for n in nodes]
+    founders = {turn(i): tuple([rng.getrandbits(32) for _ in range(3)] for _ in range(2)) for i in (*range(1, 7), 200)}
+    founders[turn(3)] = ([1, None, 5], [7, 8, 9])
+    a = spark.createDataFrame(nodes, "id long, mom long, dad long")
+    f = spark.createDataFrame([(i, *g_) for i, g_ in founders.items()], "id long, strand1 array<long>, strand2 array<long>")
+    want = evolved_bits(nodes, founders, 3, 1)
+    assert turn(507) in want and turn(505) not in want and 100 < len(want) < 414  # founder 3 lacks a block
+    for size in (16, 10_000):
+        got = [r for r in ancestry.evolve(a, f, 3, 1, size=size).collect() if r.id not in founders]
+        assert {r.id: (r.strand1, r.strand2) for r in got} == want and len(got) == len(want)
+
+
+def test_evolving_without_order_of_ids(spark):
+    rng = random.Random(6)
+    name = dict(zip(range(1, 121), rng.sample(range(1, 10_000), 120), strict=True))
+    nodes = [(name[i], name[rng.randrange(1, i)], name[rng.randrange(1, i)]) for i in range(5, 121)]
+    founders = {name[i]: tuple([rng.getrandbits(32)] for _ in range(2)) for i in range(1, 5)}
+    a = spark.createDataFrame(nodes, "id long, mom long, dad long")
+    f = spark.createDataFrame([(i, *g_) for i, g_ in founders.items()], "id long, strand1 array<long>, strand2 array<long>")
+    got = {r.id: (r.strand1, r.strand2) for r in ancestry.evolve(a, f, 1, 1, size=16).collect() if r.id not in founders}
+    assert got == evolved_bits(nodes, founders, 1, 1) and len(got) == 116
+
+
+def folder_bytes(spark):
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_evolving_keeps_little_on_disk(spark):
+    sf = SF.replace("0.001", "0.01")
+    from cohortspark.functions.lineage import cut
+
+    cut(spark.range(1))
+    before = folder_bytes(spark)
+    assert QUERIES["N6_evolve_graph"](spark, sf).count() == 15_000
+    assert folder_bytes(spark) - before < 2_000_000
+
+
 def test_sampled_genomes_are_those_of_the_whole_graph(spark):
     whole = {r.id: (r.strand1, r.strand2) for r in QUERIES["N6_evolve_graph"](spark, SF).collect()}
     got = {r.id: (r.strand1, r.strand2) for r in QUERIES["N9_sampled_genomes"](spark, SF).collect()}
