@@ -255,6 +255,28 @@ def test_evolving_keeps_little_on_disk(spark):
     assert folder_bytes(spark) - before < 2_000_000
 
 
+def test_sampling_and_evolving_keeps_little_on_disk(spark):
+    from cohortspark.functions.lineage import cut
+
+    cut(spark.range(1))
+    before = folder_bytes(spark)
+    assert QUERIES["N9_sampled_genomes"](spark, SF.replace("0.001", "0.01")).count() == 300
+    assert folder_bytes(spark) - before < 1_000_000
+
+
+def test_samples_in_pieces(spark):
+    rng = random.Random(9)
+    nodes = [(i, rng.randrange(i - 3, i), rng.randrange(i - 3, i)) for i in range(5, 300)] + [(400, 999, 5)]
+    founders = {i: tuple([rng.getrandbits(32)] for _ in range(2)) for i in range(1, 5)}
+    a = spark.createDataFrame(nodes + [(i, 0, 0) for i in range(1, 5)], "id long, mom long, dad long")
+    f = spark.createDataFrame([(i, *g_) for i, g_ in founders.items()], "id long, strand1 array<long>, strand2 array<long>")
+    want = evolved_bits(nodes, founders, 1, 1) | founders
+    samples = [2, 3, 77, 77, 78, 299, 400, 5000]  # founders, a sample named twice, one without genome, one that is no node
+    for size in (16, 10_000):
+        rows = ancestry.evolve(a, f, 1, 1, spark.createDataFrame([(i,) for i in samples], "id long"), size).collect()
+        assert sorted(r.id for r in rows) == [2, 3, 77, 78, 299] and all((r.strand1, r.strand2) == tuple(want[r.id]) for r in rows)
+
+
 def test_sampled_genomes_are_those_of_the_whole_graph(spark):
     whole = {r.id: (r.strand1, r.strand2) for r in QUERIES["N6_evolve_graph"](spark, SF).collect()}
     got = {r.id: (r.strand1, r.strand2) for r in QUERIES["N9_sampled_genomes"](spark, SF).collect()}
