@@ -558,6 +558,31 @@ def test_packed_distances_match_brute_force(spark, monkeypatch):
     assert got == [(i + 1, a, b) for i, (_, _, a, b) in enumerate(pairs)]
 
 
+def _placed_genomes(spark, n):
+    block = lambda s, k: F.conv(F.substring(F.md5(F.concat(F.lit(s), "id").cast("binary")), 1 + 8 * k, 8), 16, 10).cast("bigint")
+    strands = [F.array(*(block(s, k) for k in range(3))).alias(s) for s in ("strand1", "strand2")]
+    place = F.lit(n) - F.col("id")
+    return spark.range(n).select("id", *strands, place.alias("place"), (F.floor((place - F.lit(n % 1000 or 1000)) / 1000) + 1).alias("nth"))
+
+
+def _bytes_a_row(df, folder):
+    df.write.parquet(str(folder))
+    rows = df.sparkSession.read.parquet(str(folder)).count()
+    return rows, sum(f.stat().st_size for f in folder.glob("*.parquet")) / rows
+
+
+def test_numbered_pairs_take_little_disk(spark, tmp_path):
+    """Apart from their numbers, each of which is another long, pairs take less than a byte and a half."""
+    from cohortspark.operators import genome_pairs as gp
+
+    g = _placed_genomes(spark, 25000)
+    found = gp.numbered_distance_pairs(g.where("id % 1000 = 0"), g, 25000)
+    rows, each = _bytes_a_row(found, tmp_path / "pairs")
+    assert rows == 25 * 24999 and each < 6
+    n = spark.read.parquet(str(tmp_path / "pairs")).agg(F.min("r"), F.max("r"), F.count_distinct("r")).first()
+    assert tuple(n) == (1, rows, rows)
+
+
 @pytest.mark.parametrize("held", [1, 40, 10**6])
 @pytest.mark.parametrize("rule", ["likeness", "tens", "shared", "blocks"])
 def test_pairs_of_a_cell_follow_the_total_order(held, rule, monkeypatch):
