@@ -583,6 +583,19 @@ def test_numbered_pairs_take_little_disk(spark, tmp_path):
     assert tuple(n) == (1, rows, rows)
 
 
+def test_pairs_take_little_disk(spark, tmp_path, monkeypatch):
+    """Less than a byte and a half each; the same pairs from lists of other lengths."""
+    from cohortspark.operators import genome_pairs as gp
+
+    g = _placed_genomes(spark, 25000)
+    rows, each = _bytes_a_row(gp.distance_pairs(g.where("id % 1000 = 0"), g), tmp_path / "pairs")
+    assert rows == 25 * 24999 and each < 1.5
+    for name, n in (("LIST", 3000), ("SAMPLE_LIST", 2), ("SAMPLE_LISTS", 3), ("CHUNK", 7000)):
+        monkeypatch.setattr(gp, name, n)
+    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b", "dist").cast("decimal(38, 0)"))).first()
+    assert sums(gp.distance_pairs(g.where("id % 1000 = 0"), g)) == sums(spark.read.parquet(str(tmp_path / "pairs")))
+
+
 @pytest.mark.parametrize("held", [1, 40, 10**6])
 @pytest.mark.parametrize("rule", ["likeness", "tens", "shared", "blocks"])
 def test_pairs_of_a_cell_follow_the_total_order(held, rule, monkeypatch):
