@@ -596,6 +596,15 @@ def test_pairs_take_little_disk(spark, tmp_path, monkeypatch):
     assert sums(gp.distance_pairs(g.where("id % 1000 = 0"), g)) == sums(spark.read.parquet(str(tmp_path / "pairs")))
 
 
+def test_cross_matrix_takes_little_disk(spark, tmp_path):
+    """The other set has odd ids only."""
+    from cohortspark.operators import genome_pairs as gp
+
+    g = _placed_genomes(spark, 50000)
+    rows, each = _bytes_a_row(gp.distance_pairs(g.where("id % 2000 = 0"), g.where("id % 2 = 1")), tmp_path / "pairs")
+    assert rows == 25 * 25000 and each < 1.5
+
+
 @pytest.mark.parametrize("held", [1, 40, 10**6])
 @pytest.mark.parametrize("rule", ["likeness", "tens", "shared", "blocks"])
 def test_pairs_of_a_cell_follow_the_total_order(held, rule, monkeypatch):
